@@ -1,15 +1,275 @@
-"""Every query of the engine by name, and the SQL with the same result."""
+"""Every query of the engine by name, over whole tables, and the SQL with the same result."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from termlode.functions import text as T
+from termlode.functions.stem import stem_column
+from termlode.functions.stopwords import ENGLISH, SEPARATORS
+from termlode.operators import reports, search
+from termlode.operators.model import Model, TextOptions, build_model
+from termlode.plans import sql
+from termlode.plans.scratch import scratch_path
+from termlode.plans.tables import table
+from termlode.sources import readers
+from termlode.sources.store import ModelStore
+
+PLAIN = TextOptions(stem=False)
+ORACLE = TextOptions(stem=False, profile="oracle")
+QUESTION = "Northern treaty of the harbour harbour"
+IDS = [7, 3, 999_999_999, 42, 0]
+
+#: Inputs that the tables lack: quotes, escapes, runs of marks, digits around commas.
+LITERALS = (
+    r"escapado \'teste\' simples", "O'Neill venceu", "'inicio sem letra", "final sem letra'", "rock 'n' roll", "muitas aspas ''''''' no meio", "linha\n'quebra", "a'b'c", "a''b", "l'été d'Émile 'x", "rock,roll",
+    "1,000", "hello,,world", "1,2,3", "1,,2", "multiple , , commas , in , a , row", "text\nwith,linebreak,comma", "rock-n-roll", "A-12", "--double--dash--", "linha\n-com-dash", "a_-b", "é-ã -x", "U.S.A.", "versão 1.0.2 estável",
+    "muitos....pontos...", "texto . com . pontos", 'quote"double"', "tilde~equals=underscore_", "mix of all: a#b:c|d;e<f>g*h$i`j\\", "São Paulo é ótimo", "hello 世界", "café → coffee", "What? Really!", "path/to/file",
+    "the cat's tail", "multiple 's in 's text", "it is john's", "tab\there\x0bthere", "nbsp here　there", "", " ",
+)
+#: Published examples of the stemmer, and the terms of the worked ranking example.
+STEMS = {
+    "consign": "consign", "consigned": "consign", "consigning": "consign", "consignment": "consign", "consist": "consist", "consisted": "consist", "consistency": "consist", "consistent": "consist", "consistently": "consist",
+    "consisting": "consist", "consists": "consist", "consolation": "consol", "consolations": "consol", "consolatory": "consolatori", "console": "consol", "consoled": "consol", "consoles": "consol", "consolidate": "consolid",
+    "consolidated": "consolid", "consolidating": "consolid", "consoling": "consol", "consolingly": "consol", "consols": "consol", "consonant": "conson", "consort": "consort", "consorted": "consort", "consorting": "consort",
+    "conspicuous": "conspicu", "conspicuously": "conspicu", "conspiracy": "conspiraci", "conspirator": "conspir", "conspirators": "conspir", "conspire": "conspir", "conspired": "conspir", "conspiring": "conspir",
+    "constable": "constabl", "constables": "constabl", "constance": "constanc", "constancy": "constanc", "constant": "constant",
+    "knack": "knack", "knackeries": "knackeri", "knacks": "knack", "knag": "knag", "knave": "knave", "knaves": "knave", "knavish": "knavish", "kneaded": "knead", "kneading": "knead", "knee": "knee", "kneel": "kneel",
+    "kneeled": "kneel", "kneeling": "kneel", "kneels": "kneel", "knees": "knee", "knell": "knell", "knelt": "knelt", "knew": "knew", "knick": "knick", "knif": "knif", "knife": "knife", "knight": "knight", "knightly": "knight",
+    "knights": "knight", "knit": "knit", "knits": "knit", "knitted": "knit", "knitting": "knit", "knives": "knive", "knob": "knob", "knobs": "knob", "knock": "knock", "knocked": "knock", "knocker": "knocker", "knockers": "knocker",
+    "knocking": "knock", "knocks": "knock", "knopp": "knopp", "knot": "knot", "knots": "knot",
+    "pieces": "piec", "involves": "involv", "lassoed": "lasso", "horse": "hors", "police": "polic", "officers": "offic", "literature": "literatur", "shakespeare": "shakespear", "english": "english", "pawn": "pawn", "game": "game",
+    "move": "move", "rodeo": "rodeo", "threw": "threw", "jail": "jail", "skies": "sky", "dying": "die", "news": "news", "generate": "generat", "generously": "generous", "hoping": "hope", "hopping": "hop",
+}
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents")
+
+
+def _model(spark: SparkSession, d: str, options: TextOptions = PLAIN) -> Model:
+    return build_model(_docs(spark, d), "doc_id", "text", options)
+
+
+def _r(name: str, digits: int = 6) -> Column:
+    return F.round(name, digits).alias(name)
+
+
+def _literal_texts(spark: SparkSession, d: str) -> DataFrame:
+    own = spark.createDataFrame([(-1 - k, t) for k, t in enumerate(LITERALS)], "doc_id bigint, text string")
+    return _docs(spark, d).select("doc_id", "text").unionByName(own)
+
+
+def _cleaning(function) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: _literal_texts(spark, d).select("doc_id", function(F.col("text")).alias("cleaned"))
+
+
+def _token_counts(tokens) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: _literal_texts(spark, d).select("doc_id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
+
+
+def _question(model: Model) -> DataFrame:
+    return search.query_frame(model, {1: QUESTION})
+
+
+def _asked(spark: SparkSession, d: str, tbl: int) -> DataFrame:
+    return table(spark, d, "queries").where(F.col("tbl") == tbl).select(F.col("query_id").cast("bigint").alias("query_id"), F.col("query").alias("text")).distinct()
+
+
+def _articles(spark: SparkSession, d: str, tbl: int) -> DataFrame:
+    return table(spark, d, f"test_tbl_{tbl}").select("article_id", "article_text").distinct()
+
+
+def _with_question(make, options: TextOptions = PLAIN) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        model = _model(spark, d, options)
+        return make(model, _question(model))
+
+    return run
+
+
+def _search_tables(options: TextOptions):
+    """Every table's own queries over that table; queries of tables that don't exist are skipped."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        out = None
+        for tbl in (0, 1, 2):
+            model = build_model(_articles(spark, d, tbl), "article_id", "article_text", options)
+            got = search.search_many(model, _asked(spark, d, tbl), 10).select(F.lit(tbl).alias("tbl"), "query_id", "rank", "doc_id", "similarity")
+            out = got if out is None else out.unionByName(got)
+        return out
+
+    return run
+
+
+def _search_batch(spark: SparkSession, d: str) -> DataFrame:
+    model = build_model(_articles(spark, d, 3), "article_id", "article_text", PLAIN, materialise=True)
+    return search.search_many(model, _asked(spark, d, 3), 10)
+
+
+def _search_batch_stemmed(spark: SparkSession, d: str) -> DataFrame:
+    model = build_model(_articles(spark, d, 3), "article_id", "article_text", TextOptions(), materialise=True)
+    return search.search_many(model, _asked(spark, d, 3), 10)
+
+
+def _roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    store = ModelStore(scratch_path(spark, "models"))
+    store.get_or_build(_docs(spark, d), "doc_id", "text", PLAIN)
+    return store.get_or_build(_docs(spark, d), "doc_id", "text", PLAIN).postings.select("doc_id", "term", "tf", _r("w"))
+
+
+def _by_ids(spark: SparkSession, d: str) -> DataFrame:
+    return readers.by_ids(_docs(spark, d), "doc_id", "text", IDS)
+
+
+def _stem_golden(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(w,) for w in STEMS], "word string").select("word", stem_column(F.col("word")).alias("stem"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {
+        "corpus_count": lambda s, d: readers.row_count(_docs(s, d)),
+        "doc_prefix": lambda s, d: readers.id_prefix(_docs(s, d), "doc_id", 50).select("doc_id", "text"),
+        "doc_range_scan": lambda s, d: readers.id_range(_docs(s, d), "doc_id", 10, 60).select("doc_id", "text"),
+        "doc_point_lookup": _by_ids,
+        "query_list": lambda s, d: table(s, d, "queries").where("tbl IN (0, 1, 2, 3)").select("tbl", "query_id", F.trim("query").alias("query")).distinct(),
+        "clean_lower": _cleaning(T.lower),
+        "remove_accents": _cleaning(lambda c: T.remove_accents(c)),
+        "strip_accents_ascii": _cleaning(lambda c: T.accents_to_ascii(T.lower(c))),
+        "remove_non_ascii": _cleaning(T.remove_non_ascii),
+        "printable_ascii": _cleaning(T.printable_ascii),
+        "printable_lower_quotes": _cleaning(T.printable_lower_quotes),
+        "unescape_quotes": _cleaning(T.unescape_quotes),
+        "clean_quotes": _cleaning(T.clean_quotes),
+        "clean_commas": _cleaning(T.clean_commas),
+        "clean_dashes": _cleaning(T.clean_dashes),
+        "clean_dots": _cleaning(T.clean_dots),
+        "clean_symbols": _cleaning(T.clean_symbols),
+        "clean_qmark": _cleaning(T.remove_question_exclamation),
+        "clean_apostrophe_s": _cleaning(T.remove_apostrophe_s),
+        "clean_text": _cleaning(T.clean_text),
+        "tokenize_ws": _token_counts(T.tokenize_blanks),
+        "tokenize_sep": _token_counts(lambda c: T.tokenize_separators(c, SEPARATORS)),
+        "filter_stopwords": _token_counts(lambda c: T.filter_tokens(T.tokenize_blanks(T.lower(c)), ENGLISH, least_bytes=2)),
+        "snippet": lambda s, d: _literal_texts(s, d).select("doc_id", T.snippet(F.col("text")).alias("snippet")),
+        "term_freq": lambda s, d: _model(s, d).tf,
+        "doc_freq": lambda s, d: _model(s, d).vocab.select("term", "df"),
+        "idf": lambda s, d: _model(s, d).vocab.select("term", _r("idf")),
+        "vocab_size": lambda s, d: _model(s, d).meta.select("n_docs", "vocab_size"),
+        "vocab_size_oracle": lambda s, d: _model(s, d, ORACLE).meta.select("n_docs", "vocab_size"),
+        "term_lookup": lambda s, d: _model(s, d).freq("treaty", 5),
+        "tfidf_weights": lambda s, d: _model(s, d).postings.select("doc_id", "term", "tf", _r("w")),
+        "tfidf_weights_oracle": lambda s, d: _model(s, d, ORACLE).postings.select("doc_id", "term", "tf", _r("w")),
+        "doc_norms": lambda s, d: reports.norm_list(_model(s, d)).select("doc_id", _r("norm")),
+        "query_vector": _with_question(lambda m, q: search.query_vectors(m, q).select("query_id", "term", "tf", _r("w"))),
+        "query_norm": _with_question(lambda m, q: search.query_norms(q, search.query_vectors(m, q)).select("query_id", _r("norm"))),
+        "dot_product": _with_question(lambda m, q: search.dot_products(m, search.query_vectors(m, q)).select("query_id", "doc_id", _r("dot"))),
+        "similarity_all": _with_question(search.similarity_all),
+        "rank_all_oracle": _with_question(search.rank_all, ORACLE),
+        "search_topk": _with_question(lambda m, q: search.search_many(m, q, 10)),
+        "search_topk_text": _with_question(lambda m, q: search.with_text(m, search.search_many(m, q, 10))),
+        "search_topk_stemmed": _with_question(lambda m, q: search.search_many(m, q, 10), TextOptions()),
+        "search_tables": _search_tables(PLAIN),
+        "search_tables_stemmed": _search_tables(TextOptions()),
+        "search_batch": _search_batch,
+        "search_batch_stemmed": _search_batch_stemmed,
+        "top_words_per_doc": lambda s, d: reports.top_words(_model(s, d)).select("doc_id", "rank", "term", _r("w")),
+        "idf_report": lambda s, d: reports.idf_list(_model(s, d)).select("term", "df", _r("idf")),
+        "top_idf": lambda s, d: reports.top_idf(_model(s, d)).select("term", _r("idf")),
+        "vector_report": lambda s, d: (lambda v: v.select("doc_id", *[_r(c) for c in v.columns[1:]]))(reports.vector_heads(_model(s, d))),
+        "stem_golden": _stem_golden,
+        "model_roundtrip": _roundtrip,
+    }
+
+
+_DOCS = "SELECT doc_id, text FROM documents"
+_ASK = f"SELECT 1 AS query_id, {sql.quoted(QUESTION)} AS text"
+
+
+def _texts() -> str:
+    rows = ", ".join(f"({-1 - k}, {_literal(t)})" for k, t in enumerate(LITERALS))
+    return f"({_DOCS} UNION ALL SELECT * FROM (VALUES {rows}) v(doc_id, text))"
+
+
+def _literal(t: str) -> str:
+    for ch in "\n\t\x0b":
+        if ch in t:
+            return " || ".join(f"chr({ord(p)})" if p == ch else sql.quoted(p) for p in _parts(t))
+    return sql.quoted(t)
+
+
+def _parts(t: str) -> list[str]:
+    out, held = [], ""
+    for c in t:
+        if c in "\n\t\x0b":
+            out += [held, c]
+            held = ""
+        else:
+            held += c
+    return [*out, held]
+
+
+def _counted(split: str, term: str, keep: str, source: str = "text") -> str:
+    return f"SELECT doc_id, {term} AS token, count(*) AS n FROM (SELECT doc_id, unnest(regexp_split_to_array({source}, '{split}')) AS t FROM {_texts()}) WHERE {keep} GROUP BY ALL"
+
+
+def _tables_sql() -> str:
+    parts = []
+    for tbl in (0, 1, 2):
+        docs = f"SELECT DISTINCT article_id AS doc_id, article_text AS text FROM test_tbl_{tbl}"
+        asked = f"SELECT DISTINCT CAST(query_id AS BIGINT) AS query_id, query AS text FROM queries WHERE tbl = {tbl}"
+        parts.append(f"SELECT * FROM ({sql.model(docs)}{sql.scores(asked)} SELECT {tbl} AS tbl, query_id, CAST(rank AS INTEGER) AS rank, doc_id, similarity FROM ranked WHERE rank <= 10)")
+    return " UNION ALL ".join(parts)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    model, oracle, ask = sql.model(_DOCS), sql.model(_DOCS, "oracle"), sql.scores(_ASK)
+    top = "SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, similarity FROM ranked WHERE rank <= 10"
+    batch = sql.model("SELECT DISTINCT article_id AS doc_id, article_text AS text FROM test_tbl_3") + sql.scores("SELECT DISTINCT CAST(query_id AS BIGINT) AS query_id, query AS text FROM queries WHERE tbl = 3")
+    heads = "first10 AS (SELECT term, row_number() OVER (ORDER BY term) AS k FROM vocab ORDER BY term LIMIT 10)"
+    columns = ", ".join(f"round(coalesce(sum(w) FILTER (WHERE k = {k}), 0), 6) AS w{k}" for k in range(1, 11))
+    out = {
+        "corpus_count": "SELECT count(*) AS n_rows FROM documents",
+        "doc_prefix": f"{_DOCS} WHERE doc_id < 50",
+        "doc_range_scan": f"{_DOCS} WHERE doc_id BETWEEN 10 AND 60",
+        "doc_point_lookup": "SELECT rank, id, text FROM (VALUES " + ", ".join(f"({k}, {i})" for k, i in enumerate(IDS, 1)) + ") v(rank, id) LEFT JOIN documents ON id = doc_id",
+        "query_list": "SELECT DISTINCT tbl, query_id, trim(query) AS query FROM queries WHERE tbl IN (0, 1, 2, 3)",
+        "strip_accents_ascii": f"SELECT doc_id, {sql.STEPS['accents_to_ascii']('lower(text)')} AS cleaned FROM {_texts()}",
+        "printable_lower_quotes": f"SELECT doc_id, {sql.STEPS['clean_quotes'](sql.STEPS['printable_ascii']('lower(text)'))} AS cleaned FROM {_texts()}",
+        "clean_text": f"SELECT doc_id, {sql.clean('text')} AS cleaned FROM {_texts()}",
+        "tokenize_ws": _counted(r"[ \t\n\r]+", "t", "t <> ''"),
+        "tokenize_sep": _counted("[ ,.!?:;/]", "lower(t)", "t <> ''"),
+        "filter_stopwords": _counted(r"[ \t\n\r]+", "t", f"t <> '' AND strlen(t) > 1 AND t NOT IN ({sql.STOP})", "lower(text)"),
+        "snippet": f"SELECT doc_id, CASE WHEN length(text) > 100 THEN substring(text, 1, 100) || '...' ELSE text END AS snippet FROM {_texts()}",
+        "term_freq": f"{model} SELECT doc_id, term, tf FROM tf",
+        "doc_freq": f"{model} SELECT term, df FROM vocab",
+        "idf": f"{model} SELECT term, round(idf, 6) AS idf FROM vocab",
+        "vocab_size": f"{model} SELECT n_docs, (SELECT count(*) FROM vocab) AS vocab_size FROM meta",
+        "vocab_size_oracle": f"{oracle} SELECT n_docs, (SELECT count(*) FROM vocab) AS vocab_size FROM meta",
+        "term_lookup": f"{model} SELECT CAST(coalesce((SELECT sum(tf) FROM tf WHERE term = 'treaty' AND doc_id = 5), 0) AS BIGINT) AS freq FROM vocab WHERE term = 'treaty'",
+        "tfidf_weights": f"{model} SELECT doc_id, term, tf, round(w, 6) AS w FROM postings",
+        "tfidf_weights_oracle": f"{oracle} SELECT doc_id, term, tf, round(w, 6) AS w FROM postings",
+        "doc_norms": f"{model} SELECT doc_id, round(norm, 6) AS norm FROM norms",
+        "query_vector": f"{model}{ask} SELECT CAST(query_id AS BIGINT) AS query_id, term, tf, round(w, 6) AS w FROM qvec",
+        "query_norm": f"{model}{ask} SELECT CAST(query_id AS BIGINT) AS query_id, round(norm, 6) AS norm FROM qnorm",
+        "dot_product": f"{model}{ask} SELECT CAST(query_id AS BIGINT) AS query_id, doc_id, round(dot, 6) AS dot FROM dots",
+        "similarity_all": f"{model}{ask} SELECT CAST(query_id AS BIGINT) AS query_id, doc_id, similarity FROM sims",
+        "rank_all_oracle": f"{oracle}{sql.scores(_ASK, 'oracle')} SELECT CAST(query_id AS BIGINT) AS query_id, doc_id, similarity, CAST(rank AS INTEGER) AS rank FROM ranked",
+        "search_topk": f"{model}{ask} {top.replace('query_id', 'CAST(query_id AS BIGINT) AS query_id')}",
+        "search_topk_text": f"{model}{ask} SELECT CAST(query_id AS BIGINT) AS query_id, CAST(rank AS INTEGER) AS rank, doc_id, similarity, CASE WHEN length(text) > 100 THEN substring(text, 1, 100) || '...' ELSE text END AS snippet FROM ranked JOIN docs USING (doc_id) WHERE rank <= 10 AND text IS NOT NULL",
+        "search_tables": _tables_sql(),
+        "search_batch": f"{batch} {top}",
+        "top_words_per_doc": f"{model} SELECT doc_id, CAST(rank AS INTEGER) AS rank, term, round(w, 6) AS w FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(w, 9) DESC, term) AS rank FROM postings WHERE w > 0) WHERE rank <= 10",
+        "idf_report": f"{model} SELECT term, df, round(idf, 6) AS idf FROM vocab ORDER BY term LIMIT 20",
+        "top_idf": f"{model} SELECT term, round(idf, 6) AS idf FROM vocab ORDER BY round(idf, 9) DESC, term LIMIT 5",
+        "vector_report": f"{model}, {heads} SELECT doc_id, {columns} FROM docs LEFT JOIN (SELECT * FROM postings JOIN first10 USING (term)) USING (doc_id) GROUP BY doc_id",
+        "stem_golden": "SELECT * FROM (VALUES " + ", ".join(f"({sql.quoted(w)}, {sql.quoted(x)})" for w, x in STEMS.items()) + ") v(word, stem)",
+        "model_roundtrip": f"{model} SELECT doc_id, term, tf, round(w, 6) AS w FROM postings",
+    }
+    for step, make in sql.STEPS.items():
+        if step != "accents_to_ascii":
+            out.setdefault(step, f"SELECT doc_id, {make('text')} AS cleaned FROM {_texts()}")
+    return out
