@@ -50,7 +50,7 @@ HYPHENS = "‐‑﹣－"
 LIGATURES = range(0xFB00, 0xFB07)
 #: Characters that leave the JVM-only path.
 DIRTY = r"[^\t\n\r\x20-\x7E]"
-_WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|[̀-ͯ])*")
+_WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|[\u0300-\u036f])*")
 
 
 class _Glyphs(dict):
