@@ -1,7 +1,7 @@
 """One consistent form for text that looks the same (problem 1).
 
-``fold_lookalikes`` is the per-text rule, ``consistent_text`` its column form: pure ASCII text never leaves the JVM (the Arrow UDF
-receives NULL for it), so only the dirty share of a corpus pays for Python.  ``consistent_classes`` is the operator: look-alike-mapped
+``fold_lookalikes`` is the per-text rule, ``consistent_text`` its column form: text that already is in the form never leaves the JVM (the
+Arrow UDF receives NULL for it), so only the dirty share of a corpus pays for Python.  ``consistent_classes`` is the operator: look-alike-mapped
 values are grouped in SQL under the accent- and case-sensitive ICU collation ``UNICODE``, the least value of each class becomes its
 canonical member and is joined back.
 
@@ -48,8 +48,10 @@ TO_LATIN = str.maketrans(CYRILLIC | GREEK | ARMENIAN | OTHER)
 TO_SCRIPT = {name: str.maketrans({latin: own for own, latin in reversed(pairs.items())}) for name, pairs in SCRIPTS.items()}
 HYPHENS = "‐‑﹣－"
 LIGATURES = range(0xFB00, 0xFB07)
-#: Characters that leave the JVM-only path.
-DIRTY = r"[^\t\n\r\x20-\x7E]"
+#: Characters outside those that the form leaves as they are: ASCII, composed Latin letters, Latin-1 signs, quotation marks, dashes, ellipsis.
+#: A text that holds none of them already is in the form and never leaves the JVM.
+DIRTY = r"[^\t\n\r\x20-\x7E\u00A1-\u00AC\u00AE-\u024F\u1E00-\u1EFF\u2013\u2014\u2018\u2019\u201C-\u201E\u2026]"
+_DIRTY = re.compile(DIRTY)
 _WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|[\u0300-\u036f])*")
 
 
@@ -99,7 +101,7 @@ def fold_lookalikes(text: str | None) -> str | None:
     """The consistent form of one text."""
     if text is None:
         return None
-    if text.isascii() and text.isprintable():
+    if not _DIRTY.search(text):
         return text
     plain = text.translate(_GLYPHS)
     if not plain.isascii():
@@ -113,7 +115,7 @@ def _fold(texts: pd.Series) -> pd.Series:
 
 
 def consistent_text(text: Column) -> Column:
-    """Column form of :func:`fold_lookalikes`; clean ASCII text is passed through inside the JVM."""
+    """Column form of :func:`fold_lookalikes`; text in the form is passed through inside the JVM."""
     dirty = F.when(text.rlike(DIRTY), text)
     return F.coalesce(_fold(dirty), text)
 
