@@ -39,11 +39,16 @@ def _windows(mask: np.ndarray, width: int) -> np.ndarray:
     return np.flatnonzero(total[width:] - total[:-width] == width)
 
 
-def _codes(batch: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray]:
-    """All sequences of a batch behind each other, and where each begins (one more at the end)."""
-    raw = [np.frombuffer(x, dtype=np.int32) for x in batch.column(column).to_pylist()]
+def _slices(batch: pa.RecordBatch, most: int = 150_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """A batch in parts of about ``most`` words: keys, all sequences behind each other, and where each begins (one more at the end)."""
+    raw = [np.frombuffer(x, dtype=np.int32) for x in batch.column(1).to_pylist()]
+    keys = batch.column(0).to_numpy()
     ends = np.r_[0, np.cumsum([len(x) for x in raw])].astype(np.int64)
-    return np.concatenate(raw) if raw else np.zeros(0, dtype=np.int32), ends
+    at = 0
+    while at < len(raw):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, "right")) - 1)
+        yield keys[at:to], np.concatenate(raw[at:to]), ends[at : to + 1] - ends[at]
+        at = to
 
 
 def _encode(vocabulary):
@@ -75,11 +80,11 @@ def _count(size: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(size + 1, dtype=np.int64)
         for b in batches:
-            codes, ends = _codes(b, 1)
-            word, passage = _passages(codes, ends)
-            pair = np.unique(passage * size + word)
-            held[:size] += np.bincount(pair % size, minlength=size)
-            held[size] += np.ceil(np.diff(ends) / PASSAGE).astype(np.int64).sum()
+            for _, codes, ends in _slices(b):
+                word, passage = _passages(codes, ends)
+                pair = np.unique(passage * size + word)
+                held[:size] += np.bincount(pair % size, minlength=size)
+                held[size] += np.ceil(np.diff(ends) / PASSAGE).astype(np.int64).sum()
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(size + 1)), pa.array(held)], names=["word", "held"])
 
     return count
@@ -93,17 +98,17 @@ def _gram(thin):
         weighted = (idf[:, None] * x).astype(np.float32)
         out = np.zeros(x.shape, dtype=np.float64)
         for b in batches:
-            codes, ends = _codes(b, 1)
-            word, passage = _passages(codes, ends)
-            if not len(word):
-                continue
-            first = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]])
-            y = np.add.reduceat(weighted[word], first, axis=0)
-            of = np.cumsum(np.r_[False, passage[1:] != passage[:-1]])
-            order = np.argsort(word, kind="stable")
-            word = word[order]
-            start = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-            out[word[start]] += np.add.reduceat(y[of[order]], start, axis=0)
+            for _, codes, ends in _slices(b):
+                word, passage = _passages(codes, ends)
+                if not len(word):
+                    continue
+                new = np.r_[True, passage[1:] != passage[:-1]]
+                y = np.add.reduceat(weighted[word], np.flatnonzero(new), axis=0)
+                of = np.cumsum(new) - 1
+                order = np.argsort(word.astype(np.int16) if len(out) < 1 << 15 else word, kind="stable")  # short numbers are sorted by radix
+                word = word[order]
+                start = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+                out[word[start]] += np.add.reduceat(y[of[order]], start, axis=0)
         out *= idf[:, None]
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out))), *(pa.array(out[:, k]) for k in range(out.shape[1]))], names=["word", *(f"x{k}" for k in range(out.shape[1]))])
 
@@ -116,7 +121,7 @@ class LeakageIndex:
     NULL, empty and wordless texts, of items and documents, match nothing; repeated rows change nothing; NULL keys are left out.
     """
 
-    def __init__(self, docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, answer: str | None = None, *, rank: int = 24, oversample: int = 8, seed: int = 20, max_items: int = 100_000) -> None:
+    def __init__(self, docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, answer: str | None = None, *, rank: int = 16, oversample: int = 8, seed: int = 20, max_items: int = 100_000) -> None:
         self.spark = spark = docs.sparkSession
         picked = items.select(F.col(f"`{item_key}`").cast("bigint"), F.col(f"`{item_text}`").cast("string"), (F.col(f"`{answer}`").cast("string") if answer else F.lit(None).cast("string"))).where(F.col(f"`{item_key}`").isNotNull()).distinct().limit(max_items + 1).collect()
         if len(picked) > max_items:
@@ -213,29 +218,31 @@ def _search_runs(model, words: int, cosine: float):
         table, flat, item_start, owner, unit, direction, ids = model.value
         radius = np.sqrt(max(2 - 2 * cosine, 0)) + 1e-9
         projected = unit @ direction
-        for b in batches:
-            codes, ends = _codes(b, 1)
-            key = b.column(0).to_numpy()
+        for key, codes, ends in (part for b in batches for part in _slices(b)):
             starts = _windows(codes >= 0, words)
             doc = np.searchsorted(ends, starts, "right") - 1
             whole = starts + words <= ends[doc + 1]
             starts, doc = starts[whole], doc[whole]
+            # Only words that some window covers get a latent vector.
+            covered = np.zeros(len(codes) + 1, dtype=np.int32)
+            np.add.at(covered, starts, 1)
+            np.add.at(covered, starts + words, -1)
+            kept = np.cumsum(covered)[:-1] > 0
+            inner, place = codes[kept], np.cumsum(kept) - 1
             out: list[tuple[np.ndarray, ...]] = []
-            for at in range(0, len(starts), 200_000):
-                s, d = starts[at : at + 200_000], doc[at : at + 200_000]
-                lo, hi = s[0], s[-1] + words
-                mine = _latent(table, codes[lo:hi], s - lo, words)
+            if len(starts):
+                mine = _latent(table, inner, place[starts], words)
                 p = mine @ direction
                 left, right = np.searchsorted(projected, p - radius, "left"), np.searchsorted(projected, p + radius, "right")
                 n = right - left
-                w = np.repeat(np.arange(len(s)), n)
+                w = np.repeat(np.arange(len(starts)), n)
                 i = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(left, n)
                 near = np.einsum("ij,ij->i", mine[w], unit[i]) >= cosine - 1e-12
                 w, i = w[near], i[near]
                 step = np.arange(words)
-                equal = (codes[s[w][:, None] + step] == flat[item_start[i][:, None] + step]).all(axis=1)
+                equal = (codes[starts[w][:, None] + step] == flat[item_start[i][:, None] + step]).all(axis=1)
                 w, i = w[equal], i[equal]
-                out.append((d[w], owner[i], s[w], item_start[i]))
+                out.append((doc[w], owner[i], starts[w], item_start[i]))
             if not out:
                 continue
             d, o, s, t = (np.concatenate(x) for x in zip(*out, strict=True))
@@ -266,9 +273,7 @@ def _search_paraphrases(model, width: int, cosine: float, share: float):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, flat, item_start, owner, unit, ids, answers = model.value
         half = width // 2
-        for b in batches:
-            codes, ends = _codes(b, 1)
-            key = b.column(0).to_numpy()
+        for key, codes, ends in (part for b in batches for part in _slices(b)):
             at = np.arange(len(codes)) - np.repeat(ends[:-1], np.diff(ends))
             known = np.r_[0, np.cumsum(codes >= 0)]
             starts = np.flatnonzero(at % (width // 4) == 0)
