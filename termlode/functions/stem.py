@@ -1,4 +1,4 @@
-"""English stemmer after the published "Porter2" description, and its use over columns.
+"""English stemmer after the published "Porter2" description, and the use of stemmers over columns.
 
 Spark has no stemmer.  ``stem_column`` is an Arrow UDF with a memo of its own; callers give it distinct terms, which are far fewer than
 tokens.
@@ -13,6 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from termlode.functions.stem_portuguese import stem_portuguese
+
 _VOWELS = frozenset("aeiouy")
 _DOUBLES = frozenset(("bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt"))
 # Fixed values of the published algorithm.
@@ -120,7 +122,7 @@ def stem_english(word: str) -> str:
     return word.replace("Y", "y")
 
 
-STEMMERS = {"english": stem_english}
+STEMMERS = {"english": stem_english, "portuguese": stem_portuguese}
 
 
 def stem_column(c: Column, language: str = "english") -> Column:

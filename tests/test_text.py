@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from termlode.functions import text as T
 from termlode.functions.stem import stem_english
+from termlode.functions.stem_portuguese import stem_portuguese
 from termlode.functions.stopwords import ENGLISH, SEPARATORS, read_words
 from termlode.plans.catalog import STEMS
 
@@ -79,6 +80,20 @@ def test_stemmer(word, stem):
     assert stem_english(word) == stem
 
 
+# Published examples of the Portuguese stemmer.
+PORTUGUESE = (
+    "boa boa boainain boainain boas boas bôas bôas boassu boassu boataria boat boate boat boates boat boatos boat bob bob boba bob bobagem bobag bobagens bobagens bobalhões bobalhõ bobear bob bobeira bobeir "
+    "bobinho bobinh bobinhos bobinh bobo bob bobs bobs boca boc bocadas boc bocadinho bocadinh bocado boc bocaiúva bocaiúv boçal boçal bocarra bocarr bocas boc bode bod bodoque bodoqu body body boeing boeing "
+    "boem boem boemia boem boêmio boêmi boêmios boêmi quilométricas quilométr quilométrico quilométr quilômetro quilômetr quilômetros quilômetr quilos quil quimeras quim química químic químicas químic químico "
+    "químic químicos químic quimioterapia quimioterap quimioterápicos quimioteráp quinhão quinhã quinhões quinhõ quinta quint quintal quintal quintas quint quinto quint quinze quinz quinzena quinzen quiosque quiosqu"
+).split()
+
+
+@pytest.mark.parametrize(("word", "stem"), zip(PORTUGUESE[::2], PORTUGUESE[1::2], strict=True))
+def test_portuguese_stemmer(word, stem):
+    assert stem_portuguese(word) == stem
+
+
 @given(st.text(alphabet="abcdeilnorstuy'-", max_size=12))
 def test_stemmer_takes_anything(word):
     assert len(stem_english(word)) <= len(word) + 1
