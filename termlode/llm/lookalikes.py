@@ -30,6 +30,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from termlode.plans.scratch import cut_lineage
+
 # Letters of other scripts that print like a Latin letter.
 CYRILLIC = {
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X",
@@ -128,23 +130,22 @@ def consistent_classes(texts: DataFrame, key: str, text: str) -> DataFrame:
     form in code-point order and ``class_id`` its least key.  Texts without a letter or digit are in no class and give no row; NULL keys
     and NULL texts give none either.  Repeated rows of a key count once.
 
-    Work: one shuffle to make keys unique, one grouping over distinct forms and one join back.  Copies of a form, however many, are
-    reduced to one row before they meet the collation.
+    Work: one shuffle to make keys unique, one grouping of the distinct forms under the collation, one join back by the form.  Copies of a
+    form, however many, are one row before they meet the collation.
     """
     from termlode.llm.words import HAS_WORD, records
 
     spark: SparkSession = texts.sparkSession
     mapped = records(texts, key, text).withColumn("form", consistent_text(F.col("text")))
-    mapped = mapped.where(F.col("form").rlike(HAS_WORD))
+    mapped = cut_lineage(mapped.where(F.col("form").rlike(HAS_WORD)), "mapped")  # read twice below
     return spark.sql(
         """
         WITH forms AS (SELECT form, min(rec_id) AS least_id FROM {mapped} GROUP BY form),
         classes AS (
-            SELECT min(form) AS canonical, min(least_id) AS class_id, min(form) COLLATE UNICODE AS face
-            FROM forms GROUP BY form COLLATE UNICODE
+            SELECT form, min(form) OVER face AS canonical, min(least_id) OVER face AS class_id
+            FROM forms WINDOW face AS (PARTITION BY form COLLATE UNICODE)
         )
-        SELECT m.rec_id, m.text, m.form, c.canonical, c.class_id
-        FROM {mapped} m JOIN classes c ON m.form COLLATE UNICODE = c.face
+        SELECT m.rec_id, m.text, m.form, c.canonical, c.class_id FROM {mapped} m JOIN classes c ON m.form = c.form
         """,
         mapped=mapped,
     )
@@ -157,18 +158,26 @@ def lookalike_pairs(classes: DataFrame) -> DataFrame:
     of one string, however many, never meet each other; the work is that of the result.
     """
     spark = classes.sparkSession
+    # Most classes have one string only and end here.
+    variants = spark.sql(
+        """
+        WITH strings AS (SELECT class_id, form, text, min(rec_id) AS variant FROM {classes} GROUP BY class_id, form, text),
+        mixed AS (SELECT class_id FROM strings GROUP BY class_id HAVING count(*) > 1)
+        SELECT s.* FROM strings s JOIN mixed m ON s.class_id = m.class_id
+        """,
+        classes=classes,
+    )
+    variants = cut_lineage(variants, "variants")
+    members = classes.select("rec_id", "class_id", "text").join(variants.select("class_id", "text", "variant"), ["class_id", "text"]).select("rec_id", "variant")
     return spark.sql(
         """
-        WITH variants AS (
-            SELECT class_id, form, text, min(rec_id) AS variant FROM {classes} GROUP BY class_id, form, text
-        ), members AS (
-            SELECT c.rec_id, v.variant FROM {classes} c JOIN variants v ON c.class_id = v.class_id AND c.text = v.text
-        ), mixed AS (
+        WITH mixed AS (
             SELECT a.variant AS a, b.variant AS b
-            FROM variants a JOIN variants b ON a.class_id = b.class_id AND a.form = b.form AND a.variant < b.variant
+            FROM {variants} a JOIN {variants} b ON a.class_id = b.class_id AND a.form = b.form AND a.variant < b.variant
         )
         SELECT least(x.rec_id, y.rec_id) AS key_a, greatest(x.rec_id, y.rec_id) AS key_b
-        FROM mixed p JOIN members x ON x.variant = p.a JOIN members y ON y.variant = p.b
+        FROM mixed p JOIN {members} x ON x.variant = p.a JOIN {members} y ON y.variant = p.b
         """,
-        classes=classes,
+        variants=variants,
+        members=cut_lineage(members, "members"),
     )
