@@ -3,7 +3,7 @@ import sqlite3
 import pytest
 
 from termlode import cli
-from termlode.sources import readers
+from termlode.sources import models, readers
 
 
 def test_tsv(spark, tmp_path):
@@ -68,3 +68,13 @@ def test_cli(spark, database, tmp_path, capsys):
     assert "rank" in capsys.readouterr().out
     with pytest.raises(SystemExit):
         cli.main(["search", "--unknown"], spark)
+
+
+def test_models_from_sources(spark, database, tmp_path):
+    (tmp_path / "documentos").mkdir()
+    (tmp_path / "documentos" / "doc1.txt").write_text("Os bobinhos químicos", encoding="utf-8")
+    (tmp_path / "documentos" / "doc2.txt").write_text("os quiosque", encoding="utf-8")
+    (tmp_path / "separators").write_text(" \n,\n", encoding="utf-8")
+    model = models.model_from_directory(spark, str(tmp_path), ["os"], separators=tmp_path / "separators")
+    assert {r["term"] for r in model.vocab.collect()} == {"bobinh", "químic", "quiosqu"}
+    assert models.model_from_table(spark, database, "sample_articles").meta.first()["n_docs"] == 13
