@@ -68,7 +68,8 @@ def _leaf_counter(memory: str, threads: int = 1):
                 where, first = fs.FileSystem.from_uri(files[0])
                 paths = [first, *(fs.FileSystem.from_uri(f)[1] for f in files[1:])]
                 leaf = ds.dataset(paths, filesystem=where, format="parquet").scanner(columns=["term", "occurrences", "records"], batch_size=65_536).to_reader()
-                with duckdb.connect(config={"memory_limit": memory, "threads": threads, "temp_directory": spill, "preserve_insertion_order": False}) as db:
+                options = {"memory_limit": memory, "threads": threads, "preserve_insertion_order": False} | ({"temp_directory": spill} if spill else {})
+                with duckdb.connect(config=options) as db:
                     db.register("leaf", leaf)
                     got = db.sql("SELECT term, sum(occurrences)::BIGINT AS occurrences, sum(records)::BIGINT AS records FROM leaf GROUP BY term").to_arrow_reader(65_536)
                     yield from got
@@ -100,8 +101,10 @@ def count_terms(df: DataFrame, key: str, text: str, *, bits: int = 5, leaf_rows:
         level = spilled.where(F.col("radix").isin(large)).drop("radix")
     if not leaves:
         return spark.createDataFrame([], PARTIAL)
-    spill = scratch_path(spark, "duckdb").removeprefix("file://")
-    tasks = spark.createDataFrame([(files, f"{spill}/{k}") for k, files in enumerate(leaves)], "files array<string>, spill string")
+    # DuckDB can spill to a mounted shared folder only; elsewhere ``leaf_rows`` keeps leaves within memory.
+    spill = scratch_path(spark, "duckdb")
+    spill = spill.removeprefix("file://") if "://" not in spill or spill.startswith("file://") else ""
+    tasks = spark.createDataFrame([(files, f"{spill}/{k}" if spill else "") for k, files in enumerate(leaves)], "files array<string>, spill string")
     return cut_lineage(tasks.repartition(len(leaves)).mapInArrow(_leaf_counter(leaf_memory), PARTIAL), "terms")
 
 

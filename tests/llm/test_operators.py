@@ -198,9 +198,9 @@ def test_adjusted_scores(texts):
 # 5
 
 
-@pytest.mark.parametrize("radix", [{}, {"bits": 2, "leaf_rows": 50}, {"bits": 16, "leaf_rows": 1}])
+@pytest.mark.parametrize("radix", [{}, {"bits": 4, "leaf_rows": 1500}, {"bits": 16, "leaf_rows": 1}])
 def test_frequencies(texts, nothing, articles, radix):
-    for df, rows, k, t in ((texts, TEXTS, "id", "t"), (*articles, "article_id", "article_text"))[:: 1 if not radix or radix["bits"] == 2 else 2]:
+    for df, rows, k, t in ((texts, TEXTS, "id", "t"), (*articles, "article_id", "article_text"))[:: 1 if not radix or radix["bits"] == 4 else 2]:
         if radix.get("bits") == 16:
             df, rows = df.where("id < 18"), [r for r in TEXTS if r[0] is not None and r[0] < 18]
         got = frequencies.term_frequencies(df, k, t, **radix).collect()
