@@ -1,8 +1,7 @@
 """Text normalisation and tokenising as column expressions.
 
 Every function takes a Column and gives a Column; NULL stays NULL.  All but :func:`remove_accents` are JVM expressions, so ``clean_text``
-is a single projection inside whole-stage codegen.  Alone, a step works on Unicode text; inside ``clean_text``, where the text is ASCII from
-the third step on, it uses the cheaper ASCII classes.
+is a single projection inside whole-stage codegen.  Alone, a step works on Unicode text.
 """
 
 from __future__ import annotations
@@ -17,16 +16,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 _BLANK = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
-_ASCII_BLANK = r"[\s\x1c-\x1f]+"
 _LETTER, _DIGIT, _WORD = r"[\p{L}\p{Nl}\p{No}]", r"\p{Nd}", r"[\p{L}\p{N}_]"
-_ASCII_LETTER, _ASCII_DIGIT, _ASCII_WORD = "[A-Za-z]", "[0-9]", r"\w"
 # Characters that become a space.
 SYMBOLS = '#:"()[]{}~=_|;<>*$`\\'
 ENDS = "?!/"
 
 
-def _collapse(c: Column, ascii_only: bool = False) -> Column:
-    return F.trim(F.regexp_replace(c, _ASCII_BLANK if ascii_only else _BLANK, " "))
+def _collapse(c: Column) -> Column:
+    return F.trim(F.regexp_replace(c, _BLANK, " "))
 
 
 def _lonely(c: Column, mark: str, neighbour: str) -> Column:
@@ -66,8 +63,8 @@ def remove_accents(c: Column) -> Column:
 
 
 def accents_to_ascii(c: Column) -> Column:
-    """Accents off and whatever is not ASCII then removed, without leaving the JVM."""
-    return remove_non_ascii(F.translate(c, *_ascii_bases()))
+    """Accents off and whatever is not ASCII then removed, without leaving the JVM.  ASCII text is passed through."""
+    return F.when(c.rlike(r"[^\x00-\x7F]"), remove_non_ascii(F.translate(c, *_ascii_bases()))).otherwise(c)
 
 
 def remove_non_ascii(c: Column) -> Column:
@@ -111,15 +108,17 @@ def remove_apostrophe_s(c: Column) -> Column:
     return _collapse(F.replace(c, F.lit("'s "), F.lit(" ")))
 
 
+# Whatever becomes a space in a text that is lower-case ASCII: blanks, symbols, and marks that lack a neighbour they need.  The neighbours are
+# letters, digits and word characters, which no step changes, so the order of the steps does not matter and one pass does them all.
+_TO_SPACE = (
+    "(?:[\\s\\x1c-\\x1f" + "".join("\\" + ch for ch in SYMBOLS + ENDS) + "]|(?<![a-z])'|'(?![a-z])|(?<![0-9]),|,(?![0-9])|(?<!\\w)[-.]|[-.](?!\\w))+"
+)
+
+
 def clean_text(c: Column) -> Column:
-    """All eleven steps in their order, as one projection with two collapses (the last needs single spaces to look at)."""
-    t = unescape_quotes(accents_to_ascii(lower(c)))
-    t = _lonely(t, "'", _ASCII_LETTER)
-    t = _lonely(t, ",", _ASCII_DIGIT)
-    t = _lonely(t, "-", _ASCII_WORD)
-    t = _lonely(t, r"\.", _ASCII_WORD)
-    t = _collapse(_spaces(t, SYMBOLS + ENDS), ascii_only=True)
-    return _collapse(F.replace(t, F.lit("'s "), F.lit(" ")), ascii_only=True)
+    """All eleven steps, as one projection with three passes over the text once its accents are off."""
+    t = F.trim(F.regexp_replace(unescape_quotes(accents_to_ascii(lower(c))), _TO_SPACE, " "))
+    return F.replace(t, F.lit("'s "), F.lit(" "))
 
 
 def printable_ascii(c: Column) -> Column:

@@ -105,12 +105,17 @@ def model_from_counts(docs: DataFrame, tf: DataFrame, options: TextOptions) -> M
         n_docs = docs.agg(F.count("*").alias("n_docs"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     vocab = df.join(F.broadcast(n_docs)).select("term", "df", idf_weight(F.col("n_docs"), F.col("df")).alias("idf"))  # n_docs is one row
-    postings = tf.join(vocab, "term").select("doc_id", "term", "tf", (tf_weight(F.col("tf")) * F.col("idf")).alias("w"))
+    postings = weighted(tf, vocab)
     doc_norms = norms_of(docs, postings)
     meta = n_docs.join(F.broadcast(vocab.agg(F.count("*").alias("vocab_size"))))
     return Model(docs, tf, vocab, postings, doc_norms, meta, options)
 
 
+def weighted(tf: DataFrame, vocab: DataFrame) -> DataFrame:
+    """``(doc_id, term, tf, w)``."""
+    return tf.join(vocab, "term").select("doc_id", "term", "tf", (tf_weight(F.col("tf")) * F.col("idf")).alias("w"))
+
+
 def norms_of(docs: DataFrame, postings: DataFrame) -> DataFrame:
     """``(doc_id, norm)`` for every document; 0 without a term."""
     own = postings.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
@@ -120,7 +125,8 @@ def norms_of(docs: DataFrame, postings: DataFrame) -> DataFrame:
 def build_model(df: DataFrame, key: str, text: str, options: TextOptions | None = None, *, entries: int = 0, materialise: bool = False) -> Model:
     """Model of a table.  ``entries``: only ids below it (0 or more than there are: all).
 
-    ``materialise`` writes the term counts once, so that the text is read and tokenised once for vocabulary, weights and norms together.
+    ``materialise`` writes counts, vocabulary and weights, each once, so that neither the text nor the joins are worked out again for every
+    part of a search.
     Ids are expected to be unique; documents keep their own id, whatever gaps or NULL texts there are.
     """
     if entries < 0:
@@ -130,6 +136,10 @@ def build_model(df: DataFrame, key: str, text: str, options: TextOptions | None
     if entries:
         docs = docs.where(F.col("doc_id") < entries)
     tf = count_terms(docs, "doc_id", options)
-    if materialise:
-        tf = cut_lineage(tf, "tf")
-    return model_from_counts(docs, tf, options)
+    if not materialise:
+        return model_from_counts(docs, tf, options)
+    model = model_from_counts(docs, cut_lineage(tf, "tf"), options)
+    model.vocab = cut_lineage(model.vocab, "vocab")
+    model.postings = cut_lineage(weighted(model.tf, model.vocab), "postings")
+    model.doc_norms = norms_of(docs, model.postings)
+    return model

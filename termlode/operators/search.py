@@ -26,20 +26,27 @@ def query_norms(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     return queries.select("query_id").distinct().join(own, "query_id", "left").select("query_id", F.coalesce("norm", F.lit(0.0)).alias("norm"))
 
 
+def _products(model: Model, vectors: DataFrame) -> DataFrame:
+    q = vectors.where("w > 0").select("query_id", "term", F.col("w").alias("qw"))
+    return model.postings.where("w > 0").join(q, "term").select("query_id", "doc_id", (F.col("w") * F.col("qw")).alias("dot"))
+
+
 def dot_products(model: Model, vectors: DataFrame) -> DataFrame:
     """``(query_id, doc_id, dot)`` of pairs that share a term of positive weight."""
-    q = vectors.where("w > 0").select("query_id", "term", F.col("w").alias("qw"))
-    d = model.postings.where("w > 0").select("doc_id", "term", "w")
-    return d.join(q, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
+    return _products(model, vectors).groupBy("query_id", "doc_id").agg(F.sum("dot").alias("dot"))
 
 
-def positive_scores(model: Model, queries: DataFrame, digits: int = 6) -> DataFrame:
-    """``(query_id, doc_id, similarity)`` above zero, rounded so that the order doesn't hang on the order of additions."""
-    vectors = query_vectors(model, queries)
-    norms = query_norms(queries, vectors)
-    dots = dot_products(model, vectors).join(norms.withColumnRenamed("norm", "qn"), "query_id").join(model.doc_norms, "doc_id")
+def _cosines(model: Model, norms: DataFrame, dots: DataFrame, digits: int = 6) -> DataFrame:
+    """Rounded, so that the order doesn't hang on the order of additions; 0 where a norm is 0."""
+    both = dots.join(norms.withColumnRenamed("norm", "qn"), "query_id").join(model.doc_norms, "doc_id")
     product = F.col("qn") * F.col("norm")
-    return dots.select("query_id", "doc_id", F.round(F.when(product > 0, F.col("dot") / product).otherwise(0.0), digits).alias("similarity")).where("similarity > 0")
+    return both.select("query_id", "doc_id", F.round(F.when(product > 0, F.col("dot") / product).otherwise(0.0), digits).alias("similarity"))
+
+
+def positive_scores(model: Model, queries: DataFrame) -> DataFrame:
+    """``(query_id, doc_id, similarity)`` above zero."""
+    vectors = query_vectors(model, queries)
+    return _cosines(model, query_norms(queries, vectors), dot_products(model, vectors)).where("similarity > 0")
 
 
 def similarity_all(model: Model, queries: DataFrame) -> DataFrame:
@@ -58,18 +65,18 @@ def rank_all(model: Model, queries: DataFrame) -> DataFrame:
 def search_many(model: Model, queries: DataFrame, k: int = 10) -> DataFrame:
     """``(query_id, rank, doc_id, similarity)``: the ``min(k, N)`` best documents of each query, ties by id.
 
-    Documents that score 0 fill up in order of id.  They come from the ``2k`` least ids: a query that has fewer than k positive documents
-    leaves at least k of those free.
+    Documents that score 0 fill up in order of id.  They come from the ``2k`` least ids, which take part with a product of 0: a query that
+    has fewer than k positive documents leaves at least k of those free.
     """
     if k <= 0:
         return model.docs.sparkSession.createDataFrame([], "query_id long, rank int, doc_id long, similarity double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "doc_id")
-    best = positive_scores(model, queries).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")
+    vectors = query_vectors(model, queries)
     least = model.docs.select("doc_id").orderBy("doc_id").limit(2 * k)
-    found = best.groupBy("query_id").agg(F.collect_list("doc_id").alias("found"))  # k ids at most
-    short = queries.select("query_id").distinct().join(found, "query_id", "left").withColumn("found", F.coalesce("found", F.array().cast("array<bigint>"))).where(F.size("found") < k)
-    fill = short.join(F.broadcast(least)).where(~F.array_contains("found", F.col("doc_id"))).select("query_id", "doc_id", F.lit(0.0).alias("similarity"))
-    return best.unionByName(fill).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "similarity")
+    zeros = queries.select("query_id").distinct().join(F.broadcast(least)).select("query_id", "doc_id", F.lit(0.0).alias("dot"))
+    dots = _products(model, vectors).unionByName(zeros).groupBy("query_id", "doc_id").agg(F.sum("dot").alias("dot"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "doc_id")
+    ranked = _cosines(model, query_norms(queries, vectors), dots).withColumn("rank", F.row_number().over(order))
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "similarity")
 
 
 def with_text(model: Model, ranked: DataFrame, length: int = 100) -> DataFrame:

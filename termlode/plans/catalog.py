@@ -14,7 +14,7 @@ from termlode.operators import reports, search
 from termlode.operators.model import Model, TextOptions, build_model
 from termlode.plans import sql
 from termlode.plans.scratch import scratch_path
-from termlode.plans.tables import table
+from termlode.plans.tables import spread, table
 from termlode.sources import readers
 from termlode.sources.store import ModelStore
 
@@ -50,8 +50,12 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents")
 
 
+def _texts_of(spark: SparkSession, d: str) -> DataFrame:
+    return spread(_docs(spark, d).select("doc_id", "text"))
+
+
 def _model(spark: SparkSession, d: str, options: TextOptions = PLAIN) -> Model:
-    return build_model(_docs(spark, d), "doc_id", "text", options)
+    return build_model(_texts_of(spark, d), "doc_id", "text", options)
 
 
 def _r(name: str, digits: int = 6) -> Column:
@@ -60,7 +64,7 @@ def _r(name: str, digits: int = 6) -> Column:
 
 def _literal_texts(spark: SparkSession, d: str) -> DataFrame:
     own = spark.createDataFrame([(-1 - k, t) for k, t in enumerate(LITERALS)], "doc_id bigint, text string")
-    return _docs(spark, d).select("doc_id", "text").unionByName(own)
+    return _texts_of(spark, d).unionByName(own)
 
 
 def _cleaning(function) -> Callable[[SparkSession, str], DataFrame]:
@@ -80,12 +84,12 @@ def _asked(spark: SparkSession, d: str, tbl: int) -> DataFrame:
 
 
 def _articles(spark: SparkSession, d: str, tbl: int) -> DataFrame:
-    return table(spark, d, f"test_tbl_{tbl}").select("article_id", "article_text").distinct()
+    return spread(table(spark, d, f"test_tbl_{tbl}").select("article_id", "article_text")).distinct()
 
 
 def _with_question(make, options: TextOptions = PLAIN) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        model = _model(spark, d, options)
+        model = build_model(_texts_of(spark, d), "doc_id", "text", options, materialise=True)
         return make(model, _question(model))
 
     return run
@@ -117,8 +121,8 @@ def _search_batch_stemmed(spark: SparkSession, d: str) -> DataFrame:
 
 def _roundtrip(spark: SparkSession, d: str) -> DataFrame:
     store = ModelStore(scratch_path(spark, "models"))
-    store.get_or_build(_docs(spark, d), "doc_id", "text", PLAIN)
-    return store.get_or_build(_docs(spark, d), "doc_id", "text", PLAIN).postings.select("doc_id", "term", "tf", _r("w"))
+    store.get_or_build(_texts_of(spark, d), "doc_id", "text", PLAIN)
+    return store.get_or_build(_texts_of(spark, d), "doc_id", "text", PLAIN).postings.select("doc_id", "term", "tf", _r("w"))
 
 
 def _by_ids(spark: SparkSession, d: str) -> DataFrame:

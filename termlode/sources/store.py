@@ -9,7 +9,7 @@ from dataclasses import asdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termlode.operators.model import Model, TextOptions, count_terms, model_from_counts, picked
+from termlode.operators.model import Model, TextOptions, count_terms, model_from_counts, norms_of, picked, weighted
 
 TABLES = ("tf", "vocab", "postings", "doc_norms", "meta")
 
@@ -57,8 +57,9 @@ class ModelStore:
             model.vocab.write.mode("overwrite").parquet(f"{at}/vocab")
             model.vocab = spark.read.parquet(f"{at}/vocab")
             # Sorted by term: a search reads only the row groups its terms are in.
+            model.postings = weighted(model.tf, model.vocab)
             model.postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{at}/postings")
-            model.doc_norms.write.mode("overwrite").parquet(f"{at}/doc_norms")
+            norms_of(docs, spark.read.parquet(f"{at}/postings")).write.mode("overwrite").parquet(f"{at}/doc_norms")
             model.meta.write.mode("overwrite").parquet(f"{at}/meta")
         stored = {t: spark.read.parquet(f"{at}/{t}") for t in TABLES}
         return Model(docs, stored["tf"], stored["vocab"], stored["postings"], stored["doc_norms"], stored["meta"], options)

@@ -89,7 +89,7 @@ PORTUGUESE = (
 ).split()
 
 
-@pytest.mark.parametrize(("word", "stem"), zip(PORTUGUESE[::2], PORTUGUESE[1::2], strict=True))
+@pytest.mark.parametrize(("word", "stem"), list(zip(PORTUGUESE[::2], PORTUGUESE[1::2], strict=True)))
 def test_portuguese_stemmer(word, stem):
     assert stem_portuguese(word) == stem
 
