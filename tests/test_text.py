@@ -11,6 +11,7 @@ from termlode.functions.stem_portuguese import stem_portuguese
 from termlode.functions.stopwords import ENGLISH, SEPARATORS, read_words
 from termlode.plans.catalog import STEMS
 
+# Worked examples of each cleaning step.
 CASES = {
     T.unescape_quotes: [(r"escapado \'teste\' simples", "escapado 'teste' simples")],
     T.clean_quotes: [("O'Neill venceu", "O'Neill venceu"), ("'inicio sem letra", "inicio sem letra"), ("rock 'n' roll", "rock n roll"), ("muitas aspas ''''''' no meio", "muitas aspas no meio"), ("linha\n'quebra", "linha quebra"), ("a'b'c", "a'b'c"), ("a''b", "a b"), ("l'été", "l'été"), ("1'2", "1 2")],
