@@ -93,9 +93,10 @@ def count_terms(df: DataFrame, key: str, text: str, *, bits: int = 5, leaf_rows:
         if depth == depths[-1]:
             large = []  # hashes are used up: DuckDB takes what is left from disk, whatever its size
         by_radix: dict[str, list[str]] = {}
-        for f in spilled.where(~F.col("radix").isin(large)).inputFiles() if large else spilled.inputFiles():
+        for f in spilled.inputFiles():  # all files, whatever filter stands before: a read by path isn't pruned here
             by_radix.setdefault(f.rpartition("/")[0], []).append(f)
-        leaves += by_radix.values()
+        split = {f"radix={k}" for k in large}
+        leaves += [files for folder, files in by_radix.items() if folder.rpartition("/")[2] not in split]
         if not large:
             break
         level = spilled.where(F.col("radix").isin(large)).drop("radix")

@@ -210,6 +210,17 @@ def test_frequencies(texts, nothing, articles, radix):
     assert frequencies.term_frequencies(nothing, "id", "t").count() == 0
 
 
+@pytest.mark.parametrize("leaf_rows", [40, 127])
+def test_split_partitions_are_counted_once(spark, articles, leaf_rows):
+    df, rows = articles
+    got = frequencies.count_terms(df, "article_id", "article_text", bits=3, leaf_rows=leaf_rows).collect()
+    terms = brute.frequencies(rows)
+    assert len(got) == len(terms) + 1 == len({r["term"] for r in got})  # one row more for the totals
+    assert {r["term"]: (r["occurrences"], r["records"]) for r in got if r["term"]} == terms
+    marked = frequencies.term_frequencies(df, "article_id", "article_text", bits=3, leaf_rows=leaf_rows).collect()
+    assert len(marked) == len(terms)
+
+
 # 6
 
 SCORES = [(1, k % 7, k % 11, float(k % 5)) for k in range(300)] + [
