@@ -76,20 +76,27 @@ _EVIDENCE = [
     r"\bthis is (?:a )?(?:test|placeholder|dummy|sample)\b", r"\bcoming soon\b", r"\bunder construction\b",
 ]
 EVIDENCE = re.compile("|".join(_EVIDENCE), re.IGNORECASE)
-#: Words of which every kind of evidence holds at least one; sentences without any skip the patterns.  Compounds with "error" or "exception"
-#: and words that begin with "platzhalter" count as well.
+#: Words of which every kind of evidence holds at least one, or else one of ``KEY_PARTS`` anywhere; sentences without any skip the patterns.
+#: Words here are runs of letters, as ``\b`` sees them: "javascript-enabled" holds "javascript".
 KEYS = frozenset(
-    "javascript java script scripts cookies js browser navegador skripte loading seconds turn switch found exists exist find check bad gateway upstream timeout connection request unavailable again later requests wait "
+    "javascript java script scripts cookies js browser navegador skripte loading turn switch found exists exist find check bad gateway upstream timeout connection request unavailable again later requests wait "
     "denied permission incident expired sign oops sorry wrong loaded load connect complete database traceback file stack line encuentra encontró encontrada encontrado mudado compruebe verifique negado denegado refusé "
     "verweigert zugriff indisponível disponible tente inténtelo intente dienst seite prüfen versuchen permissão permiso berechtigung lorem placeholder goes replace sample your dummy blindtext mustertext beispieltext "
-    "hier aqui aquí exemplo ejemplo relleno preenchimento prueba teste substitua sustituya ersetzen parágrafo párrafo absatz testar probar ansicht test soon construction ative habilite habilite-os active habilítelos "
-    "aktivieren aktiviere activez einschalten precisa requiere necesita requer exige benötigt erfordert braucht schalten deaktiviert desactivado desativado access forbidden internal not endereço dirección código".split()
+    "hier aqui aquí exemplo ejemplo relleno preenchimento prueba teste substitua sustituya ersetzen parágrafo párrafo absatz testar probar ansicht test soon construction ative habilite active habilítelos "
+    "aktivieren aktiviere activez einschalten precisa requiere necesita requer exige benötigt erfordert braucht schalten deaktiviert desactivado desativado access not endereço dirección código erro fehler fehlercode".split()
 )
+KEY_PARTS = ("error", "exception", "platzhalter", "# seconds", "# forbidden", "# internal")  # their patterns leave a side open
+_LIKE_ASCII = str.maketrans("ıſ", "is")  # letters that patterns take for these without regard to case
+_PART = re.compile(r"[^\W_]+")
 
 
 def has_evidence(sentence: str, words: list[str]) -> bool:
     """Whether a normalised sentence holds one of the fixed messages; ``words``: its words."""
-    if KEYS.isdisjoint(words) and "error" not in sentence and "exception" not in sentence and "platzhalter" not in sentence:
+    ascii_only = sentence.isascii()
+    plain = sentence if ascii_only else sentence.translate(_LIKE_ASCII)
+    if not ascii_only or "-" in plain or "'" in plain:
+        words = _PART.findall(plain)
+    if KEYS.isdisjoint(words) and not any(x in plain for x in KEY_PARTS):
         return False
     return bool(EVIDENCE.search(sentence))
 

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import duckdb
 import numpy as np
@@ -366,6 +367,19 @@ def test_no_residue(text):
     assert not residue.is_residue(text)
 
 
+@pytest.mark.parametrize("text", ["Erro 404", "Fehler 500", "Fehlercode: 3\nFehlercode 17", "HTTP erro 503", "This page needs a JavaScript-enabled viewer.", "Without-cookies reading: cookies’ support is off", "12 internals", "JavaScrıpt is disabled"])
+def test_residue_without_a_plain_key(text):
+    assert residue.is_residue(text) and residue.is_residue(text.upper())
+
+
+@pytest.mark.parametrize("pattern", residue._EVIDENCE)
+@settings(max_examples=25, deadline=None)
+@given(data=st.data())
+def test_no_evidence_is_skipped(pattern, data):
+    sentence = residue.normal_line(data.draw(st.from_regex(re.compile(pattern, re.IGNORECASE))))
+    assert residue.has_evidence(sentence, residue._TOKEN.findall(sentence)) == bool(residue.EVIDENCE.search(sentence))
+
+
 def test_residue_by_host(spark, nothing):
     frame_line = "The whole archive of all the letters and papers is open to members of the club on every market day of the year"[:78]
     rows = [(k, f"{ARTICLE} {k}\n{frame_line}", "h") for k in range(8)] + [(20, f"{frame_line}\nPlease enable JavaScript to go on.", "h"), (21, f"{frame_line}\nPlease enable JavaScript to go on.", "other"), (22, None, "h"), (23, "", None), (None, "Lorem ipsum dolor sit", "h"), (24, "Lorem ipsum dolor sit", None), (24, "Lorem ipsum dolor sit", None)]
