@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -126,6 +128,11 @@ def normal_line(line: str) -> str:
     return _DIGITS.sub("#", _BLANK.sub(" ", line).strip().lower())
 
 
+def line_number(plain: str) -> int:
+    """64-bit hash of a normalised line."""
+    return int.from_bytes(blake2b(plain.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
 def is_evidence(sentence: str) -> bool:
     """Whether a normalised sentence is an error message, a demand for scripts, a placeholder or filler."""
     words = _TOKEN.findall(sentence)
@@ -142,8 +149,14 @@ def is_filler(words: list[str]) -> bool:
     return odd >= 0.7 * len(words) or dummy >= 0.7 * len(words) or kinds == 1 or (len(words) >= 8 and kinds <= min(6, len(words) / 4))
 
 
-def is_residue(text: str | None, frame: frozenset[str] | set[str] = frozenset(), *, article_words: int = 12, frame_words: int = 6) -> bool:
-    """Whether a text is template residue or stands in place of an article; ``frame``: normalised lines to subtract.
+@lru_cache(4096)
+def _bears_evidence(plain: str) -> bool:
+    return any(is_evidence(x) for x in _SENTENCE.split(plain))
+
+
+def is_residue(text: str | None, frame: frozenset[int] | set[int] = frozenset(), *, article_words: int = 12, frame_words: int = 6) -> bool:
+    """Whether a text is template residue or stands in place of an article; ``frame``: numbers of the lines to
+    subtract unless they hold evidence.
 
     The whole text is searched for slots.  For the rest a text is read until ``article_words`` words of prose are found: no more is needed
     to know that it holds an article.
@@ -156,7 +169,7 @@ def is_residue(text: str | None, frame: frozenset[str] | set[str] = frozenset(),
     words_seen: list[str] = []
     for line in text.split("\n"):
         plain = normal_line(line)
-        if not plain or plain in frame:
+        if not plain or (frame and line_number(plain) in frame and not _bears_evidence(plain)):
             continue
         for sentence in _SENTENCE.split(plain):
             words = _TOKEN.findall(sentence)
@@ -170,25 +183,18 @@ def is_residue(text: str | None, frame: frozenset[str] | set[str] = frozenset(),
     return bool(evidence) or is_filler(words_seen)
 
 
-def _lines(max_line: int):
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            docs, hosts, hashes, lines = [], [], [], []
-            for doc, host, number, text in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                for line in {normal_line(x) for x in text.split("\n") if len(x) <= max_line}:
-                    if line:
-                        docs.append(doc)
-                        hosts.append(host)
-                        hashes.append(number)
-                        lines.append(line)
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(lines, pa.string())], names=["doc_id", "host", "h", "line"])
-
-    return cut
-
-
-def _without_evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different lines of each text, by number: a line's length doesn't matter to what is shuffled."""
     for b in batches:
-        yield b.filter(pa.array([not any(is_evidence(x) for x in _SENTENCE.split(line)) for line in b.column(1).to_pylist()], pa.bool_()))
+        docs, hosts, hashes, lines = [], [], [], []
+        for doc, host, number, text in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+            for line in {normal_line(x) for x in text.split("\n")}:
+                if line:
+                    docs.append(doc)
+                    hosts.append(host)
+                    hashes.append(number)
+                    lines.append(line_number(line))
+        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(lines, pa.int64())], names=["doc_id", "host", "h", "line"])
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,20 +203,20 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(bad, pa.int64())], names=["doc_id"])
 
 
-def template_residue(df: DataFrame, key: str, text: str, host: str, *, least_copies: int = 5, least_share: float = 0.001, max_line: int = 80) -> DataFrame:
+def template_residue(df: DataFrame, key: str, text: str, host: str, *, least_copies: int = 5, least_share: float = 0.001) -> DataFrame:
     """``(doc_id)``: the records that are residue instead of an article.
 
     A line is page frame if it stands in ``least_copies`` or more different texts of its host and in ``least_share`` or more of them; NULL
-    is a host of its own; lines longer than ``max_line`` characters are no frame.  NULL, empty and blank texts are no case; rows with a
+    is a host of its own; lines of any length count, by a 64-bit hash.  NULL, empty and blank texts are no case; rows with a
     NULL key are left out; repeated rows of a key count once if their texts are equal, and else are judged one by one and named once.
     """
     rows = df.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.coalesce(F.col(f"`{host}`").cast("string"), F.lit("")).alias("host"), F.col(f"`{text}`").cast("string").alias("text"))
     rows = rows.where("doc_id IS NOT NULL AND text IS NOT NULL")
     number: Column = F.xxhash64("text")
-    lines = rows.where(F.col("text").contains("\n")).select("doc_id", "host", number.alias("h"), "text").mapInArrow(_lines(max_line), "doc_id bigint, host string, h bigint, line string")
+    lines = rows.where(F.col("text").contains("\n")).select("doc_id", "host", number.alias("h"), "text").mapInArrow(_lines, "doc_id bigint, host string, h bigint, line bigint")
     size = rows.select("host", number.alias("h")).distinct().groupBy("host").agg(F.count("*").alias("n"))
     copies = lines.select("host", "line", "h").distinct().groupBy("host", "line").agg(F.count("*").alias("copies")).where(F.col("copies") >= least_copies)
-    frame = copies.join(size, "host").where(F.col("copies") >= F.col("n") * least_share).select("host", "line").mapInArrow(_without_evidence, "host string, line string")
+    frame = copies.join(size, "host").where(F.col("copies") >= F.col("n") * least_share).select("host", "line")
     framed = lines.select("doc_id", "host", "line").join(frame, ["host", "line"]).groupBy("doc_id").agg(F.collect_set("line").alias("frame"))
     judged = rows.select("doc_id", "text").join(framed, "doc_id", "left").select("doc_id", "text", "frame")
     return judged.mapInArrow(_judge, "doc_id bigint").distinct()
