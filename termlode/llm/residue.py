@@ -36,7 +36,6 @@ _SLOTS = [
     rf"@@{_NAME}@@",
     rf"\*\|{_NAME}\|\*",
     rf"<<\s*{_NAME}\s*>>",
-    rf"«\s*(?:{FIELDS})\s*»",
     rf"&lt;\s*{_NAME}\s*&gt;",
     rf"\[\[\s*{_NAME}\s*\]\]",
     rf"__(?:{_NAME[:-6]}{{0,40}}?)__",
@@ -53,9 +52,14 @@ SLOT = re.compile("|".join(_SLOTS), re.IGNORECASE)
 CASED_SLOT = re.compile("|".join(_CASED_SLOTS))
 #: An undefined value printed as a word; not the adjective of a thing that can be undefined.
 UNDEFINED = re.compile(r"(?<![\w-])undefined(?![\w-])(?! (?:border|boundar\w+|behaviou?r|limits?|terms?|role|status|period)\b)", re.IGNORECASE)
-#: What a slot can't be without.
-_HINTS = ("{", "[", "<", "%", "$", "#", "@@", "&lt;", "&LT;", "*|", "!!", "??", "__", "XXX", "«", "NaN", "ndefined", "NDEFINED", "(null)", "(insert", "(INSERT", "(Insert", "(enter", "(ENTER", "(Enter", "(your", "(YOUR", "(Your", "(add", "(ADD", "(Add")
-QUOTED = re.compile(r"\"[^\"\n]{0,200}\"|“[^”\n]{0,200}”|„[^“”\n]{0,200}[“”]|«[^»\n]{0,200}»|`[^`\n]{1,200}`")
+#: A field in guillemets, which are quotation marks too: searched before quotations in them are removed.
+GUILLEMET_SLOT = re.compile(rf"«\s*(?:{FIELDS})\s*»", re.IGNORECASE)
+#: What a slot can't be without, besides what ``_WORD_HINT`` finds.
+_HINTS = ("{", "[", "<", "%", "$", "#", "@@", "*|", "!!", "??", "__", "XXX", "«", "NaN", "(null)")
+_WORD_HINT = re.compile(r"\(\s*(?:insert|enter|your|add)\s|&lt;|undefined", re.IGNORECASE)
+_QUOTES = r"\"[^\"\n]{0,200}\"|“[^”\n]{0,200}”|„[^“”\n]{0,200}[“”]|`[^`\n]{1,200}`"
+QUOTED_OTHERWISE = re.compile(_QUOTES)
+QUOTED = re.compile(_QUOTES + r"|«[^»\n]{0,200}»")
 
 # What sites print in place of an article, by language.
 _EVIDENCE = [
@@ -118,8 +122,10 @@ _TOKEN = re.compile(r"[^\W_]+(?:['’\-][^\W_]+)*")
 
 def has_slot(text: str) -> bool:
     """A template slot, or the trace of an empty one, outside quotation marks."""
-    if not any(c in text for c in _HINTS):
+    if not any(c in text for c in _HINTS) and not _WORD_HINT.search(text):
         return False
+    if "«" in text and GUILLEMET_SLOT.search(QUOTED_OTHERWISE.sub(" ", text)):
+        return True
     bare = QUOTED.sub(" ", text) if any(c in text for c in "\"“„«`") else text
     return bool(SLOT.search(bare) or CASED_SLOT.search(bare) or UNDEFINED.search(_BLANK.sub(" ", bare)))
 

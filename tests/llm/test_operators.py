@@ -390,6 +390,16 @@ def test_residue_by_host(spark, nothing):
     assert residue.template_residue(nothing, "id", "t", "form").count() == 0
 
 
+@pytest.mark.parametrize("text", ["The «title» of Zurgim sold the lantern.", "The « Name » of Zurgim.", "The ( insert name ) of Zurgim.", "The ( Your\tname here) of Zurgim.", "The &Lt;name&gt; sold it.", "The UnDefined of Zurgim sold it."])
+def test_slots_behind_hints(text):
+    assert residue.has_slot(text) and residue.is_residue(text)
+
+
+@pytest.mark.parametrize("text", ["They call it «the old lantern» here.", 'The manual writes "«title»" for it.', "The manual writes «a ${title} of yours» for it.", "The sailors (your old friends of the harbour, as they said in the long winter) left."])
+def test_quoted_slots_are_none(text):
+    assert not residue.has_slot(text)
+
+
 def test_long_lines_are_frame(spark):
     notice = "This site and its partners keep small files on your device to measure visits, to remember choices and to show offers that suit the reader, as the law of the land allows."
     broken = "Please enable JavaScript to go on, " + "as this archive of letters and papers opens its rooms in no other way to any reader, " * 2
