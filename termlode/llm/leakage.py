@@ -191,7 +191,12 @@ class LeakageIndex:
 
     def paraphrases(self, cosine: float = 0.9, share: float = 0.75, width: int = 16) -> DataFrame:
         """``(doc_id, item_id, cosine, lcs_share, has_answer)``: documents with a passage near an item's passage in latent space that also
-        has at least ``share`` of its words in the same order.  One row per pair, the one of greatest ``lcs_share``."""
+        has at least ``share`` of its words in the same order.  One row per pair, the one of greatest ``lcs_share``.
+
+        Passages have ``width`` words and begin at every ``width // 4``-th word of a document and every ``width // 2``-th of an item, and
+        at the last whole one of an item; those of documents need ``width // 2`` vocabulary words.  Texts below ``width`` words are never
+        searched.
+        """
         kind = "doc_id bigint, item_id bigint, cosine double, lcs_share double, has_answer boolean"
         if not self.size or not any(len(c) >= width for c in self.item_codes):
             return self.spark.createDataFrame([], kind)
