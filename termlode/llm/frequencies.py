@@ -1,13 +1,15 @@
 """Frequency of every distinct term (problem 5): recursive radix spilling with DuckDB at the leaves.
 
-1. Every task counts the terms of its own rows batch by batch, so what is shuffled are (term, occurrences, records) partial counts.
-2. Partial counts are spilled to the shared folder, partitioned by the top bits of the term's 64-bit hash.
-3. A partition that holds more than ``leaf_rows`` partial rows is split by the next bits, again and again; only the sizes of partitions
-   come to the driver, of which there are at most ``2 ** bits`` for each split partition.
-4. Each leaf is aggregated by one task in DuckDB, which streams the leaf's files and may spill below ``leaf_memory``.
+1. Every task counts the terms of its own rows, so what is spilled are (term, occurrences, records) partial counts.
+2. Partial counts are spilled to the shared folder, partitioned by the top bits of the term's 64-bit hash.  Adaptive execution sizes the
+   writers of a radix by its bytes, so that their number grows with the data.
+3. A partition that holds more than ``leaf_rows`` partial rows is read again, added up within each task and spilled by its next bits, again
+   and again.  A partition's name is its whole path of radices, so children of different parents stay apart and every level is smaller than
+   its parent.  Only the folders' names and sizes come to the driver: at most ``2 ** bits`` for each split partition.
+4. Leaves are aggregated in DuckDB, one after the other within a task of about ``leaf_rows`` rows.
 
 A term is wholly inside one leaf, so leaves never have to be merged.  A hot term is no hot key: a task sends one partial row for it, not
-one for each occurrence.
+one for each occurrence, and each level adds those up once more.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from termlode.llm.words import records, words_of
 from termlode.plans.scratch import cut_lineage, scratch_path
 
 PARTIAL = "term string, occurrences bigint, records bigint"
+_NAMES = ["term", "occurrences", "records"]
 
 
 def _partial_counts(batches: Iterator[pa.RecordBatch], flush_terms: int = 200_000) -> Iterator[pa.RecordBatch]:
@@ -32,8 +35,7 @@ def _partial_counts(batches: Iterator[pa.RecordBatch], flush_terms: int = 200_00
     def out() -> pa.RecordBatch:
         terms = list(total)
         return pa.RecordBatch.from_arrays(
-            [pa.array(terms, pa.string()), pa.array([total[t] for t in terms], pa.int64()), pa.array([held[t] for t in terms], pa.int64())],
-            names=["term", "occurrences", "records"],
+            [pa.array(terms, pa.string()), pa.array([total[t] for t in terms], pa.int64()), pa.array([held[t] for t in terms], pa.int64())], names=_NAMES
         )
 
     for batch in batches:
@@ -57,56 +59,91 @@ def partial_term_counts(rows: DataFrame) -> DataFrame:
     return rows.select("text").mapInArrow(_partial_counts, PARTIAL)
 
 
-def _leaf_counter(memory: str, threads: int = 1):
+def _added(rows: list[pa.RecordBatch]) -> pa.Table:
+    got = pa.Table.from_batches(rows).group_by("term").aggregate([("occurrences", "sum"), ("records", "sum")])
+    return got.select(["term", "occurrences_sum", "records_sum"]).rename_columns(_NAMES)
+
+
+def _add_up(batches: Iterator[pa.RecordBatch], flush_rows: int = 500_000) -> Iterator[pa.RecordBatch]:
+    """Partial counts of a task, with the terms that it holds several times added up."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for b in batches:
+        held.append(b)
+        rows += b.num_rows
+        if rows >= flush_rows:
+            got = _added(held)
+            if got.num_rows > flush_rows // 2:
+                yield from got.to_batches(65_536)
+                held, rows = [], 0
+            else:
+                held = got.to_batches()
+                rows = got.num_rows
+    if rows:
+        yield from _added(held).to_batches(65_536)
+
+
+def leaf_options(memory: str, spill: str) -> dict:
+    """DuckDB's settings for a leaf: it spills to the shared folder if that is mounted, and nowhere (an empty folder name) if it isn't."""
+    return {"memory_limit": memory, "threads": 1, "preserve_insertion_order": False, "temp_directory": spill}
+
+
+def _count_leaves(memory: str):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import duckdb
         import pyarrow.dataset as ds
         from pyarrow import fs
 
         for batch in batches:
-            for files, spill in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                where, first = fs.FileSystem.from_uri(files[0])
-                paths = [first, *(fs.FileSystem.from_uri(f)[1] for f in files[1:])]
-                leaf = ds.dataset(paths, filesystem=where, format="parquet").scanner(columns=["term", "occurrences", "records"], batch_size=65_536).to_reader()
-                options = {"memory_limit": memory, "threads": threads, "preserve_insertion_order": False} | ({"temp_directory": spill} if spill else {})
-                with duckdb.connect(config=options) as db:
-                    db.register("leaf", leaf)
-                    got = db.sql("SELECT term, sum(occurrences)::BIGINT AS occurrences, sum(records)::BIGINT AS records FROM leaf GROUP BY term").to_arrow_reader(65_536)
-                    yield from got
+            for folders, spill in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for k, folder in enumerate(folders):
+                    where, path = fs.FileSystem.from_uri(folder)
+                    leaf = ds.dataset(path, filesystem=where, format="parquet").scanner(columns=_NAMES, batch_size=65_536).to_reader()
+                    with duckdb.connect(config=leaf_options(memory, f"{spill}/{k}" if spill else "")) as db:
+                        db.register("leaf", leaf)
+                        yield from db.sql("SELECT term, sum(occurrences)::BIGINT AS occurrences, sum(records)::BIGINT AS records FROM leaf GROUP BY term").to_arrow_reader(65_536)
 
     return count
 
 
-def count_terms(df: DataFrame, key: str, text: str, *, bits: int = 5, leaf_rows: int = 2_000_000, leaf_memory: str = "256MB") -> DataFrame:
+def _tasks(leaves: list[tuple[str, int]], leaf_rows: int, parallel: int) -> list[list[str]]:
+    """Leaves of a task: about ``leaf_rows`` rows together, and no fewer tasks than run at once."""
+    most = max(1, min(leaf_rows, sum(n for _, n in leaves) // max(1, parallel)))
+    out: list[list[str]] = []
+    rows = most
+    for folder, n in leaves:
+        if rows + n > most:
+            out.append([])
+            rows = 0
+        out[-1].append(folder)
+        rows += n
+    return out
+
+
+def count_terms(df: DataFrame, key: str, text: str, *, bits: int = 5, leaf_rows: int = 1_000_000, leaf_memory: str = "256MB") -> DataFrame:
     """``(term, occurrences, records)``, plus one row with the empty term that holds the totals: all occurrences, and all records with a word."""
     spark = df.sparkSession
-    level = partial_term_counts(records(df, key, text)).withColumn("hash", F.xxhash64("term"))
-    leaves: list[list[str]] = []
-    depths = range(0, 64 - bits, bits)
-    for depth in depths:
-        radix = F.shiftrightunsigned(F.shiftleft("hash", depth), 64 - bits).cast("int")
-        writer = F.pmod(F.shiftrightunsigned("hash", 3), F.lit(4))  # several writers for each radix
+    level = partial_term_counts(records(df, key, text))
+    leaves: list[tuple[str, int]] = []
+    for depth in range(bits, 65, bits):
         path = scratch_path(spark, f"radix{depth}")
-        level.withColumn("radix", radix).repartition("radix", writer).write.option("compression", "zstd").partitionBy("radix").parquet(path)
-        spilled = spark.read.schema(f"{PARTIAL}, hash bigint, radix int").parquet(path)
-        large = [r["radix"] for r in spilled.groupBy("radix").count().where(F.col("count") > leaf_rows).collect()]  # at most 2 ** bits
-        if depth == depths[-1]:
-            large = []  # hashes are used up: DuckDB takes what is left from disk, whatever its size
-        by_radix: dict[str, list[str]] = {}
-        for f in spilled.inputFiles():  # all files, whatever filter stands before: a read by path isn't pruned here
-            by_radix.setdefault(f.rpartition("/")[0], []).append(f)
-        split = {f"radix={k}" for k in large}
-        leaves += [files for folder, files in by_radix.items() if folder.rpartition("/")[2] not in split]
+        radix = F.shiftrightunsigned(F.xxhash64("term"), 64 - depth)  # the whole path so far
+        level.withColumn("radix", radix).hint("rebalance", "radix").write.option("compression", "zstd").partitionBy("radix").parquet(path)
+        sizes = spark.read.schema(f"{PARTIAL}, radix bigint").parquet(path).groupBy("radix").count().collect()  # at most 2 ** bits for each split partition
+        last = depth + bits > 64  # the hash is used up: the rows of such a partition are of one term, or of terms with equal hashes
+        large = [r["radix"] for r in sizes if r["count"] > leaf_rows and not last]
+        split = set(large)
+        leaves += [(f"{path}/radix={r['radix']}", r["count"]) for r in sizes if r["radix"] not in split]
         if not large:
             break
-        level = spilled.where(F.col("radix").isin(large)).drop("radix")
+        level = spark.read.schema(PARTIAL).parquet(*[f"{path}/radix={k}" for k in large]).mapInArrow(_add_up, PARTIAL)
     if not leaves:
         return spark.createDataFrame([], PARTIAL)
-    # DuckDB can spill to a mounted shared folder only; elsewhere ``leaf_rows`` keeps leaves within memory.
     spill = scratch_path(spark, "duckdb")
     spill = spill.removeprefix("file://") if "://" not in spill or spill.startswith("file://") else ""
-    tasks = spark.createDataFrame([(files, f"{spill}/{k}" if spill else "") for k, files in enumerate(leaves)], "files array<string>, spill string")
-    return cut_lineage(tasks.repartition(len(leaves)).mapInArrow(_leaf_counter(leaf_memory), PARTIAL), "terms")
+    tasks = [(folders, f"{spill}/{k}" if spill else "") for k, folders in enumerate(_tasks(leaves, leaf_rows, spark.sparkContext.defaultParallelism))]
+    frame = spark.createDataFrame(tasks, "folders array<string>, spill string").repartition(len(tasks))
+    return cut_lineage(frame.mapInArrow(_count_leaves(leaf_memory), PARTIAL), "terms")
 
 
 def term_frequencies(df: DataFrame, key: str, text: str, *, rare_below: int = 3, common_above: float = 0.1, **radix) -> DataFrame:
