@@ -70,7 +70,7 @@ def _weights(spark: SparkSession, d: str) -> TermWeights:
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     weights = _weights(spark, d)
-    return _both(lambda df, key, text: top_terms(weights.score(df, key, text, top=3), "weight", 3), spark, d).select("rel", "rec_id", "term")
+    return _both(lambda df, key, text: top_terms(weights.score(df, key, text, ("weight",), top=3), "weight", 3), spark, d).select("rel", "rec_id", "term")
 
 
 def p4_enrichment(spark: SparkSession, d: str) -> DataFrame:

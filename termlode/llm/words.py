@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termlode.llm.lookalikes import fold_lookalikes
+from termlode.plans.scratch import cut_lineage
 
 WORD = re.compile(r"[^\W_]+")
 #: The same for the JVM's regular expressions.
@@ -27,11 +28,21 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(low) if len(low) == len(form) else [w.lower() for w in WORD.findall(form)]
 
 
-def records(df: DataFrame, key: str, text: str) -> DataFrame:
+def records(df: DataFrame, key: str, text: str, *, most_again: int = 500_000) -> DataFrame:
     """``(rec_id, text)`` with one row per key.
 
     Repeated rows of a key count once.  Should they differ in text, the least non-NULL text stands, so that the choice does not depend on
     the order of the rows.  Rows with a NULL key are left out: they cannot be named in a result.
+
+    Keys that occur again are found by counting keys alone.  Up to ``most_again`` of them are broadcast, and only their rows are grouped;
+    all other texts stay where they are.  Beyond that number every text is grouped by its key.
     """
-    picked = df.select(F.col(f"`{key}`").alias("rec_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    return picked.where("rec_id IS NOT NULL").groupBy("rec_id").agg(F.min("text").alias("text"))
+    picked = df.select(F.col(f"`{key}`").alias("rec_id"), F.col(f"`{text}`").cast("string").alias("text")).where("rec_id IS NOT NULL")
+    again = cut_lineage(picked.groupBy("rec_id").count().where("count > 1").select("rec_id"), "again")
+    held = again.count()
+    if not held:
+        return picked
+    if held > most_again:
+        return picked.groupBy("rec_id").agg(F.min("text").alias("text"))
+    keys = F.broadcast(again)  # its size has just been checked
+    return picked.join(keys, "rec_id", "left_anti").unionByName(picked.join(keys, "rec_id", "left_semi").groupBy("rec_id").agg(F.min("text").alias("text")))

@@ -3,15 +3,17 @@
 import math
 import random
 import re
+from decimal import Decimal
 
 import duckdb
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from termlode.llm import formatting, frequencies, leakage, lookalikes, neardup, packing, queries, residue, topn
+from termlode.llm import formatting, frequencies, leakage, lookalikes, neardup, packing, queries, residue, topn, words
 from termlode.llm.distinctive import TermWeights, enrichment, log_factorial, top_terms
 from tests.llm import brute
 
@@ -46,6 +48,14 @@ def articles(spark, small):
     return df, [(r["article_id"], r["article_text"]) for r in df.collect()]
 
 
+def test_records(spark):
+    df = frame(spark, [*TEXTS, (40, "b"), (40, "a"), (40, None)])
+    for most in (0, 1000):
+        got = [tuple(r) for r in words.records(df, "id", "t", most_again=most).collect()]
+        assert len(got) == len({k for k, _ in got}) and dict(got) == brute.unique([*TEXTS, (40, "a")])
+    assert words.records(df.where("id < 5"), "id", "t").count() == 5 and words.records(df.limit(0), "id", "t").count() == 0
+
+
 # 1
 
 
@@ -104,8 +114,8 @@ def test_near_duplicates_of_tiny_sets(spark, threshold):
 
 
 def test_near_duplicate_groups(spark):
-    words = [f"w{k}" for k in range(40)]
-    chain = [(k, " ".join(words[k : k + 20])) for k in range(12)] + [(20, "other words here"), (21, None), (22, "other words here")]
+    w = [f"w{k}" for k in range(40)]
+    chain = [(k, " ".join(w[k : k + 20])) for k in range(12)] + [(20, "other words here"), (21, None), (22, "other words here")]
     got = {r["rec_id"]: (r["group_id"], r["links"]) for r in neardup.NearDuplicates(frame(spark, chain), "id", "t", 0.9).groups().collect()}
     assert {got[k][0] for k in range(12)} == {0} and got[0][1] == 1 and got[5][1] == 2 and got[22] == (20, 0) and 21 not in got
     with pytest.raises(ValueError):
@@ -150,6 +160,7 @@ def test_colliding_hashes_are_told_apart(spark, monkeypatch):
     assert {k: v for k, v in got.items() if k != v} == {1: 0, 3: 2, 5: 4, 7: 6}
 
 
+@settings(deadline=None)
 @given(st.text(alphabet="aAbB1 ,-;:=|\n", max_size=14), st.text(alphabet="aAbB1 ,-;:=|\n", max_size=14))
 def test_hashes_and_proofs_agree_with_the_statement(a, b):
     words, size, fields = formatting.hash_texts([a, b])
@@ -169,22 +180,36 @@ def test_exact_tail(length, held, f):
     assert enrichment(np.array([f]), np.array([length]), np.array([held]), total)[0] == pytest.approx(-math.log10(brute.tail(f, length, held, total)), abs=1e-9)
 
 
+@pytest.mark.parametrize("total", [60, 5000, 10**7, 10**11, 10**13])
+def test_the_tail_keeps_its_digits_in_any_collection(total):
+    rnd = random.Random(total)
+    for _ in range(25):
+        length, held = rnd.randint(1, min(300, total)), rnd.choice([rnd.randint(1, min(total, 60)), rnd.randint(1, total // 2)])
+        f = rnd.randint(1, min(length, held, 9))
+        p = part = Decimal(math.comb(held, f) * math.comb(total - held, length - f)) / Decimal(math.comb(total, length))
+        for k in range(f, min(held, length)):
+            part = part * (held - k) * (length - k) / ((k + 1) * max(total - held - length + k + 1, 1))
+            p += part
+        got = enrichment(np.array([f]), np.array([length]), np.array([held]), float(total))[0]
+        assert p == 0 or got == pytest.approx(max(0.0, float(-p.log10())), abs=1e-9)
+
+
 def test_log_factorial():
     for x in (0, 1, 2, 170, 4095, 4096, 10**6, 10**12):
         assert log_factorial(np.array([x]))[0] == pytest.approx(math.lgamma(x + 1), rel=1e-13, abs=1e-13)
     assert enrichment(np.array([3, 0]), np.array([5, 5]), np.array([0, 2]), 100).tolist() == [0.0, 0.0]
 
 
-@pytest.mark.parametrize("parts", [20_000, 3])
-def test_distinctive(texts, nothing, articles, parts, monkeypatch):
+@pytest.mark.parametrize(("parts", "leaf_rows"), [(20_000, 1_000_000), (3, 100)])
+def test_distinctive(texts, nothing, articles, parts, leaf_rows, monkeypatch):
     monkeypatch.setattr("termlode.llm.distinctive.HEAVY_PARTS", parts)
     for df, rows, k, t in ((texts, TEXTS, "id", "t"), (*articles, "article_id", "article_text")):
-        weights = TermWeights(df, k, t)
+        weights = TermWeights(df, k, t, leaf_rows=leaf_rows)
         scored = weights.score(df, k, t).collect()
         assert {(r["rec_id"], r["term"]): r["weight"] for r in scored} == pytest.approx(brute.weights(rows, rows), abs=2e-6)
         assert len(scored) == len({(r["rec_id"], r["term"]) for r in scored})
         full = {(r["rec_id"], r["rank"], r["term"]) for r in top_terms(weights.score(df, k, t), "weight", 3).collect()}
-        assert full == {(r["rec_id"], r["rank"], r["term"]) for r in top_terms(weights.score(df, k, t, top=3), "weight", 3).collect()} != set()
+        assert full == {(r["rec_id"], r["rank"], r["term"]) for r in top_terms(weights.score(df, k, t, ("weight",), top=3), "weight", 3).collect()} != set()
     assert TermWeights(nothing, "id", "t").score(texts, "id", "t").where("weight != 0").count() == 0
     assert weights.score(nothing, "id", "t").count() == 0
 
@@ -205,23 +230,51 @@ def test_frequencies(texts, nothing, articles, radix):
         if radix.get("bits") == 16:
             df, rows = df.where("id < 18"), [r for r in TEXTS if r[0] is not None and r[0] < 18]
         got = frequencies.term_frequencies(df, k, t, **radix).collect()
+        assert len(got) == len({r["term"] for r in got})
         assert {r["term"]: (r["occurrences"], r["records"]) for r in got} == brute.frequencies(rows)
         n = sum(bool(brute.words(x)) for x in brute.unique(rows).values())
         assert all(r["mark"] == ("rare" if r["records"] < 3 else "common" if r["records"] > 0.1 * n else None) for r in got)
     assert frequencies.term_frequencies(nothing, "id", "t").count() == 0
 
 
-@pytest.mark.parametrize("leaf_rows", [40, 127])
-def test_split_partitions_are_counted_once(spark, articles, leaf_rows):
+def _partitions(folder):
+    """Rows of each radix folder of a level."""
+    return {d.name: sum(pq.ParquetFile(f).metadata.num_rows for f in d.glob("*.parquet")) for d in folder.iterdir() if d.name.startswith("radix=")}
+
+
+@pytest.mark.parametrize(("leaf_rows", "levels"), [(40, 2), (150, 2), (5000, 1)])
+def test_radix_partitions_shrink_and_are_counted_once(articles, leaf_rows, levels, monkeypatch, tmp_path):
+    written = []
+    monkeypatch.setattr(frequencies, "scratch_path", lambda spark, name: written.append(tmp_path / f"{name}-{len(written)}") or f"file://{written[-1]}")
     df, rows = articles
-    got = frequencies.count_terms(df, "article_id", "article_text", bits=3, leaf_rows=leaf_rows).collect()
     terms = brute.frequencies(rows)
+    got = frequencies.count_terms(df, "article_id", "article_text", bits=3, leaf_rows=leaf_rows).collect()
     assert len(got) == len(terms) + 1 == len({r["term"] for r in got})  # one row more for the totals
     assert {r["term"]: (r["occurrences"], r["records"]) for r in got if r["term"]} == terms
+    found = [_partitions(w) for w in written if w.name.startswith("radix")]
+    assert len(found) == levels
+    for above, below in zip(found, found[1:], strict=False):
+        over = {int(name.partition("=")[2]) for name, n in above.items() if n > leaf_rows}
+        # Only what is oversized goes down, each parent's children apart.
+        assert {int(name.partition("=")[2]) >> 3 for name in below} == over and sum(below.values()) <= sum(n for n in above.values() if n > leaf_rows)
+    assert max(found[-1].values()) <= leaf_rows
     marked = frequencies.term_frequencies(df, "article_id", "article_text", bits=3, leaf_rows=leaf_rows).collect()
     assert len(marked) == len(terms)
 
 
+def test_one_hot_term_ends(spark):
+    df = frame(spark, [(k, "reef") for k in range(400)]).repartition(40)
+    got = {r["term"]: (r["occurrences"], r["records"]) for r in frequencies.count_terms(df, "id", "t", bits=16, leaf_rows=1).collect()}
+    assert got == {"": (400, 400), "reef": (400, 400)}
+
+
+def test_leaves_never_spill_beside_the_shared_folder():
+    for spill in ("", "/mnt/shared/leaf"):
+        with duckdb.connect(config=frequencies.leaf_options("64MB", spill)) as db:
+            assert db.execute("SELECT current_setting('temp_directory')").fetchone() == (spill,)
+    assert frequencies._tasks([("a", 3), ("b", 3), ("c", 9)], 6, 1) == [["a", "b"], ["c"]]
+
+
 # 6
 
 SCORES = [(1, k % 7, k % 11, float(k % 5)) for k in range(300)] + [
