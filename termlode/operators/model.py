@@ -86,15 +86,20 @@ class Model:
     meta: DataFrame
     options: TextOptions
 
-    def freq(self, term: str, doc_id: int) -> DataFrame:
-        """``(freq)``: occurrences of a term in a document, 0 if none; an unknown term gives no row."""
+    def _ask(self, term: str, strict: bool) -> None:
+        if strict and not self.vocab.where(F.col("term") == term).limit(1).count():
+            raise KeyError(term)
+
+    def freq(self, term: str, doc_id: int, *, strict: bool = False) -> DataFrame:
+        """``(freq)``: occurrences of a term in a document, 0 if none; an unknown term gives no row, or raises KeyError if ``strict``."""
+        self._ask(term, strict)
         held = self.tf.where((F.col("term") == term) & (F.col("doc_id") == doc_id)).agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("freq"))
         known = self.vocab.where(F.col("term") == term).select(F.lit(1).alias("known")).limit(1)
         return held.join(known).select("freq")
 
-    def term_weight(self, term: str, doc_id: int) -> DataFrame:
+    def term_weight(self, term: str, doc_id: int, *, strict: bool = False) -> DataFrame:
         """``(tf_weight)`` as :meth:`freq`."""
-        return self.freq(term, doc_id).select(tf_weight(F.col("freq")).alias("tf_weight"))
+        return self.freq(term, doc_id, strict=strict).select(tf_weight(F.col("freq")).alias("tf_weight"))
 
 
 def model_from_counts(docs: DataFrame, tf: DataFrame, options: TextOptions) -> Model:
@@ -122,24 +127,25 @@ def norms_of(docs: DataFrame, postings: DataFrame) -> DataFrame:
     return docs.select("doc_id").join(own, "doc_id", "left").select("doc_id", F.coalesce("norm", F.lit(0.0)).alias("norm"))
 
 
-def build_model(df: DataFrame, key: str, text: str, options: TextOptions | None = None, *, entries: int = 0, materialise: bool = False) -> Model:
+def build_model(df: DataFrame, key: str, text: str, options: TextOptions | None = None, *, entries: int = 0, materialise: str = "") -> Model:
     """Model of a table.  ``entries``: only ids below it (0 or more than there are: all).
 
-    ``materialise`` writes counts, vocabulary and weights, each once, so that neither the text nor the joins are worked out again for every
-    part of a search.
+    ``materialise``: "counts" writes the term counts once, so that the text is taken apart once and not for every table that is made from
+    them; "weights" also writes vocabulary and weights, for searches, which read both several times.
     Ids are expected to be unique; documents keep their own id, whatever gaps or NULL texts there are.
     """
     if entries < 0:
         raise ValueError("entries must not be negative")
+    if materialise not in ("", "counts", "weights"):
+        raise ValueError(f"unknown materialise {materialise!r}")
     options = options or TextOptions()
     docs = picked(df, key, text)
     if entries:
         docs = docs.where(F.col("doc_id") < entries)
     tf = count_terms(docs, "doc_id", options)
-    if not materialise:
-        return model_from_counts(docs, tf, options)
-    model = model_from_counts(docs, cut_lineage(tf, "tf"), options)
-    model.vocab = cut_lineage(model.vocab, "vocab")
-    model.postings = cut_lineage(weighted(model.tf, model.vocab), "postings")
-    model.doc_norms = norms_of(docs, model.postings)
+    model = model_from_counts(docs, cut_lineage(tf, "tf") if materialise else tf, options)
+    if materialise == "weights":
+        model.vocab = cut_lineage(model.vocab, "vocab")
+        model.postings = cut_lineage(weighted(model.tf, model.vocab), "postings")
+        model.doc_norms = norms_of(docs, model.postings)
     return model

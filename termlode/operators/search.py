@@ -1,12 +1,22 @@
-"""Free-text queries over a model: query vectors, cosine similarity, ranking and late text lookup."""
+"""Free-text queries over a model: query vectors, cosine similarity, ranking and late text lookup.
+
+:func:`search_many` joins the postings of the queries' terms: right for one query or a few.  :func:`search_batch` ranks many queries without
+a row for each query and document that share a term: postings are laid out in blocks of documents, each block is scored against the query
+set in one task, and only a block's ``k`` best documents of each query leave it.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from termlode.functions.text import snippet
 from termlode.operators.model import Model, count_terms, tf_weight
+from termlode.plans.scratch import cut_lineage
 
 
 def query_frame(model: Model, queries: dict[int, str]) -> DataFrame:
@@ -51,8 +61,8 @@ def positive_scores(model: Model, queries: DataFrame) -> DataFrame:
 
 def similarity_all(model: Model, queries: DataFrame) -> DataFrame:
     """``(query_id, doc_id, similarity)`` of every document with every query, zeros included: as many rows as the product of both.
-    For one query, or a few; :func:`search_many` ranks without it."""
-    every = model.docs.select("doc_id").join(F.broadcast(queries.select("query_id").distinct()))
+    For one query, or a few; :func:`search_many` and :func:`search_batch` rank without it."""
+    every = model.docs.select("doc_id").join(queries.select("query_id").distinct())
     return every.join(positive_scores(model, queries), ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
 
 
@@ -71,14 +81,138 @@ def search_many(model: Model, queries: DataFrame, k: int = 10) -> DataFrame:
     if k <= 0:
         return model.docs.sparkSession.createDataFrame([], "query_id long, rank int, doc_id long, similarity double")
     vectors = query_vectors(model, queries)
-    least = model.docs.select("doc_id").orderBy("doc_id").limit(2 * k)
-    zeros = queries.select("query_id").distinct().join(F.broadcast(least)).select("query_id", "doc_id", F.lit(0.0).alias("dot"))
+    zeros = _zeros(model, queries, k).select("query_id", "doc_id", F.lit(0.0).alias("dot"))
     dots = _products(model, vectors).unionByName(zeros).groupBy("query_id", "doc_id").agg(F.sum("dot").alias("dot"))
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "doc_id")
     ranked = _cosines(model, query_norms(queries, vectors), dots).withColumn("rank", F.row_number().over(order))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "similarity")
 
 
+def _zeros(model: Model, queries: DataFrame, k: int) -> DataFrame:
+    """``(query_id, doc_id)`` of the 2k least ids, for every query."""
+    least = model.docs.select("doc_id").orderBy("doc_id").limit(2 * k)
+    return queries.select("query_id").distinct().join(F.broadcast(least)).select("query_id", "doc_id")
+
+
+def _best_of_block(terms, starts, weights, doc, code, u, k: int):
+    """Yields (query, documents, scores): the up to k best documents of a block for each query, by score rounded to 6 places, then by id.
+
+    ``doc``, ``code``, ``u``: the block's postings in order of code and document number.  The rarest term comes first.  As soon as the terms
+    that are left can't lift a document past the k-th best, they are looked up for documents seen already and read no further.
+    """
+    ids, at = doc
+    edge = np.searchsorted(code, np.arange(int(terms.max()) + 2)) if len(terms) else np.zeros(1, dtype=np.int64)
+    peak = np.zeros(len(edge))
+    held = np.flatnonzero(np.diff(edge))
+    peak[held] = np.maximum.reduceat(u, edge[held]) if len(held) else 0
+    total = np.zeros(len(ids))
+    for q in range(len(starts) - 1):
+        mine = terms[starts[q] : starts[q + 1]]
+        size = edge[mine + 1] - edge[mine]
+        order = np.argsort(size, kind="stable")[np.count_nonzero(size == 0) :]
+        if not len(order):
+            continue
+        mine, v, size = mine[order], weights[starts[q] : starts[q + 1]][order], size[order]
+        left = np.cumsum((v * peak[mine])[::-1])[::-1]
+        seen = np.zeros(0, dtype=np.int64)
+        closed = False
+        for j, t in enumerate(mine):
+            x, y = edge[t], edge[t + 1]
+            if not closed and len(seen) >= k and size[j] > 4 * len(seen):
+                closed = left[j] + 2e-6 < np.partition(total[seen], len(seen) - k)[len(seen) - k]
+            if closed:
+                place = np.minimum(np.searchsorted(at[x:y], seen), y - x - 1) + x
+                hit = at[place] == seen
+                total[seen[hit]] += v[j] * u[place[hit]]
+            else:
+                total[at[x:y]] += v[j] * u[x:y]
+                seen = at[x:y] if not len(seen) else np.union1d(seen, at[x:y])
+        score = total[seen]
+        total[seen] = 0
+        near = np.round(score, 6)
+        if len(seen) > k:
+            keep = near >= np.partition(near, len(near) - k)[len(near) - k]
+            seen, score, near = seen[keep], score[keep], near[keep]
+        first = np.lexsort((ids[seen], -near))[:k]
+        first = first[near[first] > 0]
+        if len(first):
+            yield q, ids[seen[first]], score[first]
+
+
+def _score_blocks(asked, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query, starts, terms, weights = asked.value
+        held: list[pa.RecordBatch] = []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held)
+            doc, code, w = (t.column(c).to_numpy() for c in ("doc_id", "code", "w"))
+            is_norm = code < 0
+            order = np.argsort(doc[is_norm])
+            ids, norm = doc[is_norm][order], w[is_norm][order]
+            doc, code, w = doc[~is_norm], code[~is_norm], w[~is_norm]
+            at = np.searchsorted(ids, doc)
+            order = np.lexsort((at, code))
+            at, code, w = at[order], code[order], w[order]
+            got = list(_best_of_block(terms, starts, weights, (ids, at), code, w / norm[at], k))
+            if got:
+                n = [len(d) for _, d, _ in got]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(query[[q for q, _, _ in got]], n)), pa.array(np.concatenate([d for _, d, _ in got])), pa.array(np.concatenate([s for _, _, s in got]))], names=["query_id", "doc_id", "similarity"]
+                )
+
+        block = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            of = b.column(0).to_numpy()
+            edges = np.r_[0, np.flatnonzero(np.diff(of)) + 1, len(of)]
+            for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if held and of[x] != block:
+                    yield from done()
+                    held.clear()
+                block = of[x]
+                held.append(b.slice(x, y - x))
+        if held:
+            yield from done()
+
+    return run
+
+
+def search_batch(model: Model, queries: DataFrame, k: int = 10, *, block_docs: int = 25_000, chunk_terms: int = 500_000) -> DataFrame:
+    """The rows of :func:`search_many` for a query set of any size.
+
+    What is shuffled are the postings of asked terms, once for every ``chunk_terms`` terms of queries, and at most ``k`` rows for each query
+    and block of about ``block_docs`` documents.  A chunk of the query set is broadcast; its size is bounded by ``chunk_terms``.
+    """
+    spark = model.docs.sparkSession
+    if k <= 0:
+        return spark.createDataFrame([], "query_id long, rank int, doc_id long, similarity double")
+    vectors = cut_lineage(query_vectors(model, queries).where("w > 0"), "vectors")
+    n_docs, n_terms = model.docs.count(), vectors.count()
+    blocks = max(-(-n_docs // block_docs), min(spark.sparkContext.defaultParallelism, -(-n_docs // 2_000)), 1)
+    chunks = max(1, -(-n_terms // chunk_terms))
+    norms = model.doc_norms.where("norm > 0").select("doc_id", F.lit(-1).cast("bigint").alias("code"), F.col("norm").alias("w"))
+    found = _zeros(model, queries, k).select("query_id", "doc_id", F.lit(0.0).alias("similarity"))
+    for chunk in range(chunks):
+        part = vectors.where(F.pmod(F.xxhash64("query_id"), F.lit(chunks)) == chunk).select("query_id", "term", "w").toPandas()
+        if not len(part):
+            continue
+        names, code = np.unique(part["term"].to_numpy(dtype=object), return_inverse=True)
+        order = np.argsort(part["query_id"].to_numpy(), kind="stable")
+        query, w, code = part["query_id"].to_numpy()[order], part["w"].to_numpy()[order], code[order]
+        start = np.flatnonzero(np.r_[True, query[1:] != query[:-1]])
+        norm = np.sqrt(np.add.reduceat(w * w, start))
+        asked = spark.sparkContext.broadcast((query[start], np.r_[start, len(query)], code, w / np.repeat(norm, np.diff(np.r_[start, len(query)]))))
+        coded = spark.createDataFrame(list(zip(names.tolist(), range(len(names)), strict=True)), "term string, code bigint")
+        rows = model.postings.where("w > 0").join(F.broadcast(coded), "term").select("doc_id", "code", "w").unionByName(norms)  # at most chunk_terms terms
+        rows = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"), "*").repartition("block").sortWithinPartitions("block")
+        found = found.unionByName(rows.mapInArrow(_score_blocks(asked, k), "query_id bigint, doc_id bigint, similarity double").withColumn("similarity", F.round("similarity", 6)))
+    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "doc_id")
+    best = found.repartition("query_id").groupBy("query_id", "doc_id").agg(F.max("similarity").alias("similarity"))
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "similarity")
+
+
 def with_text(model: Model, ranked: DataFrame, length: int = 100) -> DataFrame:
     """Ranked rows with their snippet; the text is fetched for them only.  Documents whose text is NULL are left out."""
     return ranked.join(model.docs, "doc_id").where("text IS NOT NULL").select("query_id", "rank", "doc_id", "similarity", snippet(F.col("text"), length).alias("snippet"))

@@ -20,15 +20,16 @@ from termlode.sources.store import ModelStore
 
 PLAIN = TextOptions(stem=False)
 ORACLE = TextOptions(stem=False, profile="oracle")
+RAW = TextOptions(stem=False, clean=False)
 QUESTION = "Northern treaty of the harbour harbour"
 IDS = [7, 3, 999_999_999, 42, 0]
 
-#: Inputs of worked cleaning examples, as the tables lack quotes, escapes, runs of marks and digits around commas.
+#: Texts with the quotes, escapes, runs of marks and digits around commas that the tables lack.
 LITERALS = (
-    r"escapado \'teste\' simples", "O'Neill venceu", "'inicio sem letra", "final sem letra'", "rock 'n' roll", "muitas aspas ''''''' no meio", "linha\n'quebra", "a'b'c", "a''b", "l'été d'Émile 'x", "rock,roll",
-    "1,000", "hello,,world", "1,2,3", "1,,2", "multiple , , commas , in , a , row", "text\nwith,linebreak,comma", "rock-n-roll", "A-12", "--double--dash--", "linha\n-com-dash", "a_-b", "é-ã -x", "U.S.A.", "versão 1.0.2 estável",
-    "muitos....pontos...", "texto . com . pontos", 'quote"double"', "tilde~equals=underscore_", "mix of all: a#b:c|d;e<f>g*h$i`j\\", "São Paulo é ótimo", "hello 世界", "café → coffee", "What? Really!", "path/to/file",
-    "the cat's tail", "multiple 's in 's text", "it is john's", "tab\there\x0bthere", "nbsp here　there", "", " ",
+    r"the captain\'s \'last\' log", "D'Arcy sailed", "'tide came in", "went home'", "bread 'n' salt", "seven ''''''' marks here", "first line\n'second", "x'y'z", "x''y", "d'été d'Öland 'q", "salt,pepper",
+    "12,500", "left,,right", "4,5,6", "4,,5", "many , , marks , in , one , line", "harbour\nand,quay,pier", "salt-and-pepper", "B-52", "--twice--over--", "quay\n-side-door", "m_-n", "ü-ñ -z", "N.A.T.O.", "release 2.7.1 final",
+    "wait....then...", "mark . by . mark", 'deck"aft"', "mast~keel=rudder_", "all of these: k#l:m|n;o<p>q*r$s`t\\", "Über den Flüssen Öre", "tide 潮水", "thé → lemon", "Who? Never!", "bow/stern/keel",
+    "the ship's wheel", "some 's and 's more", "that is anna's", "tab\there\x0bthere", "nbsp here　there", "", " ",
 )
 #: Published examples of the stemmer, and the terms of the worked ranking example.
 STEMS = {
@@ -46,6 +47,18 @@ STEMS = {
 }
 
 
+#: Published examples of the Portuguese stemmer.
+STEMS_PORTUGUESE = dict(
+    pair.split()
+    for pair in (
+        "boa boa,boainain boainain,boas boas,bôas bôas,boassu boassu,boataria boat,boate boat,boates boat,boatos boat,bob bob,boba bob,bobagem bobag,bobagens bobagens,bobalhões bobalhõ,bobear bob,bobeira bobeir,"
+        "bobinho bobinh,bobinhos bobinh,bobo bob,bobs bobs,boca boc,bocadas boc,bocadinho bocadinh,bocado boc,bocaiúva bocaiúv,boçal boçal,bocarra bocarr,bocas boc,bode bod,bodoque bodoqu,body body,boeing boeing,"
+        "boem boem,boemia boem,boêmio boêmi,boêmios boêmi,quilométricas quilométr,quilométricos quilométr,quilômetro quilômetr,quilômetros quilômetr,quilos quil,química químic,químicas químic,químico químic,"
+        "químicos químic,quimioterapia quimioterap,quimioterápicos quimioteráp,quinhão quinhã,quinta quint,quintal quintal,quinto quint,quinze quinz,quinzena quinzen,quiosque quiosqu"
+    ).split(",")
+)
+
+
 def _docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents")
 
@@ -55,7 +68,7 @@ def _texts_of(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _model(spark: SparkSession, d: str, options: TextOptions = PLAIN) -> Model:
-    return build_model(_texts_of(spark, d), "doc_id", "text", options)
+    return build_model(_texts_of(spark, d), "doc_id", "text", options, materialise="counts")
 
 
 def _r(name: str, digits: int = 6) -> Column:
@@ -89,34 +102,49 @@ def _articles(spark: SparkSession, d: str, tbl: int) -> DataFrame:
 
 def _with_question(make, options: TextOptions = PLAIN) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        model = build_model(_texts_of(spark, d), "doc_id", "text", options, materialise=True)
+        model = build_model(_texts_of(spark, d), "doc_id", "text", options, materialise="weights")
         return make(model, _question(model))
 
     return run
 
 
 def _search_tables(options: TextOptions):
-    """Every table's own queries over that table; queries of tables that don't exist are skipped."""
+    """Every table's own queries over that table, for all tables that queries name; those that don't exist are skipped."""
 
     def run(spark: SparkSession, d: str) -> DataFrame:
-        out = None
-        for tbl in (0, 1, 2):
-            model = build_model(_articles(spark, d, tbl), "article_id", "article_text", options)
-            got = search.search_many(model, _asked(spark, d, tbl), 10).select(F.lit(tbl).alias("tbl"), "query_id", "rank", "doc_id", "similarity")
-            out = got if out is None else out.unionByName(got)
+        out = spark.createDataFrame([], "tbl int, query_id bigint, rank int, doc_id bigint, similarity double")
+        for tbl in _named_tables(spark, d):
+            model = build_model(_articles(spark, d, tbl), "article_id", "article_text", options, materialise="weights")
+            out = out.unionByName(search.search_batch(model, _asked(spark, d, tbl), 10).select(F.lit(tbl).alias("tbl"), "query_id", "rank", "doc_id", "similarity"))
         return out
 
     return run
 
 
-def _search_batch(spark: SparkSession, d: str) -> DataFrame:
-    model = build_model(_articles(spark, d, 3), "article_id", "article_text", PLAIN, materialise=True)
-    return search.search_many(model, _asked(spark, d, 3), 10)
+def _named_tables(spark: SparkSession, d: str) -> list[int]:
+    """The tables that queries name and that exist; as many names as there are tables come to the driver."""
+    named = sorted(r["tbl"] for r in table(spark, d, "queries").select("tbl").where("tbl IS NOT NULL").distinct().collect())
+    return [tbl for tbl in named if readers.path_exists(spark, f"{d}/test_tbl_{tbl}.parquet")]
+
+
+def _search_batch(options: TextOptions):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        model = build_model(_articles(spark, d, 3), "article_id", "article_text", options, materialise="weights")
+        return search.search_batch(model, _asked(spark, d, 3), 10)
+
+    return run
+
+
+def _query_list(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "queries").where(F.col("tbl").isin(_named_tables(spark, d))).select("tbl", "query_id", F.trim("query").alias("query")).distinct()
 
 
-def _search_batch_stemmed(spark: SparkSession, d: str) -> DataFrame:
-    model = build_model(_articles(spark, d, 3), "article_id", "article_text", TextOptions(), materialise=True)
-    return search.search_many(model, _asked(spark, d, 3), 10)
+def _query_tsv(spark: SparkSession, d: str) -> DataFrame:
+    """The query table written as TSV and read again; texts that hold a tab or a line end can't stand in a TSV."""
+    path = scratch_path(spark, "queries_tsv")
+    rows = table(spark, d, "queries").where(~F.col("query").rlike(r"[\t\r\n]")).select("tbl", "query_id", "query")
+    rows.write.csv(path, sep="\t", header=True, quote="", escape="")
+    return readers.read_queries_tsv(spark, path)
 
 
 def _roundtrip(spark: SparkSession, d: str) -> DataFrame:
@@ -129,8 +157,13 @@ def _by_ids(spark: SparkSession, d: str) -> DataFrame:
     return readers.by_ids(_docs(spark, d), "doc_id", "text", IDS)
 
 
-def _stem_golden(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(w,) for w in STEMS], "word string").select("word", stem_column(F.col("word")).alias("stem"))
+def _stem_golden(words: dict[str, str], language: str):
+    return lambda spark, d: spark.createDataFrame([(w,) for w in words], "word string").select("word", stem_column(F.col("word"), language).alias("stem"))
+
+
+def _vocabulary_stems(spark: SparkSession, d: str) -> DataFrame:
+    """Stems of all terms of the documents."""
+    return build_model(_texts_of(spark, d), "doc_id", "text", PLAIN).tf.select("term").distinct().select("term", stem_column(F.col("term")).alias("stem"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -139,7 +172,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "doc_prefix": lambda s, d: readers.id_prefix(_docs(s, d), "doc_id", 50).select("doc_id", "text"),
         "doc_range_scan": lambda s, d: readers.id_range(_docs(s, d), "doc_id", 10, 60).select("doc_id", "text"),
         "doc_point_lookup": _by_ids,
-        "query_list": lambda s, d: table(s, d, "queries").where("tbl IN (0, 1, 2, 3)").select("tbl", "query_id", F.trim("query").alias("query")).distinct(),
+        "doc_ordered_scan": lambda s, d: readers.ordered_scan(_docs(s, d), "doc_id", "text", 10, 60),
+        "query_list": _query_list,
+        "query_tsv": _query_tsv,
         "clean_lower": _cleaning(T.lower),
         "remove_accents": _cleaning(lambda c: T.remove_accents(c)),
         "strip_accents_ascii": _cleaning(lambda c: T.accents_to_ascii(T.lower(c))),
@@ -165,10 +200,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "vocab_size": lambda s, d: _model(s, d).meta.select("n_docs", "vocab_size"),
         "vocab_size_oracle": lambda s, d: _model(s, d, ORACLE).meta.select("n_docs", "vocab_size"),
         "term_lookup": lambda s, d: _model(s, d).freq("treaty", 5),
+        "term_weight": lambda s, d: _model(s, d).term_weight("treaty", 5).select(_r("tf_weight")),
         "tfidf_weights": lambda s, d: _model(s, d).postings.select("doc_id", "term", "tf", _r("w")),
         "tfidf_weights_oracle": lambda s, d: _model(s, d, ORACLE).postings.select("doc_id", "term", "tf", _r("w")),
         "doc_norms": lambda s, d: reports.norm_list(_model(s, d)).select("doc_id", _r("norm")),
         "query_vector": _with_question(lambda m, q: search.query_vectors(m, q).select("query_id", "term", "tf", _r("w"))),
+        "query_vector_uncleaned": _with_question(lambda m, q: search.query_vectors(m, q).select("query_id", "term", "tf", _r("w")), RAW),
         "query_norm": _with_question(lambda m, q: search.query_norms(q, search.query_vectors(m, q)).select("query_id", _r("norm"))),
         "dot_product": _with_question(lambda m, q: search.dot_products(m, search.query_vectors(m, q)).select("query_id", "doc_id", _r("dot"))),
         "similarity_all": _with_question(search.similarity_all),
@@ -178,13 +215,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "search_topk_stemmed": _with_question(lambda m, q: search.search_many(m, q, 10), TextOptions()),
         "search_tables": _search_tables(PLAIN),
         "search_tables_stemmed": _search_tables(TextOptions()),
-        "search_batch": _search_batch,
-        "search_batch_stemmed": _search_batch_stemmed,
+        "search_batch": _search_batch(PLAIN),
+        "search_batch_stemmed": _search_batch(TextOptions()),
         "top_words_per_doc": lambda s, d: reports.top_words(_model(s, d)).select("doc_id", "rank", "term", _r("w")),
         "idf_report": lambda s, d: reports.idf_list(_model(s, d)).select("term", "df", _r("idf")),
         "top_idf": lambda s, d: reports.top_idf(_model(s, d)).select("term", _r("idf")),
         "vector_report": lambda s, d: (lambda v: v.select("doc_id", *[_r(c) for c in v.columns[1:]]))(reports.vector_heads(_model(s, d))),
-        "stem_golden": _stem_golden,
+        "stem_golden": _stem_golden(STEMS, "english"),
+        "stem_golden_portuguese": _stem_golden(STEMS_PORTUGUESE, "portuguese"),
+        "stem_vocabulary": _vocabulary_stems,
         "model_roundtrip": _roundtrip,
     }
 
@@ -220,19 +259,25 @@ def _counted(split: str, term: str, keep: str, source: str = "text") -> str:
     return f"SELECT doc_id, {term} AS token, count(*) AS n FROM (SELECT doc_id, unnest(regexp_split_to_array({source}, '{split}')) AS t FROM {_texts()}) WHERE {keep} GROUP BY ALL"
 
 
-def _tables_sql() -> str:
-    parts = []
-    for tbl in (0, 1, 2):
-        docs = f"SELECT DISTINCT article_id AS doc_id, article_text AS text FROM test_tbl_{tbl}"
-        asked = f"SELECT DISTINCT CAST(query_id AS BIGINT) AS query_id, query AS text FROM queries WHERE tbl = {tbl}"
-        parts.append(f"SELECT * FROM ({sql.model(docs)}{sql.scores(asked)} SELECT {tbl} AS tbl, query_id, CAST(rank AS INTEGER) AS rank, doc_id, similarity FROM ranked WHERE rank <= 10)")
-    return " UNION ALL ".join(parts)
+def _pairs(words: dict[str, str]) -> str:
+    return "SELECT * FROM (VALUES " + ", ".join(f"({sql.quoted(w)}, {sql.quoted(x)})" for w, x in words.items()) + ") v(word, stem)"
+
+
+def _table_sql(tbl: int, stem: bool) -> str:
+    docs = f"SELECT DISTINCT article_id AS doc_id, article_text AS text FROM test_tbl_{tbl}"
+    asked = f"SELECT DISTINCT CAST(query_id AS BIGINT) AS query_id, query AS text FROM queries WHERE tbl = {tbl}"
+    return sql.model(docs, stem=stem) + sql.scores(asked, stem=stem)
+
+
+def _tables_sql(stem: bool) -> str:
+    return " UNION ALL ".join(f"SELECT * FROM ({_table_sql(tbl, stem)} SELECT {tbl} AS tbl, query_id, CAST(rank AS INTEGER) AS rank, doc_id, similarity FROM ranked WHERE rank <= 10)" for tbl in (0, 1, 2, 3))
 
 
 def oracle_sql() -> dict[str, str]:
     model, oracle, ask = sql.model(_DOCS), sql.model(_DOCS, "oracle"), sql.scores(_ASK)
     top = "SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, similarity FROM ranked WHERE rank <= 10"
-    batch = sql.model("SELECT DISTINCT article_id AS doc_id, article_text AS text FROM test_tbl_3") + sql.scores("SELECT DISTINCT CAST(query_id AS BIGINT) AS query_id, query AS text FROM queries WHERE tbl = 3")
+    stemmed = sql.model(_DOCS, stem=True) + sql.scores(_ASK, stem=True)
+    raw = sql.model(_DOCS, cleaned=False) + sql.scores(_ASK, cleaned=False)
     heads = "first10 AS (SELECT term, row_number() OVER (ORDER BY term) AS k FROM vocab ORDER BY term LIMIT 10)"
     columns = ", ".join(f"round(coalesce(sum(w) FILTER (WHERE k = {k}), 0), 6) AS w{k}" for k in range(1, 11))
     out = {
@@ -240,7 +285,9 @@ def oracle_sql() -> dict[str, str]:
         "doc_prefix": f"{_DOCS} WHERE doc_id < 50",
         "doc_range_scan": f"{_DOCS} WHERE doc_id BETWEEN 10 AND 60",
         "doc_point_lookup": "SELECT rank, id, text FROM (VALUES " + ", ".join(f"({k}, {i})" for k, i in enumerate(IDS, 1)) + ") v(rank, id) LEFT JOIN documents ON id = doc_id",
+        "doc_ordered_scan": "SELECT doc_id AS id, text FROM documents WHERE doc_id BETWEEN 10 AND 60 ORDER BY doc_id",
         "query_list": "SELECT DISTINCT tbl, query_id, trim(query) AS query FROM queries WHERE tbl IN (0, 1, 2, 3)",
+        "query_tsv": r"SELECT tbl, query_id, trim(query) AS query FROM queries WHERE query IS NOT NULL AND NOT regexp_matches(query, '[\t\r\n]')",
         "strip_accents_ascii": f"SELECT doc_id, {sql.STEPS['accents_to_ascii']('lower(text)')} AS cleaned FROM {_texts()}",
         "printable_lower_quotes": f"SELECT doc_id, {sql.STEPS['clean_quotes'](sql.STEPS['printable_ascii']('lower(text)'))} AS cleaned FROM {_texts()}",
         "clean_text": f"SELECT doc_id, {sql.clean('text')} AS cleaned FROM {_texts()}",
@@ -254,23 +301,30 @@ def oracle_sql() -> dict[str, str]:
         "vocab_size": f"{model} SELECT n_docs, (SELECT count(*) FROM vocab) AS vocab_size FROM meta",
         "vocab_size_oracle": f"{oracle} SELECT n_docs, (SELECT count(*) FROM vocab) AS vocab_size FROM meta",
         "term_lookup": f"{model} SELECT CAST(coalesce((SELECT sum(tf) FROM tf WHERE term = 'treaty' AND doc_id = 5), 0) AS BIGINT) AS freq FROM vocab WHERE term = 'treaty'",
+        "term_weight": f"{model} SELECT CASE WHEN f > 0 THEN round(1 + log2(f), 6) ELSE 0.0 END AS tf_weight FROM (SELECT coalesce((SELECT sum(tf) FROM tf WHERE term = 'treaty' AND doc_id = 5), 0) AS f FROM vocab WHERE term = 'treaty')",
         "tfidf_weights": f"{model} SELECT doc_id, term, tf, round(w, 6) AS w FROM postings",
         "tfidf_weights_oracle": f"{oracle} SELECT doc_id, term, tf, round(w, 6) AS w FROM postings",
         "doc_norms": f"{model} SELECT doc_id, round(norm, 6) AS norm FROM norms",
         "query_vector": f"{model}{ask} SELECT CAST(query_id AS BIGINT) AS query_id, term, tf, round(w, 6) AS w FROM qvec",
+        "query_vector_uncleaned": f"{raw} SELECT CAST(query_id AS BIGINT) AS query_id, term, tf, round(w, 6) AS w FROM qvec",
         "query_norm": f"{model}{ask} SELECT CAST(query_id AS BIGINT) AS query_id, round(norm, 6) AS norm FROM qnorm",
         "dot_product": f"{model}{ask} SELECT CAST(query_id AS BIGINT) AS query_id, doc_id, round(dot, 6) AS dot FROM dots",
         "similarity_all": f"{model}{ask} SELECT CAST(query_id AS BIGINT) AS query_id, doc_id, similarity FROM sims",
         "rank_all_oracle": f"{oracle}{sql.scores(_ASK, 'oracle')} SELECT CAST(query_id AS BIGINT) AS query_id, doc_id, similarity, CAST(rank AS INTEGER) AS rank FROM ranked",
         "search_topk": f"{model}{ask} {top.replace('query_id', 'CAST(query_id AS BIGINT) AS query_id')}",
         "search_topk_text": f"{model}{ask} SELECT CAST(query_id AS BIGINT) AS query_id, CAST(rank AS INTEGER) AS rank, doc_id, similarity, CASE WHEN length(text) > 100 THEN substring(text, 1, 100) || '...' ELSE text END AS snippet FROM ranked JOIN docs USING (doc_id) WHERE rank <= 10 AND text IS NOT NULL",
-        "search_tables": _tables_sql(),
-        "search_batch": f"{batch} {top}",
+        "search_topk_stemmed": f"{stemmed} {top.replace('query_id', 'CAST(query_id AS BIGINT) AS query_id')}",
+        "search_tables": _tables_sql(False),
+        "search_tables_stemmed": _tables_sql(True),
+        "search_batch": f"{_table_sql(3, False)} {top}",
+        "search_batch_stemmed": f"{_table_sql(3, True)} {top}",
         "top_words_per_doc": f"{model} SELECT doc_id, CAST(rank AS INTEGER) AS rank, term, round(w, 6) AS w FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(w, 9) DESC, term) AS rank FROM postings WHERE w > 0) WHERE rank <= 10",
         "idf_report": f"{model} SELECT term, df, round(idf, 6) AS idf FROM vocab ORDER BY term LIMIT 20",
         "top_idf": f"{model} SELECT term, round(idf, 6) AS idf FROM vocab ORDER BY round(idf, 9) DESC, term LIMIT 5",
         "vector_report": f"{model}, {heads} SELECT doc_id, {columns} FROM docs LEFT JOIN (SELECT * FROM postings JOIN first10 USING (term)) USING (doc_id) GROUP BY doc_id",
-        "stem_golden": "SELECT * FROM (VALUES " + ", ".join(f"({sql.quoted(w)}, {sql.quoted(x)})" for w, x in STEMS.items()) + ") v(word, stem)",
+        "stem_golden": _pairs(STEMS),
+        "stem_golden_portuguese": _pairs(STEMS_PORTUGUESE),
+        "stem_vocabulary": f"{sql.model(_DOCS, stem=True)} SELECT term, stem FROM tf_stems",
         "model_roundtrip": f"{model} SELECT doc_id, term, tf, round(w, 6) AS w FROM postings",
     }
     for step, make in sql.STEPS.items():

@@ -6,7 +6,7 @@ import sqlite3
 from collections.abc import Iterator
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
@@ -23,6 +23,16 @@ def id_range(df: DataFrame, key: str, first: int, last: int) -> DataFrame:
     return df.where(F.col(f"`{key}`").between(first, last))
 
 
+def ordered_scan(df: DataFrame, key: str, text: str, first: int, last: int) -> DataFrame:
+    """``(id, text)`` of :func:`id_range`, in order of id."""
+    return id_range(df, key, first, last).select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")).orderBy("id")
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def id_prefix(df: DataFrame, key: str, entries: int) -> DataFrame:
     """Rows with ids below ``entries``; all of them if it is 0."""
     if entries < 0:
@@ -50,11 +60,13 @@ def read_queries_tsv(spark: SparkSession, path: str) -> DataFrame:
 
 def read_directory(spark: SparkSession, base: str, docs: str = "documentos") -> DataFrame:
     """``(doc_id, text)`` of the files ``doc<N>.txt``, numbered from 0 in order of N."""
-    files = spark.read.text(f"{base}/{docs}", wholetext=True).select(F.regexp_extract(F.input_file_name(), r"doc(\d+)\.txt$", 1).alias("n"), F.col("value").alias("text"))
-    files = files.where("n != ''").withColumn("n", F.col("n").cast("bigint"))
-    # Numbering is over file names only; the text is joined back.
-    order = files.select("n").orderBy("n").rdd.zipWithIndex().map(lambda x: (x[0][0], x[1])).toDF("n bigint, doc_id bigint")
-    return files.join(order, "n").select("doc_id", "text")
+    at = f"{base}/{docs}"
+    number = F.regexp_extract("path", r"doc(\d+)\.txt$", 1)
+    # Numbering is over file names only, whose contents are not read for it; the text is joined back.
+    names = spark.read.format("binaryFile").load(at).select("path").select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), number.alias("n")).where("n != ''")
+    order = names.select("name", (F.row_number().over(Window.orderBy(F.col("n").cast("bigint"))) - 1).cast("bigint").alias("doc_id"))
+    texts = spark.read.text(at, wholetext=True).select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("text"))
+    return texts.join(order, "name").select("doc_id", "text")
 
 
 def read_query_file(path: str | Path) -> str:
@@ -114,11 +126,15 @@ class SqliteSource(DataSource):
         return _SqliteReader(dict(self.options))
 
 
+def sqlite_table_exists(path: str, table: str) -> bool:
+    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
+        return bool(db.execute("SELECT 1 FROM sqlite_master WHERE type = 'table' AND name = ?", (table,)).fetchone())
+
+
 def read_sqlite(spark: SparkSession, path: str, table: str = "sample_articles", partitions: int = 8) -> DataFrame:
     if not Path(path).is_file():
         raise FileNotFoundError(path)
-    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
-        if not db.execute("SELECT 1 FROM sqlite_master WHERE type = 'table' AND name = ?", (table,)).fetchone():
-            raise ValueError(f"no table {table!r}")
+    if not sqlite_table_exists(path, table):
+        raise ValueError(f"no table {table!r}")
     spark.dataSource.register(SqliteSource)
     return spark.read.format("sqlite_articles").option("table", table).option("partitions", partitions).load(path)

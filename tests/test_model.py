@@ -1,3 +1,6 @@
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -21,7 +24,7 @@ def corpus(spark, texts):
 
 @pytest.fixture(scope="module")
 def chess(spark):
-    return build_model(corpus(spark, CHESS), "article_id", "article_text", materialise=True)
+    return build_model(corpus(spark, CHESS), "article_id", "article_text", materialise="weights")
 
 
 def ranked(model, text, k=10):
@@ -130,3 +133,55 @@ def test_store(spark, tmp_path):
     for m in marks:
         m.unlink()
     assert store.get_or_build(spark.read.parquet(source), "article_id", "article_text").meta.first()["n_docs"] == 2
+
+
+@pytest.mark.parametrize("options", [{}, {"block_docs": 40, "chunk_terms": 30}, {"block_docs": 7}])
+def test_batch_gives_what_single_searches_give(spark, options):
+    rnd = random.Random(4)
+    vocabulary = [f"w{int(rnd.paretovariate(0.6))}" for _ in range(4000)]
+    texts = [" ".join(rnd.choices(vocabulary, k=rnd.randint(0, 30))) for _ in range(300)]
+    model = build_model(corpus(spark, [*texts, None, texts[0], texts[1]]), "article_id", "article_text", TextOptions(stem=False), materialise="weights")
+    asked = search.query_frame(model, {k: " ".join(rnd.choices(vocabulary, k=rnd.randint(0, 9))) for k in range(60)} | {90: "w1", 91: "w1 w2 w3 w1", 92: "unheard", 93: "", 94: texts[0]})
+    for k in (1, 10, 400):
+        want = {tuple(r) for r in search.search_many(model, asked, k).collect()}
+        got = [tuple(r) for r in search.search_batch(model, asked, k, **options).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert search.search_batch(model, asked, 0).count() == 0 == search.search_batch(model, asked.limit(0), 3).count()
+
+
+def test_batch_over_nothing(spark):
+    model = build_model(corpus(spark, []), "article_id", "article_text")
+    assert search.search_batch(model, search.query_frame(model, {1: "pawn"})).count() == 0
+
+
+def test_the_end_of_a_common_term_is_not_read():
+    # 1000 documents hold term 1, three of them term 0 too, which alone makes the best two.
+    at = np.r_[[5, 6, 7], np.arange(1000)]
+    code = np.r_[[0, 0, 0], np.ones(1000, dtype=np.int64)]
+    u = np.r_[[0.9, 0.8, 0.7], np.full(1000, 0.01)]
+    ids = np.arange(1000) * 10
+    for _ in range(2):
+        (q, docs, scores), = search._best_of_block(np.array([1, 0]), np.array([0, 2]), np.array([0.5, 0.5]), (ids, at), code, u, 2)
+        assert (q, docs.tolist()) == (0, [50, 60]) and scores.tolist() == pytest.approx([0.455, 0.405])
+
+
+def test_store_tells_selections_apart(spark, tmp_path):
+    source = f"file://{tmp_path}/docs"
+    corpus(spark, CHESS).write.parquet(source)
+    store = ModelStore(f"file://{tmp_path}/models")
+    df = spark.read.parquet(source)
+    n = lambda x: store.get_or_build(x, "article_id", "article_text").meta.first()["n_docs"]
+    assert [n(x) for x in (df, df.where("article_id < 3"), df.where("article_id < 2"), df, df.where("article_id < 3"), df.limit(1), df.where("article_text like '%rodeo%'"))] == [5, 3, 2, 5, 3, 1, 1]
+    upper = F.udf(lambda t: t.upper(), "string")
+    other = F.udf(lambda t: t[:4], "string")
+    marks = {ModelStore.fingerprint(x, "article_id", "article_text", TextOptions(), 0) for x in (df, df.withColumn("article_text", upper("article_text")), df.withColumn("article_text", other("article_text")), df.withColumn("article_text", F.lit("a")), df.withColumn("article_text", F.lit("b")), df.union(df))}
+    assert len(marks) == 6
+    assert ModelStore.fingerprint(df.select("article_text", "article_id"), "article_id", "article_text", TextOptions(), 0) == ModelStore.fingerprint(spark.read.parquet(source).select("article_text", "article_id"), "article_id", "article_text", TextOptions(), 0)
+
+
+def test_unknown_terms_tell_if_asked_to(chess):
+    assert chess.freq("knight", 0, strict=True).first()["freq"] == 2
+    with pytest.raises(KeyError):
+        chess.freq("unheard", 0, strict=True)
+    with pytest.raises(KeyError):
+        chess.term_weight("unheard", 0, strict=True)

@@ -1,3 +1,4 @@
+import re
 import sqlite3
 
 import pytest
@@ -59,15 +60,25 @@ def test_query_file(tmp_path):
 
 def test_cli(spark, database, tmp_path, capsys):
     assert cli.main(["search", "--db", database, "--query_user", "rook number n9", "--k", "3", "--models", f"file://{tmp_path}/m"], spark) == 0
-    assert capsys.readouterr().out.startswith("[9] ")
+    assert re.match(r"\[9\] [01]\.\d{6}  ", capsys.readouterr().out)
+    (tmp_path / "q.tsv").write_text("table\tquery_id\tquery\n7\t1\trook number n9\n9\t1\trook\n7\t2\t\n", encoding="utf-8")
+    spark.createDataFrame([(3, "rook number n9"), (4, "king")], "article_id bigint, article_text string").write.parquet(f"file://{tmp_path}/tables/test_tbl_7.parquet")
+    assert cli.main(["batch", "--db", f"file://{tmp_path}/tables", "--queries", str(tmp_path / "q.tsv"), "--k", "1", "--models", f"file://{tmp_path}/m"], spark) == 0
+    assert capsys.readouterr().out.split("\n")[:2] == ["test_tbl_7 1 [3] 1.000000  rook number n9", "test_tbl_9: no such table, skipped"]
     assert cli.main(["clean", "The CAT's tail!"], spark) == 0
     assert capsys.readouterr().out.strip() == "the cat tail"
     assert cli.main(["clean", "-d", database, "-t", "sample_articles", "-o", f"file://{tmp_path}/clean"], spark) == 0
     assert spark.read.parquet(f"file://{tmp_path}/clean").where("article_text = 'rook number n0 king''s'").count() == 1
     assert cli.main(["model", "-d", database, "-t", "sample_articles", "-q", "rook number n9"], spark) == 0
     assert "rank" in capsys.readouterr().out
-    with pytest.raises(SystemExit):
+    (tmp_path / "query").write_text("rook number n9\n", encoding="utf-8")
+    assert cli.main(["model", "-d", database, "-t", "sample_articles", "-f", str(tmp_path / "query")], spark) == 0
+    with pytest.raises(ValueError):
+        cli.main(["model", "-d", database, "-t", "sample_articles"], spark)
+    with pytest.raises(SystemExit) as end:
         cli.main(["search", "--unknown"], spark)
+    assert end.value.code == 1
+    assert cli.main(["search", "--db", database, "--query_user", "rook", "--k", "1", "--test", "1", "--models", f"file://{tmp_path}/m"], spark) == 0
 
 
 def test_models_from_sources(spark, database, tmp_path):
