@@ -1,19 +1,23 @@
 """Near-duplicate texts (problem 2): forests of signature trees.
 
-A text is its set of words.  Two sets are alike if ``|both| / |either| >= threshold``.  Every set carries a bitmap of its words; the nodes
-of a signature tree hold the OR of their members' bitmaps and the range of their sizes.  A dual traversal starts at pairs of roots and goes
-down only where the greatest possible overlap of two nodes can still reach what their sizes demand:
+A text is its set of words.  Two sets are alike if ``|both| / |either| >= threshold``.  The nodes of a signature tree hold the OR of their
+members' word bitmaps and the ranges of their sizes and of the words they have left.  A dual traversal starts at pairs of roots and goes down
+only where the greatest possible overlap of two nodes reaches what their least sizes demand:
 
-    ``overlap <= popcount(A.bits & B.bits) + min(A.extra, B.extra)``
+    ``overlap <= min(A.most_left, B.most_left, popcount(A.bits & B.bits) + min(A.extra, B.extra))``
 
-(``extra``: by how much a member's size may exceed its bits, as words share bits), and ``overlap <= min(A.most, B.most)``.
+(``extra``: by how much a member's words left may exceed its bits, as words share bits).
 
 One tree over everything would have to pair everything with everything near its root.  So there is one tree per key, a forest: words are
-ordered from rare to common, alike sets must share one of their first ``n - ceil(t n) + 1`` words, and each of these is a key.  A key with more
-than ``bucket_rows`` sets is split by the next shared word, which must be among the first ``n - ceil(t n) + 2``, and so on: exact, without a cap.
-Keys that are still too large after ``levels`` words are cut into blocks, and each pair of blocks is a task of its own.
+ordered from rare to common, alike sets must share one of their first ``n - ceil(t n) + 1`` words, and each of these is a key.  A pair is looked
+for under the first word it shares, so what a set has left under a key are the words from there on: its bitmap holds only those.  This makes
+the bounds of a common word's large tree sharp, as its members have used up their rare words.
 
-Sets that are equal are one node from the start, however many texts have them.
+A key with more than ``bucket_rows`` sets is split by the next shared word, which must be among the first ``n - ceil(t n) + 2``, and so on:
+exact, without a cap.  What still is too large after ``levels`` words is laid out in pages in order of size; pages are nodes of a tree themselves,
+and only pairs of pages whose greatest possible overlap suffices become tasks.
+
+Sets that are equal are one node from the start, however many texts have them.  Every candidate pair is proved on its words.
 """
 
 from __future__ import annotations
@@ -33,11 +37,10 @@ from termlode.plans.scratch import cut_lineage
 HEAVY_PARTS = 20_000
 WORDS64 = 4
 FAN = 8
-_MASK = (1 << 56) - 1
-SETS = "rec_id bigint, h1 bigint, h2 bigint, words array<bigint>"
-ORDERED = "node bigint, n int, words array<bigint>, " + ", ".join(f"b{k} bigint" for k in range(WORDS64))
+SETS = "rec_id bigint, h1 bigint, h2 bigint, codes array<bigint>, words array<string>"
 BITS = [f"b{k}" for k in range(WORDS64)]
-ROW = "bucket bigint, side int, node bigint, n int, " + ", ".join(f"{b} bigint" for b in BITS)
+ROW = "bucket bigint, side int, node bigint, n int, s int, " + ", ".join(f"{b} bigint" for b in BITS)
+_COLUMNS = [c.split()[0] for c in ROW.split(", ")]
 
 
 def _word_code(word: str) -> int:
@@ -47,9 +50,9 @@ def _word_code(word: str) -> int:
 def _word_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     codes: dict[str, int] = {}
     for b in batches:
-        keys, h1, h2, sets = [], [], [], []
+        keys, h1, h2, sets, texts = [], [], [], [], []
         for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            found = set(words_of(text))
+            found = sorted(set(words_of(text)))
             if not found:
                 continue
             if len(codes) > 500_000:
@@ -60,39 +63,87 @@ def _word_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if c is None:
                     c = codes[w] = _word_code(w)
                 own.append(c)
-            own = sorted(set(own))
-            digest = hashlib.blake2b(np.array(own, dtype=np.int64).tobytes(), digest_size=16).digest()
+            digest = hashlib.blake2b(" ".join(found).encode("utf-8", "surrogatepass"), digest_size=16).digest()  # words hold no blank
             keys.append(key)
             h1.append(int.from_bytes(digest[:8], "big", signed=True))
             h2.append(int.from_bytes(digest[8:], "big", signed=True))
             sets.append(own)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["rec_id", "h1", "h2", "words"])
+            texts.append(found)
+        columns = [pa.array(keys, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sets, pa.list_(pa.int64())), pa.array(texts, pa.list_(pa.string()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["rec_id", "h1", "h2", "codes", "words"])
+
+
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Values behind each other, and the length of each list."""
+    return lists.values.to_numpy(zero_copy_only=False)[lists.offsets[0].as_py() : lists.offsets[-1].as_py()], np.diff(lists.offsets.to_numpy()).astype(np.int64)
 
 
 def _order(ranks):
-    """Words of each set from rare to common, each as rank << 56 | code, and the set's bitmap."""
+    """Words of each set from rare to common, each as rank << 56 | code."""
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, rank = ranks.value
         for b in batches:
-            lists = b.column(1)
-            flat = lists.values.to_numpy(zero_copy_only=False)[lists.offsets[0].as_py() : lists.offsets[-1].as_py()]
-            n = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+            flat, n = _flat(b.column(1))
             owner = np.repeat(np.arange(len(n)), n)
-            at = np.minimum(np.searchsorted(codes, flat), max(len(codes) - 1, 0))
-            known = codes[at] == flat if len(codes) else np.zeros(len(flat), dtype=bool)
-            key = flat | (np.where(known, rank[at], 0) << 56 if len(codes) else 0)
-            order = np.lexsort((key, owner))
-            bit = (flat.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - int(math.log2(WORDS64 * 64)))
-            bits = np.zeros((len(n), WORDS64), dtype=np.uint64)
-            np.bitwise_or.at(bits, (owner, (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
-            offsets = np.r_[0, np.cumsum(n)].astype(np.int32)
-            words = pa.ListArray.from_arrays(pa.array(offsets), pa.array(key[order], pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n.astype(np.int32)), words, *(pa.array(bits[:, k].view(np.int64)) for k in range(WORDS64))], names=["node", "n", "words", *BITS])
+            if len(codes):
+                at = np.minimum(np.searchsorted(codes, flat), len(codes) - 1)
+                flat = flat | np.where(codes[at] == flat, rank[at] << 56, 0)
+            words = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(flat[np.lexsort((flat, owner))], pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n.astype(np.int32)), words], names=["node", "n", "words"])
 
     return order
 
 
+def _left_bits(flat: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Bitmaps of the words ``flat[first:last]``, for each row."""
+    hashed = (flat.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - int(math.log2(WORDS64 * 64)))
+    one = np.zeros((len(flat) + 1, WORDS64), dtype=np.uint64)
+    one[np.arange(len(flat)), (hashed >> np.uint64(6)).astype(np.int64)] = np.uint64(1) << (hashed & np.uint64(63))
+    out = np.zeros((len(first), WORDS64), dtype=np.uint64)
+    some = np.flatnonzero(first < last)
+    if len(some):
+        out[some] = np.bitwise_or.reduceat(one, np.stack([first[some], last[some]], axis=1).ravel(), axis=0)[::2]
+    return out
+
+
+def _rows(bucket, node, n, s, bits) -> pa.RecordBatch:
+    whole = [pa.array(bucket), pa.array(np.zeros(len(node), dtype=np.int32)), pa.array(node), pa.array(n.astype(np.int32)), pa.array(s.astype(np.int32)), *(pa.array(bits[:, k].view(np.int64)) for k in range(WORDS64))]
+    return pa.RecordBatch.from_arrays(whole, names=_COLUMNS)
+
+
+def _first_keys(threshold: float):
+    """A row under each of a set's first words."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat, n = _flat(b.column(2))
+            start = np.r_[0, np.cumsum(n)][:-1]
+            prefix = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
+            row = np.repeat(np.arange(len(n)), prefix)
+            pos = np.arange(prefix.sum()) - np.repeat(np.cumsum(prefix) - prefix, prefix)
+            first = start[row] + pos
+            yield _rows(flat[first], b.column(0).to_numpy()[row], n[row], n[row] - pos, _left_bits(flat, first, start[row] + n[row]))
+
+    return make
+
+
+def _later_keys(level: int):
+    """Rows ``(key, pos, ends, node, n, words)`` under keys of ``level`` words, the last of them at ``pos``; ``ends``: no more words are shared."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key, pos, ends, node = (b.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            flat, n = _flat(b.column(5))
+            start = np.r_[0, np.cumsum(n)][:-1]
+            ends = ends.astype(bool)
+            first = np.where(ends, start + n, start + pos)
+            s = np.where(ends, level, level - 1 + n - pos)
+            yield _rows(key, node, n, s, _left_bits(flat, first, start + n))
+
+    return make
+
+
 def needed(n_a, n_b, threshold: float):
     """The least overlap of two sets of these sizes that are alike."""
     return np.ceil(threshold / (1 + threshold) * (n_a + n_b) - 1e-9)
@@ -101,8 +152,8 @@ def needed(n_a, n_b, threshold: float):
 class _Level:
     """The nodes of one height of a forest."""
 
-    def __init__(self, tree, bits, least, most, extra, first, last) -> None:
-        self.tree, self.bits, self.least, self.most, self.extra, self.first, self.last = tree, bits, least, most, extra, first, last
+    def __init__(self, tree, bits, least, most, left, extra, first, last) -> None:
+        self.tree, self.bits, self.least, self.most, self.left, self.extra, self.first, self.last = tree, bits, least, most, left, extra, first, last
 
     def above(self) -> _Level:
         """Groups of up to FAN neighbours of the same tree."""
@@ -111,39 +162,47 @@ class _Level:
         starts = np.flatnonzero(new)
         rank = np.arange(n) - np.repeat(starts, np.diff(np.r_[starts, n]))
         first = np.flatnonzero(rank % FAN == 0)
-        return _Level(self.tree[first], np.bitwise_or.reduceat(self.bits, first, axis=0), np.minimum.reduceat(self.least, first), np.maximum.reduceat(self.most, first), np.maximum.reduceat(self.extra, first), first, np.r_[first[1:], n])
+        most = lambda x: np.maximum.reduceat(x, first)
+        return _Level(self.tree[first], np.bitwise_or.reduceat(self.bits, first, axis=0), np.minimum.reduceat(self.least, first), most(self.most), most(self.left), most(self.extra), first, np.r_[first[1:], n])
 
     def possible(self, a, b, threshold: float):
-        """Positions of the pairs whose greatest possible overlap reaches what their sizes demand."""
-        fits = np.flatnonzero((self.most[a] >= threshold * self.least[b] - 1e-9) & (self.most[b] >= threshold * self.least[a] - 1e-9))
+        """Positions of the pairs whose greatest possible overlap reaches what their least sizes demand."""
+        need = needed(self.least[a], self.least[b], threshold)
+        fits = np.flatnonzero((self.most[a] >= threshold * self.least[b] - 1e-9) & (self.most[b] >= threshold * self.least[a] - 1e-9) & (np.minimum(self.left[a], self.left[b]) >= need))
         a, b = a[fits], b[fits]
-        shared = np.bitwise_count(self.bits[a] & self.bits[b]).sum(axis=1, dtype=np.int64) + np.minimum(self.extra[a], self.extra[b])
-        most = np.minimum(shared, np.minimum(self.most[a], self.most[b]))
-        return fits[most >= needed(self.least[a], self.least[b], threshold)]
+        shared = np.minimum(self.extra[a], self.extra[b])
+        for k in range(WORDS64):
+            shared = shared + np.bitwise_count(self.bits[a, k] & self.bits[b, k])
+        return fits[shared >= need[fits]]
+
 
+def dual_traversal(bucket, side, n, left, bits, threshold: float, *, frontier: int = 1_000_000, tested: list | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row pairs of the same bucket that may be alike.  Rows are sorted by (bucket, side); within side 0 all pairs count, else side 1 x 2.
 
-def dual_traversal(bucket, side, n, bits, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Row pairs of the same bucket that may be alike.  Rows are sorted by (bucket, side); within side 0 all pairs count, else side 1 x 2."""
+    At most about ``frontier`` node pairs are held at a time, whatever the trees' sizes.  ``tested`` gets (height, tested, kept) of each step.
+    """
     tree = np.cumsum(np.r_[True, (bucket[1:] != bucket[:-1]) | (side[1:] != side[:-1])]) - 1
-    n = n.astype(np.int64)
-    levels = [_Level(tree, bits, n, n, n - np.bitwise_count(bits).sum(axis=1, dtype=np.int64), None, None)]
-    while len(levels[-1].tree) > tree[-1] + 1:
+    n, left = n.astype(np.int64), left.astype(np.int64)
+    levels = [_Level(tree, bits, n, n, left, left - np.bitwise_count(bits).sum(axis=1, dtype=np.int64), None, None)]
+    while len(levels[-1].tree) > tree[-1] + 1 or len(levels) == 1:
         levels.append(levels[-1].above())
     top = levels[-1]
-    if len(levels) == 1:  # every tree is a single leaf
-        roots = np.arange(len(tree))
-    else:
-        roots = np.arange(len(top.tree))
     start = np.searchsorted(tree, top.tree)
     tree_bucket, tree_side = bucket[start], side[start]
-    inner = roots[tree_side == 0]
+    inner = np.flatnonzero(tree_side == 0)
     crossing = np.flatnonzero((tree_side[:-1] == 1) & (tree_side[1:] == 2) & (tree_bucket[:-1] == tree_bucket[1:]))
-    a, b = np.r_[inner, crossing], np.r_[inner, crossing + 1]
-    for height in range(len(levels) - 1, 0, -1):
+    todo = [(len(levels) - 1, np.r_[inner, crossing], np.r_[inner, crossing + 1])]
+    while todo:
+        height, a, b = todo.pop()
         level, below = levels[height], levels[height - 1]
         na, nb = level.last[a] - level.first[a], level.last[b] - level.first[b]
         each = na * nb
-        at = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        done = np.cumsum(each)
+        if len(a) > 1 and done[-1] > frontier:
+            cut = max(1, int(np.searchsorted(done, frontier)))
+            todo += [(height, a[cut:], b[cut:]), (height, a[:cut], b[:cut])]
+            continue
+        at = np.arange(done[-1] if len(done) else 0) - np.repeat(done - each, each)
         wide = np.repeat(nb, each)
         ca = np.repeat(level.first[a], each) + at // wide
         cb = np.repeat(level.first[b], each) + at % wide
@@ -151,52 +210,70 @@ def dual_traversal(bucket, side, n, bits, threshold: float) -> tuple[np.ndarray,
         ok = ~same | (ca <= cb if height > 1 else ca < cb)
         ca, cb = ca[ok], cb[ok]
         keep = below.possible(ca, cb, threshold)
-        a, b = ca[keep], cb[keep]
-    if len(levels) == 1:
-        keep = levels[0].possible(a, b, threshold)
-        a, b = a[keep], b[keep]
-        a, b = a[a != b], b[a != b]
-    return a, b
+        if tested is not None:
+            tested.append((height - 1, len(ca), len(keep)))
+        if height == 1:
+            yield ca[keep], cb[keep]
+        elif len(keep):
+            todo.append((height - 1, ca[keep], cb[keep]))
 
 
-def _join_forests(threshold: float, chunk_pairs: int):
+def _join_forests(threshold: float, chunk_rows: int):
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
 
         def tables():
+            """Whole buckets, about ``chunk_rows`` rows together."""
             nonlocal rest
             for b in batches:
                 t = pa.Table.from_batches([b])
-                t = t if rest is None or not rest.num_rows else pa.concat_tables([rest, t])
-                bucket = t.column(0).to_numpy()
-                last = int(np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])[-1])
-                if last:
-                    yield t.slice(0, last)
-                rest = t.slice(last)
+                rest = t if rest is None or not rest.num_rows else pa.concat_tables([rest, t])
+                if rest.num_rows >= chunk_rows:
+                    bucket = rest.column(0).to_numpy()
+                    last = int(np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])[-1])
+                    if last:
+                        yield rest.slice(0, last)
+                        rest = rest.slice(last)
             if rest is not None and rest.num_rows:
                 yield rest
 
         for t in tables():
-            bucket, side, node, n = (t.column(k).to_numpy() for k in range(4))
-            bits = np.ascontiguousarray(np.stack([t.column(4 + k).to_numpy() for k in range(WORDS64)], axis=1)).view(np.uint64)
-            edges = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(bucket)]
-            work = np.cumsum(np.diff(edges) ** 2)
-            at = 0
-            while at < len(edges) - 1:
-                done = work[at - 1] if at else 0
-                to = max(at + 1, int(np.searchsorted(work, done + chunk_pairs, "right")))
-                x, y = edges[at], edges[to]
-                if y - x > 1:
-                    a, b = dual_traversal(bucket[x:y], side[x:y], n[x:y], bits[x:y], threshold)
-                    a, b = node[x:y][a], node[x:y][b]
-                    differ = a != b
-                    a, b = a[differ], b[differ]
+            bucket, side, node, n, left = (t.column(k).to_numpy() for k in range(5))
+            bits = np.stack([t.column(5 + k).to_numpy() for k in range(WORDS64)], axis=1).view(np.uint64)
+            new = np.r_[True, bucket[1:] != bucket[:-1]]
+            many = np.diff(np.r_[np.flatnonzero(new), len(bucket)]) > 1  # a set that is alone under a key has no partner there
+            row = np.flatnonzero(np.repeat(many, np.diff(np.r_[np.flatnonzero(new), len(bucket)])))
+            if not len(row):
+                continue
+            for a, b in dual_traversal(bucket[row], side[row], n[row], left[row], bits[row], threshold):
+                a, b = node[row[a]], node[row[b]]
+                differ = a != b
+                a, b = a[differ], b[differ]
+                if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["node_a", "node_b"])
-                at = to
 
     return join
 
 
+def _number_pages(page_rows: int):
+    """Neighbours of a bucket in pages of ``page_rows``; a page's number also tells its task."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        page, held, last = TaskContext.get().partitionId() << 32, 0, None
+        for b in batches:
+            out = np.empty(b.num_rows, dtype=np.int64)
+            for k, bucket in enumerate(b.column(0).to_pylist()):
+                if bucket != last or held == page_rows:
+                    page, held, last = page + 1, 0, bucket
+                out[k] = page
+                held += 1
+            yield pa.RecordBatch.from_arrays([pa.array(out), *b.columns], names=["page", *_COLUMNS])
+
+    return number
+
+
 class NearDuplicates:
     """Groups of alike texts: ``members`` (rec_id, node) and ``links`` (node_a, node_b, overlap, similarity) between nodes.
 
@@ -204,72 +281,84 @@ class NearDuplicates:
     belong to no node; NULL keys are left out; an empty table gives no rows.
     """
 
-    def __init__(self, df: DataFrame, key: str, text: str, threshold: float = 0.7, *, bucket_rows: int = 1024, levels: int = 4, chunk_pairs: int = 1_500_000) -> None:
+    def __init__(self, df: DataFrame, key: str, text: str, threshold: float = 0.7, *, bucket_rows: int = 10_000, levels: int = 6, chunk_rows: int = 100_000) -> None:
         if not 0 < threshold <= 1:
             raise ValueError("threshold must be above 0 and at most 1")
         self.spark, self.threshold = df.sparkSession, threshold
         sets = cut_lineage(records(df, key, text).where("text IS NOT NULL").mapInArrow(_word_sets, SETS), "sets")
         nodes = sets.groupBy("h1", "h2").agg(F.min("rec_id").alias("node"))
-        self.members = sets.select("rec_id", "h1", "h2").join(nodes, ["h1", "h2"]).select("rec_id", "node")
-        distinct = sets.join(nodes.select(F.col("node").alias("rec_id")), "rec_id", "left_semi").select(F.col("rec_id").alias("node"), "words")
-        self.ordered = cut_lineage(distinct.mapInArrow(_order(self._ranks(distinct)), ORDERED), "ordered")
-        self.links = self._links(bucket_rows, levels, chunk_pairs)
+        self.members = cut_lineage(sets.select("rec_id", "h1", "h2").join(nodes, ["h1", "h2"]).select("rec_id", "node"), "members")
+        distinct = sets.join(self.members.where("rec_id = node").select("rec_id"), "rec_id", "left_semi").select(F.col("rec_id").alias("node"), "codes", "words")
+        self.words = distinct.select("node", "words")
+        codes = distinct.select("node", "codes")
+        self.ordered = cut_lineage(codes.mapInArrow(_order(self._ranks(codes)), "node bigint, n int, words array<bigint>"), "ordered")
+        self.links = self._links(bucket_rows, levels, chunk_rows)
 
     def _ranks(self, distinct: DataFrame):
         """Ranks of the words that make up at least one part in HEAVY_PARTS of all: at most HEAVY_PARTS.  All others are rare, of rank 0."""
-        total = distinct.agg(F.sum(F.size("words"))).collect()[0][0] or 0
+        total = distinct.agg(F.sum(F.size("codes"))).collect()[0][0] or 0
         floor = max(2, math.ceil(total / HEAVY_PARTS))
-        heavy = distinct.select(F.explode("words").alias("w")).groupBy("w").count().where(F.col("count") >= floor).collect()
+        heavy = distinct.select(F.explode("codes").alias("w")).groupBy("w").count().where(F.col("count") >= floor).collect()
         pairs = sorted((r["w"], 1 + min(100, int(3 * math.log2(r["count"] / floor)))) for r in heavy)
         codes = np.array([p[0] for p in pairs], dtype=np.int64)
         return self.spark.sparkContext.broadcast((codes, np.array([p[1] for p in pairs], dtype=np.int64)))
 
-    def _links(self, bucket_rows: int, levels: int, chunk_pairs: int) -> DataFrame:
+    def buckets(self, bucket_rows: int, levels: int) -> DataFrame:
+        """The rows of all trees."""
         t = F.lit(self.threshold)
-        least = F.ceil(t * F.col("n") - F.lit(1e-9)).cast("int")
-        base = self.ordered.withColumn("prefix", F.col("n") - least + 1).withColumn("least", least)
-        rows = base.select("*", F.posexplode(F.slice("words", F.lit(1), F.col("prefix"))).alias("pos", "w")).withColumn("key", F.col("w")).withColumn("end", F.lit(False))
+        rows = self.ordered.withColumn("least", F.ceil(t * F.col("n") - F.lit(1e-9)).cast("int")).withColumn("prefix", F.col("n") - F.col("least") + 1)
+        rows = rows.select("*", F.posexplode(F.slice("words", F.lit(1), F.col("prefix"))).alias("pos", "key")).withColumn("ends", F.lit(False))
         parts: list[DataFrame] = []
-        payload = ["node", F.col("n").cast("int").alias("n"), *BITS]
         for level in range(1, levels + 1):
-            hot = rows.groupBy("key").count().where(F.col("count") > bucket_rows)
             # Hot keys are written down: they are few (a row for every bucket_rows rows at most), and the levels below build on them.
-            hot = cut_lineage(hot.select("key", F.col("count").alias("held")), f"hot{level}")
-            parts.append(rows.join(hot, "key", "left_anti").select(F.col("key").alias("bucket"), F.lit(0).alias("side"), *payload))
-            if not hot.limit(1).count():
+            hot = cut_lineage(rows.groupBy("key").count().where(F.col("count") > bucket_rows).select("key"), f"hot{level}")
+            some = hot.limit(1).count()
+            made = self.ordered.mapInArrow(_first_keys(self.threshold), ROW) if level == 1 else self._made(rows, level)
+            parts.append(made.join(hot.withColumnRenamed("key", "bucket"), "bucket", "left_anti").select(*_COLUMNS) if some else made)
+            if not some:
                 break
-            over = rows.join(hot, "key")
+            over = cut_lineage(rows.join(hot, "key"), f"over{level}")
             if level == levels:
-                parts.append(self._blocks(over, bucket_rows, payload))
+                parts.append(self._pages(self._made(over, level), bucket_rows))
                 break
-            closed = over.where("end")  # their sets share nothing beyond the key
-            parts.append(self._blocks(closed, bucket_rows, payload))
-            over = over.where("NOT end").drop("held")
+            parts.append(self._pages(self._made(over.where("ends"), level), bucket_rows))  # their sets share nothing beyond the key
+            over = over.where("NOT ends")
             # The next shared word stands behind the last one and among the first prefix + level words.
-            follow = over.drop("w").withColumnRenamed("pos", "was").select("*", F.posexplode(F.expr(f"slice(words, was + 2, greatest(prefix + {level} - was - 1, 0))")).alias("step", "w"))
-            follow = follow.withColumn("pos", F.col("was") + 1 + F.col("step")).drop("was", "step").withColumn("key", F.xxhash64("key", "w"))
+            follow = over.withColumnRenamed("pos", "was").select("*", F.posexplode(F.expr(f"slice(words, was + 2, greatest(prefix + {level} - was - 1, 0))")).alias("step", "w"))
+            follow = follow.withColumn("pos", F.col("was") + 1 + F.col("step")).withColumn("key", F.xxhash64("key", "w"))
             # Small sets may share the key's words and no more.
-            ends = over.where(F.col("least") <= level).withColumn("key", F.xxhash64("key", F.lit(-1))).withColumn("end", F.lit(True))
-            rows = follow.select(rows.columns).unionByName(ends.select(rows.columns))
-        buckets = parts[0]
+            ended = over.where(F.col("least") <= level).withColumn("key", F.xxhash64("key", F.lit(-1))).withColumn("ends", F.lit(True))
+            rows = cut_lineage(follow.select(rows.columns).unionByName(ended.select(rows.columns)), f"rows{level + 1}")
+        out = parts[0]
         for p in parts[1:]:
-            buckets = buckets.unionByName(p)
-        pairs = buckets.repartition("bucket").sortWithinPartitions("bucket", "side", "n", "b0").mapInArrow(_join_forests(self.threshold, chunk_pairs), "node_a bigint, node_b bigint").distinct()
-        words = self.ordered.select("node", "words")
-        proof = pairs.join(words.select(F.col("node").alias("node_a"), F.col("words").alias("wa")), "node_a").join(words.select(F.col("node").alias("node_b"), F.col("words").alias("wb")), "node_b")
-        both = F.size(F.array_intersect("wa", "wb"))
-        proof = proof.withColumn("overlap", both).withColumn("similarity", F.col("overlap") / (F.size("wa") + F.size("wb") - F.col("overlap")))
-        return proof.where(F.col("overlap") >= F.lit(self.threshold - 1e-12) * (F.size("wa") + F.size("wb") - F.col("overlap"))).select("node_a", "node_b", "overlap", "similarity")
+            out = out.unionByName(p)
+        return out
 
     @staticmethod
-    def _blocks(over: DataFrame, bucket_rows: int, payload: list) -> DataFrame:
-        """Rows of oversized keys, once for every pair of blocks that theirs is in."""
-        n = F.ceil(F.col("held") / F.lit(bucket_rows)).cast("int")
-        own = over.withColumn("blocks", n).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        each = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
-        bucket = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
-        return each.select(bucket.alias("bucket"), side.alias("side"), *payload)
+    def _made(rows: DataFrame, level: int) -> DataFrame:
+        return rows.select("key", "pos", "ends", "node", "n", "words").mapInArrow(_later_keys(level), ROW)
+
+    def _pages(self, rows: DataFrame, page_rows: int) -> DataFrame:
+        """Rows of oversized buckets, once for every pair of pages that theirs is in and that may hold a pair."""
+        paged = cut_lineage(rows.repartitionByRange("bucket", "n", "s", "node").sortWithinPartitions("bucket", "n", "s").mapInArrow(_number_pages(page_rows), "page bigint, " + ROW), "pages")
+        extra = F.col("s") - sum((F.bit_count(b) for b in BITS), F.lit(0))
+        pages = paged.groupBy("bucket", "page").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("s").alias("left"), F.max(extra).alias("extra"), *[F.bit_or(b).alias(b) for b in BITS])
+        a, b = pages.alias("a"), pages.alias("b")
+        need = F.lit(self.threshold / (1 + self.threshold)) * (F.col("a.least") + F.col("b.least")) - F.lit(1e-9)
+        shared = sum((F.bit_count(F.col(f"a.{x}").bitwiseAND(F.col(f"b.{x}"))) for x in BITS), F.least("a.extra", "b.extra"))
+        t = F.lit(self.threshold)
+        fits = (F.col("a.most") >= t * F.col("b.least") - F.lit(1e-9)) & (F.col("b.most") >= t * F.col("a.least") - F.lit(1e-9)) & (F.least("a.left", "b.left") >= need) & (shared >= need)
+        pairs = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.page") <= F.col("b.page")) & fits).select(F.col("a.page").alias("x"), F.col("b.page").alias("y"))
+        sides = pairs.select(F.xxhash64("x", "y").alias("pair"), F.explode(F.when(F.col("x") == F.col("y"), F.array(F.struct(F.col("x").alias("page"), F.lit(0).alias("of")))).otherwise(F.array(F.struct(F.col("x").alias("page"), F.lit(1).alias("of")), F.struct(F.col("y").alias("page"), F.lit(2).alias("of"))))).alias("z"))
+        each = paged.join(sides.select("pair", "z.page", "z.of"), "page")
+        return each.select(F.col("pair").alias("bucket"), F.col("of").alias("side"), *_COLUMNS[2:])
+
+    def _links(self, bucket_rows: int, levels: int, chunk_rows: int) -> DataFrame:
+        rows = self.buckets(bucket_rows, levels).repartition("bucket").sortWithinPartitions("bucket", "side", "n", "s")
+        pairs = rows.mapInArrow(_join_forests(self.threshold, chunk_rows), "node_a bigint, node_b bigint").distinct()
+        proof = pairs.join(self.words.select(F.col("node").alias("node_a"), F.col("words").alias("wa")), "node_a").join(self.words.select(F.col("node").alias("node_b"), F.col("words").alias("wb")), "node_b")
+        proof = proof.withColumn("overlap", F.size(F.array_intersect("wa", "wb"))).withColumn("either", F.size("wa") + F.size("wb") - F.col("overlap"))
+        return proof.where(F.col("overlap") >= F.lit(self.threshold - 1e-12) * F.col("either")).select("node_a", "node_b", "overlap", (F.col("overlap") / F.col("either")).alias("similarity"))
 
     def pairs(self) -> DataFrame:
         """``(a, b)``, a < b: every two records alike, also those with equal sets.  As many rows as there are such pairs."""

@@ -108,7 +108,7 @@ def test_near_duplicates(texts, nothing, articles, options):
 def test_near_duplicates_of_tiny_sets(spark, threshold):
     rnd = random.Random(5)
     rows = [(i, " ".join(rnd.choices("abcdefgh", k=rnd.randint(0, 6)))) for i in range(250)]
-    for options in ({"bucket_rows": 3, "levels": 4}, {"bucket_rows": 5, "levels": 2}, {}):
+    for options in ({"bucket_rows": 3, "levels": 6, "chunk_rows": 40}, {"bucket_rows": 5, "levels": 2}, {}):
         got = {tuple(r) for r in neardup.NearDuplicates(frame(spark, rows), "id", "t", threshold, **options).pairs().collect()}
         assert got == brute.near_pairs(rows, threshold)
 
@@ -122,6 +122,18 @@ def test_near_duplicate_groups(spark):
         neardup.NearDuplicates(frame(spark, chain), "id", "t", 0)
 
 
+def test_trees_prune_at_inner_nodes(spark, small):
+    df = spark.read.parquet(f"{small.replace('0.001', '0.1')}/test_tbl_3.parquet")
+    rows = neardup.NearDuplicates(df, "article_id", "article_text", 0.7).buckets(10_000, 6)
+    key = rows.groupBy("bucket").count().orderBy(F.desc("count")).first()
+    got = rows.where(F.col("bucket") == key["bucket"]).orderBy("side", "n", "s").toPandas()
+    tested: list = []
+    bits = np.stack([got[b].to_numpy() for b in neardup.BITS], axis=1).view(np.uint64)
+    list(neardup.dual_traversal(got["bucket"].to_numpy(), got["side"].to_numpy(), got["n"].to_numpy(), got["s"].to_numpy(), bits, 0.7, tested=tested))
+    by = {h: (sum(t for x, t, _ in tested if x == h), sum(k for x, _, k in tested if x == h)) for h, _, _ in tested}
+    assert by[1][1] < 0.5 * by[1][0] and by[0][0] < 0.25 * key["count"] ** 2 / 2
+
+
 def test_many_copies_and_small_edits(spark):
     rows = [(k, "one two three four five six seven eight nine ten") for k in range(60)] + [(60 + k, f"one two three four five six seven eight nine ten {k}") for k in range(60)]
     assert {tuple(r) for r in neardup.NearDuplicates(frame(spark, rows), "id", "t", 0.7, bucket_rows=8, levels=3).pairs().collect()} == brute.near_pairs(rows, 0.7)
