@@ -31,16 +31,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termlode.llm.words import records, words_of
+from termlode.llm.words import records, sized, words_of
 from termlode.plans.scratch import cut_lineage
 
 HEAVY_PARTS = 20_000
-WORDS64 = 4
 FAN = 8
 SETS = "rec_id bigint, h1 bigint, h2 bigint, codes array<bigint>, words array<string>"
-BITS = [f"b{k}" for k in range(WORDS64)]
-ROW = "bucket bigint, side int, node bigint, n int, s int, " + ", ".join(f"{b} bigint" for b in BITS)
-_COLUMNS = [c.split()[0] for c in ROW.split(", ")]
+ROW = "bucket bigint, side int, node bigint, n int, s int"
+
+
+def bit_names(width: int) -> list[str]:
+    return [f"b{k}" for k in range(width)]
+
+
+def _row(width: int) -> str:
+    return ", ".join([ROW, *(f"{b} bigint" for b in bit_names(width))])
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
 
 
 def _word_code(word: str) -> int:
@@ -95,12 +104,12 @@ def _order(ranks):
     return order
 
 
-def _left_bits(flat: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Bitmaps of the words ``flat[first:last]``, for each row."""
-    hashed = (flat.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - int(math.log2(WORDS64 * 64)))
-    one = np.zeros((len(flat) + 1, WORDS64), dtype=np.uint64)
+def _left_bits(flat: np.ndarray, first: np.ndarray, last: np.ndarray, width: int) -> np.ndarray:
+    """Bitmaps of ``width`` x 64 bits of the words ``flat[first:last]``, for each row."""
+    hashed = (flat.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - int(math.log2(width * 64)))
+    one = np.zeros((len(flat) + 1, width), dtype=np.uint64)
     one[np.arange(len(flat)), (hashed >> np.uint64(6)).astype(np.int64)] = np.uint64(1) << (hashed & np.uint64(63))
-    out = np.zeros((len(first), WORDS64), dtype=np.uint64)
+    out = np.zeros((len(first), width), dtype=np.uint64)
     some = np.flatnonzero(first < last)
     if len(some):
         out[some] = np.bitwise_or.reduceat(one, np.stack([first[some], last[some]], axis=1).ravel(), axis=0)[::2]
@@ -108,11 +117,11 @@ def _left_bits(flat: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndar
 
 
 def _rows(bucket, node, n, s, bits) -> pa.RecordBatch:
-    whole = [pa.array(bucket), pa.array(np.zeros(len(node), dtype=np.int32)), pa.array(node), pa.array(n.astype(np.int32)), pa.array(s.astype(np.int32)), *(pa.array(bits[:, k].view(np.int64)) for k in range(WORDS64))]
-    return pa.RecordBatch.from_arrays(whole, names=_COLUMNS)
+    whole = [pa.array(bucket), pa.array(np.zeros(len(node), dtype=np.int32)), pa.array(node), pa.array(n.astype(np.int32)), pa.array(s.astype(np.int32)), *(pa.array(bits[:, k].view(np.int64)) for k in range(bits.shape[1]))]
+    return pa.RecordBatch.from_arrays(whole, names=_names(_row(bits.shape[1])))
 
 
-def _first_keys(threshold: float):
+def _first_keys(threshold: float, width: int):
     """A row under each of a set's first words."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,12 +132,12 @@ def _first_keys(threshold: float):
             row = np.repeat(np.arange(len(n)), prefix)
             pos = np.arange(prefix.sum()) - np.repeat(np.cumsum(prefix) - prefix, prefix)
             first = start[row] + pos
-            yield _rows(flat[first], b.column(0).to_numpy()[row], n[row], n[row] - pos, _left_bits(flat, first, start[row] + n[row]))
+            yield _rows(flat[first], b.column(0).to_numpy()[row], n[row], n[row] - pos, _left_bits(flat, first, start[row] + n[row], width))
 
     return make
 
 
-def _later_keys(level: int):
+def _later_keys(level: int, width: int):
     """Rows ``(key, pos, ends, node, n, words)`` under keys of ``level`` words, the last of them at ``pos``; ``ends``: no more words are shared."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,11 +148,19 @@ def _later_keys(level: int):
             ends = ends.astype(bool)
             first = np.where(ends, start + n, start + pos)
             s = np.where(ends, level, level - 1 + n - pos)
-            yield _rows(key, node, n, s, _left_bits(flat, first, start + n))
+            yield _rows(key, node, n, s, _left_bits(flat, first, start + n, width))
 
     return make
 
 
+def shared_bits(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bits that are set in both bitmaps, row by row."""
+    count = np.bitwise_count(x & y)
+    while count.shape[1] > 1:  # a power of two
+        count = count[:, ::2].astype(np.uint16) + count[:, 1::2]
+    return count[:, 0].astype(np.int64)
+
+
 def needed(n_a, n_b, threshold: float):
     """The least overlap of two sets of these sizes that are alike."""
     return np.ceil(threshold / (1 + threshold) * (n_a + n_b) - 1e-9)
@@ -170,10 +187,7 @@ class _Level:
         need = needed(self.least[a], self.least[b], threshold)
         fits = np.flatnonzero((self.most[a] >= threshold * self.least[b] - 1e-9) & (self.most[b] >= threshold * self.least[a] - 1e-9) & (np.minimum(self.left[a], self.left[b]) >= need))
         a, b = a[fits], b[fits]
-        shared = np.minimum(self.extra[a], self.extra[b])
-        for k in range(WORDS64):
-            shared = shared + np.bitwise_count(self.bits[a, k] & self.bits[b, k])
-        return fits[shared >= need[fits]]
+        return fits[shared_bits(self.bits[a], self.bits[b]) + np.minimum(self.extra[a], self.extra[b]) >= need[fits]]
 
 
 def dual_traversal(bucket, side, n, left, bits, threshold: float, *, frontier: int = 1_000_000, tested: list | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -239,7 +253,7 @@ def _join_forests(threshold: float, chunk_rows: int):
 
         for t in tables():
             bucket, side, node, n, left = (t.column(k).to_numpy() for k in range(5))
-            bits = np.stack([t.column(5 + k).to_numpy() for k in range(WORDS64)], axis=1).view(np.uint64)
+            bits = np.stack([t.column(5 + k).to_numpy() for k in range(t.num_columns - 5)], axis=1).view(np.uint64)
             new = np.r_[True, bucket[1:] != bucket[:-1]]
             many = np.diff(np.r_[np.flatnonzero(new), len(bucket)]) > 1  # a set that is alone under a key has no partner there
             row = np.flatnonzero(np.repeat(many, np.diff(np.r_[np.flatnonzero(new), len(bucket)])))
@@ -269,7 +283,7 @@ def _number_pages(page_rows: int):
                     page, held, last = page + 1, 0, bucket
                 out[k] = page
                 held += 1
-            yield pa.RecordBatch.from_arrays([pa.array(out), *b.columns], names=["page", *_COLUMNS])
+            yield pa.RecordBatch.from_arrays([pa.array(out), *b.columns], names=["page", *b.schema.names])
 
     return number
 
@@ -288,7 +302,8 @@ class NearDuplicates:
         sets = cut_lineage(records(df, key, text).where("text IS NOT NULL").mapInArrow(_word_sets, SETS), "sets")
         nodes = sets.groupBy("h1", "h2").agg(F.min("rec_id").alias("node"))
         self.members = cut_lineage(sets.select("rec_id", "h1", "h2").join(nodes, ["h1", "h2"]).select("rec_id", "node"), "members")
-        distinct = sets.join(self.members.where("rec_id = node").select("rec_id"), "rec_id", "left_semi").select(F.col("rec_id").alias("node"), "codes", "words")
+        copies = cut_lineage(self.members.where("rec_id != node").select("rec_id"), "copies")
+        distinct = sets.join(sized(copies), "rec_id", "left_anti").select(F.col("rec_id").alias("node"), "codes", "words")
         self.words = distinct.select("node", "words")
         codes = distinct.select("node", "codes")
         self.ordered = cut_lineage(codes.mapInArrow(_order(self._ranks(codes)), "node bigint, n int, words array<bigint>"), "ordered")
@@ -296,7 +311,9 @@ class NearDuplicates:
 
     def _ranks(self, distinct: DataFrame):
         """Ranks of the words that make up at least one part in HEAVY_PARTS of all: at most HEAVY_PARTS.  All others are rare, of rank 0."""
-        total = distinct.agg(F.sum(F.size("codes"))).collect()[0][0] or 0
+        total, held = distinct.agg(F.coalesce(F.sum(F.size("codes")), F.lit(0)), F.count("*")).collect()[0]
+        # About eight bits for each word of a set, so that bitmaps stay sparse, whatever the length of texts.
+        self.width = 1 << max(2, min(8, math.ceil(math.log2(max(1, total / max(1, held)) / 8))))
         floor = max(2, math.ceil(total / HEAVY_PARTS))
         heavy = distinct.select(F.explode("codes").alias("w")).groupBy("w").count().where(F.col("count") >= floor).collect()
         pairs = sorted((r["w"], 1 + min(100, int(3 * math.log2(r["count"] / floor)))) for r in heavy)
@@ -306,6 +323,7 @@ class NearDuplicates:
     def buckets(self, bucket_rows: int, levels: int) -> DataFrame:
         """The rows of all trees."""
         t = F.lit(self.threshold)
+        row, names = _row(self.width), _names(_row(self.width))
         rows = self.ordered.withColumn("least", F.ceil(t * F.col("n") - F.lit(1e-9)).cast("int")).withColumn("prefix", F.col("n") - F.col("least") + 1)
         rows = rows.select("*", F.posexplode(F.slice("words", F.lit(1), F.col("prefix"))).alias("pos", "key")).withColumn("ends", F.lit(False))
         parts: list[DataFrame] = []
@@ -313,8 +331,8 @@ class NearDuplicates:
             # Hot keys are written down: they are few (a row for every bucket_rows rows at most), and the levels below build on them.
             hot = cut_lineage(rows.groupBy("key").count().where(F.col("count") > bucket_rows).select("key"), f"hot{level}")
             some = hot.limit(1).count()
-            made = self.ordered.mapInArrow(_first_keys(self.threshold), ROW) if level == 1 else self._made(rows, level)
-            parts.append(made.join(hot.withColumnRenamed("key", "bucket"), "bucket", "left_anti").select(*_COLUMNS) if some else made)
+            made = self.ordered.mapInArrow(_first_keys(self.threshold, self.width), row) if level == 1 else self._made(rows, level)
+            parts.append(made.join(hot.withColumnRenamed("key", "bucket"), "bucket", "left_anti").select(*names) if some else made)
             if not some:
                 break
             over = cut_lineage(rows.join(hot, "key"), f"over{level}")
@@ -334,29 +352,32 @@ class NearDuplicates:
             out = out.unionByName(p)
         return out
 
-    @staticmethod
-    def _made(rows: DataFrame, level: int) -> DataFrame:
-        return rows.select("key", "pos", "ends", "node", "n", "words").mapInArrow(_later_keys(level), ROW)
+    def _made(self, rows: DataFrame, level: int) -> DataFrame:
+        return rows.select("key", "pos", "ends", "node", "n", "words").mapInArrow(_later_keys(level, self.width), _row(self.width))
 
     def _pages(self, rows: DataFrame, page_rows: int) -> DataFrame:
         """Rows of oversized buckets, once for every pair of pages that theirs is in and that may hold a pair."""
-        paged = cut_lineage(rows.repartitionByRange("bucket", "n", "s", "node").sortWithinPartitions("bucket", "n", "s").mapInArrow(_number_pages(page_rows), "page bigint, " + ROW), "pages")
-        extra = F.col("s") - sum((F.bit_count(b) for b in BITS), F.lit(0))
-        pages = paged.groupBy("bucket", "page").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("s").alias("left"), F.max(extra).alias("extra"), *[F.bit_or(b).alias(b) for b in BITS])
+        paged = cut_lineage(rows.repartitionByRange("bucket", "n", "s", "node").sortWithinPartitions("bucket", "n", "s").mapInArrow(_number_pages(page_rows), "page bigint, " + _row(self.width)), "pages")
+        bits = bit_names(self.width)
+        extra = F.col("s") - sum((F.bit_count(b) for b in bits), F.lit(0))
+        pages = paged.groupBy("bucket", "page").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("s").alias("left"), F.max(extra).alias("extra"), *[F.bit_or(b).alias(b) for b in bits])
         a, b = pages.alias("a"), pages.alias("b")
         need = F.lit(self.threshold / (1 + self.threshold)) * (F.col("a.least") + F.col("b.least")) - F.lit(1e-9)
-        shared = sum((F.bit_count(F.col(f"a.{x}").bitwiseAND(F.col(f"b.{x}"))) for x in BITS), F.least("a.extra", "b.extra"))
+        shared = sum((F.bit_count(F.col(f"a.{x}").bitwiseAND(F.col(f"b.{x}"))) for x in bits), F.least("a.extra", "b.extra"))
         t = F.lit(self.threshold)
         fits = (F.col("a.most") >= t * F.col("b.least") - F.lit(1e-9)) & (F.col("b.most") >= t * F.col("a.least") - F.lit(1e-9)) & (F.least("a.left", "b.left") >= need) & (shared >= need)
         pairs = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.page") <= F.col("b.page")) & fits).select(F.col("a.page").alias("x"), F.col("b.page").alias("y"))
         sides = pairs.select(F.xxhash64("x", "y").alias("pair"), F.explode(F.when(F.col("x") == F.col("y"), F.array(F.struct(F.col("x").alias("page"), F.lit(0).alias("of")))).otherwise(F.array(F.struct(F.col("x").alias("page"), F.lit(1).alias("of")), F.struct(F.col("y").alias("page"), F.lit(2).alias("of"))))).alias("z"))
         each = paged.join(sides.select("pair", "z.page", "z.of"), "page")
-        return each.select(F.col("pair").alias("bucket"), F.col("of").alias("side"), *_COLUMNS[2:])
+        return each.select(F.col("pair").alias("bucket"), F.col("of").alias("side"), *_names(_row(self.width))[2:])
 
     def _links(self, bucket_rows: int, levels: int, chunk_rows: int) -> DataFrame:
         rows = self.buckets(bucket_rows, levels).repartition("bucket").sortWithinPartitions("bucket", "side", "n", "s")
-        pairs = rows.mapInArrow(_join_forests(self.threshold, chunk_rows), "node_a bigint, node_b bigint").distinct()
-        proof = pairs.join(self.words.select(F.col("node").alias("node_a"), F.col("words").alias("wa")), "node_a").join(self.words.select(F.col("node").alias("node_b"), F.col("words").alias("wb")), "node_b")
+        pairs = cut_lineage(rows.mapInArrow(_join_forests(self.threshold, chunk_rows), "node_a bigint, node_b bigint").distinct(), "candidates")
+        # The proof needs the words of candidates only.
+        named = cut_lineage(pairs.select(F.explode(F.array("node_a", "node_b")).alias("node")).distinct(), "named")
+        words = self.words.join(sized(named), "node", "left_semi")
+        proof = pairs.join(words.select(F.col("node").alias("node_a"), F.col("words").alias("wa")), "node_a").join(words.select(F.col("node").alias("node_b"), F.col("words").alias("wb")), "node_b")
         proof = proof.withColumn("overlap", F.size(F.array_intersect("wa", "wb"))).withColumn("either", F.size("wa") + F.size("wb") - F.col("overlap"))
         return proof.where(F.col("overlap") >= F.lit(self.threshold - 1e-12) * F.col("either")).select("node_a", "node_b", "overlap", (F.col("overlap") / F.col("either")).alias("similarity"))
 

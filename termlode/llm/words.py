@@ -28,6 +28,11 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(low) if len(low) == len(form) else [w.lower() for w in WORD.findall(form)]
 
 
+def sized(keys: DataFrame, most: int = 500_000) -> DataFrame:
+    """A stored table of keys, to be broadcast if a count of its rows shows at most ``most``; else to be joined by shuffle."""
+    return F.broadcast(keys) if keys.count() <= most else keys
+
+
 def records(df: DataFrame, key: str, text: str, *, most_again: int = 500_000) -> DataFrame:
     """``(rec_id, text)`` with one row per key.
 

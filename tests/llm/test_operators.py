@@ -113,6 +113,14 @@ def test_near_duplicates_of_tiny_sets(spark, threshold):
         assert got == brute.near_pairs(rows, threshold)
 
 
+def test_near_duplicates_of_long_texts(spark):
+    rnd = random.Random(6)
+    base = [[f"w{rnd.randint(0, 4000)}" for _ in range(900)] for _ in range(6)]
+    rows = [(k, " ".join(w if rnd.random() > k / 400 else f"x{rnd.random()}" for w in base[k % 6])) for k in range(60)]
+    near = neardup.NearDuplicates(frame(spark, rows), "id", "t", 0.7)
+    assert near.width > 4 and {tuple(r) for r in near.pairs().collect()} == brute.near_pairs(rows, 0.7) != set()
+
+
 def test_near_duplicate_groups(spark):
     w = [f"w{k}" for k in range(40)]
     chain = [(k, " ".join(w[k : k + 20])) for k in range(12)] + [(20, "other words here"), (21, None), (22, "other words here")]
@@ -124,11 +132,12 @@ def test_near_duplicate_groups(spark):
 
 def test_trees_prune_at_inner_nodes(spark, small):
     df = spark.read.parquet(f"{small.replace('0.001', '0.1')}/test_tbl_3.parquet")
-    rows = neardup.NearDuplicates(df, "article_id", "article_text", 0.7).buckets(10_000, 6)
+    near = neardup.NearDuplicates(df, "article_id", "article_text", 0.7)
+    rows = near.buckets(10_000, 6)
     key = rows.groupBy("bucket").count().orderBy(F.desc("count")).first()
     got = rows.where(F.col("bucket") == key["bucket"]).orderBy("side", "n", "s").toPandas()
     tested: list = []
-    bits = np.stack([got[b].to_numpy() for b in neardup.BITS], axis=1).view(np.uint64)
+    bits = np.stack([got[b].to_numpy() for b in neardup.bit_names(near.width)], axis=1).view(np.uint64)
     list(neardup.dual_traversal(got["bucket"].to_numpy(), got["side"].to_numpy(), got["n"].to_numpy(), got["s"].to_numpy(), bits, 0.7, tested=tested))
     by = {h: (sum(t for x, t, _ in tested if x == h), sum(k for x, _, k in tested if x == h)) for h, _, _ in tested}
     assert by[1][1] < 0.5 * by[1][0] and by[0][0] < 0.25 * key["count"] ** 2 / 2
