@@ -104,18 +104,38 @@ def _order(ranks):
     return order
 
 
-def _left_bits(flat: np.ndarray, first: np.ndarray, last: np.ndarray, width: int) -> np.ndarray:
-    """Bitmaps of ``width`` x 64 bits of the words ``flat[first:last]``, for each row."""
+def _word_bits(flat: np.ndarray, width: int) -> np.ndarray:
+    """A bitmap of ``width`` x 64 bits with one bit for each word, and an empty one at the end."""
     hashed = (flat.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - int(math.log2(width * 64)))
     one = np.zeros((len(flat) + 1, width), dtype=np.uint64)
     one[np.arange(len(flat)), (hashed >> np.uint64(6)).astype(np.int64)] = np.uint64(1) << (hashed & np.uint64(63))
-    out = np.zeros((len(first), width), dtype=np.uint64)
+    return one
+
+
+def _or_between(one: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Bitmaps of the words from ``first`` up to ``last``, for each row."""
+    out = np.zeros((len(first), one.shape[1]), dtype=np.uint64)
     some = np.flatnonzero(first < last)
     if len(some):
         out[some] = np.bitwise_or.reduceat(one, np.stack([first[some], last[some]], axis=1).ravel(), axis=0)[::2]
     return out
 
 
+def _left_bits(flat: np.ndarray, start: np.ndarray, prefix: np.ndarray, n: np.ndarray, width: int) -> np.ndarray:
+    """For each row and each of its first ``prefix`` words the bitmap of the words from there on, each made from the next one's."""
+    one = _word_bits(flat, width)
+    held = _or_between(one, start + prefix, start + n)
+    out = np.empty((int(prefix.sum()), width), dtype=np.uint64)
+    place = np.cumsum(prefix) - prefix
+    order = np.argsort(-prefix, kind="stable")
+    longest = -prefix[order]
+    for j in range(int(prefix.max(initial=0)) - 1, -1, -1):
+        rows = order[: np.searchsorted(longest, -j, "left")]  # those with more than j first words
+        held[rows] |= one[start[rows] + j]
+        out[place[rows] + j] = held[rows]
+    return out
+
+
 def _rows(bucket, node, n, s, bits) -> pa.RecordBatch:
     whole = [pa.array(bucket), pa.array(np.zeros(len(node), dtype=np.int32)), pa.array(node), pa.array(n.astype(np.int32)), pa.array(s.astype(np.int32)), *(pa.array(bits[:, k].view(np.int64)) for k in range(bits.shape[1]))]
     return pa.RecordBatch.from_arrays(whole, names=_names(_row(bits.shape[1])))
@@ -132,7 +152,7 @@ def _first_keys(threshold: float, width: int):
             row = np.repeat(np.arange(len(n)), prefix)
             pos = np.arange(prefix.sum()) - np.repeat(np.cumsum(prefix) - prefix, prefix)
             first = start[row] + pos
-            yield _rows(flat[first], b.column(0).to_numpy()[row], n[row], n[row] - pos, _left_bits(flat, first, start[row] + n[row], width))
+            yield _rows(flat[first], b.column(0).to_numpy()[row], n[row], n[row] - pos, _left_bits(flat, start, prefix, n, width))
 
     return make
 
@@ -148,7 +168,7 @@ def _later_keys(level: int, width: int):
             ends = ends.astype(bool)
             first = np.where(ends, start + n, start + pos)
             s = np.where(ends, level, level - 1 + n - pos)
-            yield _rows(key, node, n, s, _left_bits(flat, first, start + n, width))
+            yield _rows(key, node, n, s, _or_between(_word_bits(flat, width), first, start + n))
 
     return make
 
@@ -312,8 +332,8 @@ class NearDuplicates:
     def _ranks(self, distinct: DataFrame):
         """Ranks of the words that make up at least one part in HEAVY_PARTS of all: at most HEAVY_PARTS.  All others are rare, of rank 0."""
         total, held = distinct.agg(F.coalesce(F.sum(F.size("codes")), F.lit(0)), F.count("*")).collect()[0]
-        # About eight bits for each word of a set, so that bitmaps stay sparse, whatever the length of texts.
-        self.width = 1 << max(2, min(8, math.ceil(math.log2(max(1, total / max(1, held)) / 8))))
+        # About eight bits for each word of a set, between 256 and 1024: a set has a bitmap under each of its keys.
+        self.width = 1 << max(2, min(4, math.ceil(math.log2(max(1, total / max(1, held)) / 8))))
         floor = max(2, math.ceil(total / HEAVY_PARTS))
         heavy = distinct.select(F.explode("codes").alias("w")).groupBy("w").count().where(F.col("count") >= floor).collect()
         pairs = sorted((r["w"], 1 + min(100, int(3 * math.log2(r["count"] / floor)))) for r in heavy)
