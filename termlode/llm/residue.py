@@ -1,10 +1,15 @@
 """Template residue and error-page text (problem 9).
 
 1. Normalised lines (lower case, blanks collapsed, digits as ``#``) are counted by host over the host's different texts: copies of a text
-   count once, so that a text with many copies can't turn its own lines into boilerplate.
+   count once, so that a text with many copies can't turn its own lines into boilerplate.  Sentences are counted over all hosts, and so are the
+   names of fields in slots that can be nothing else (``{{name}}``).
 2. Lines that recur in a host are its page frame and are subtracted from its records, unless they hold evidence themselves.
-3. A record is residue if a template slot, or the trace of an empty one, stands outside quotation marks, or if what remains besides
-   error, filler, placeholder and script-required sentences is less than an article.
+3. A record is residue if a template slot, or the trace of an empty one, stands outside quotation marks, or if what remains is less than an
+   article and holds evidence: error, filler, placeholder and script-required sentences, stock sentences that recur over hosts with no word
+   of the record's own beside them, or mostly words of the web's own business.
+
+What is a slot in single braces or brackets, where people also write remarks, is learned from the collection: a name counts as a field if it is
+one in unmistakable slots elsewhere, or if it is one of a few that all forms have.
 """
 
 from __future__ import annotations
@@ -12,54 +17,69 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from hashlib import blake2b
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# What a template's field is called when it stands in single braces or square brackets.
-FIELDS = (
-    "address|article|author|body|brand|captain|category|city|club|code|color|comment|company|content|copyright|country|currency|customer|date|day|description|director|domain|"
-    "editor|email|event|field|film|headline|heading|host|id|image|item|keyword|label|language|league|link|location|message|month|name|number|opponent|order|page|"
-    "password|phone|place|player|price|product|quantity|query|rating|region|score|season|sender|site|species|sport|state|street|subject|subtitle|summary|surname|"
-    "team|text|time|title|token|topic|total|type|url|user|username|value|variable|venue|version|volume|website|year|zip"
+from termlode.llm.words import sized
+from termlode.plans.scratch import cut_lineage
+
+# Fields that all forms have.
+FORM_FIELDS = frozenset(
+    "name,first name,last name,full name,title,subject,date,time,year,day,month,address,street,city,state,country,zip,email,phone,url,link,id,number,text,value,body,content,author,company,product,price,amount,quantity,user,username,"
+    "password,message,recipient,sender,customer,description,keyword,tag,image,placeholder".split(",")
 )
-_NAME = r"[A-Za-z_][\w.\- ]{0,40}"
+_NAME = r"[A-Za-z_][\w.\- ]*"
+_SURE = [
+    rf"\{{\{{\{{?\s*({_NAME}?)\s*\}}?\}}\}}",  # {{name}}
+    rf"[$#]\{{\s*({_NAME}?)\s*\}}",  # ${name} #{name}
+    rf"<%[=\-]?\s*({_NAME}?)\s*%>", rf"\{{%\s*({_NAME}?)\s*%\}}", rf"%\(({_NAME})\)[sdif]", rf"%%({_NAME})%%", rf"@@({_NAME})@@", rf"\*\|({_NAME})\|\*", rf"<<\s*({_NAME}?)\s*>>", rf"&lt;\s*({_NAME}?)\s*&gt;",
+    rf"\[\[\s*({_NAME}?)\s*\]\]", rf"(?<![\w])__({_NAME}?)__(?!\w)", r"[\[<(]\s*insert\s+([^\]>)\n]+?)(?:\s+here)?\s*[\]>)]",
+]
 _SLOTS = [
-    rf"\{{\{{\{{?\s*{_NAME}\s*\}}?\}}\}}",  # {{name}}
-    rf"[$#]\{{\s*{_NAME}\s*\}}",  # ${name} #{name}
-    r"<%[=\-]?[^%<>\n]{1,60}%>",
-    r"\{%[^%{}\n]{1,60}%\}",
-    rf"%\({_NAME}\)[sdif]",
-    rf"%%{_NAME}%%",
-    rf"@@{_NAME}@@",
-    rf"\*\|{_NAME}\|\*",
-    rf"<<\s*{_NAME}\s*>>",
-    rf"&lt;\s*{_NAME}\s*&gt;",
-    rf"\[\[\s*{_NAME}\s*\]\]",
-    rf"__(?:{_NAME[:-6]}{{0,40}}?)__",
-    rf"\$(?:[A-Za-z_][\w.]{{1,40}}|[A-Z][A-Z ]{{1,40}})\$",
-    r"[\[<(]\s*(?:insert|enter|your|add)\s+[^\]>)\n]{1,40}[\]>)]",
-    r"[\[<][^\]>\n]{1,40}\s(?:goes here|to be confirmed[^\]>\n]{0,20}|to come|here)[\]>]",
+    *(x.replace("(_", "(?:_").replace(f"({_NAME}", f"(?:{_NAME}").replace(r"([^\]", r"(?:[^\]") for x in _SURE),
+    r"<%[^%<>\n]+%>", r"\{%[^%{}\n]+%\}",
+    r"\$(?:[A-Za-z_][\w.]+|[A-Z][A-Z ]+)\$",
+    r"[\[<(]\s*(?:insert|enter|your|add)\s+[^\]>)\n]+[\]>)]",
+    r"[\[<][^\]>\n]+\s(?:goes here|to be confirmed[^\]>\n]*|to come|here)[\]>]",
     r"\[object object\]",
     r"#(?:ref|name|value|n/a|null|num|div/0)[!?]",
-    r"!![\w.]{2,40}!!|\?\?[\w.]{2,40}\?\?",
-    rf"[{{\[](?:\w+[._]\w[\w.]*|\d{{1,2}}|{FIELDS})[}}\]]",
-]
-_CASED_SLOTS = [r"[{\[][A-Z][A-Z_]+(?: [A-Z]+)*[}\]]", r"(?<![\w.,%])%[sd](?![\w%])", r"(?<![\w-])(?:NaN|\(null\)|\(undefined\))(?![\w-])", r"(?<![\w-])X{3,}(?![\w-])"]
+    r"!![\w.]{2,}!!|\?\?[\w.]{2,}\?\?",
+    r"\{(?:\w+[._]\w[\w.]*|\d{1,2})\}", r"(?<!\w)\[\w+[._]\w[\w.]*\]",
+]
+#: Told by capitals; of no use in a text that is in capitals altogether.
+_CASED_SLOTS = [r"(?<!\w)[{\[](?!SIC\b)[A-Z][A-Z_]+(?: [A-Z]+)*[}\]]", r"(?<![\w.,%])%[sd](?![\w%])", r"(?<![\w-])(?:NaN|\(null\)|\(undefined\))(?![\w-])", r"(?<!\w)(?:FIXME|TODO)(?!\w)"]
+#: Words that stand for a word to come, in texts of any case.
+_DUMMIES = [r"(?<![\w-])X{3,}(?![\w-])", r"(?<!\w)(?:TBD|TBA|TBC)(?!\w)", r"(?<!\w)[A-Z]+(?:_[A-Z]+)+(?!\w)"]
 SLOT = re.compile("|".join(_SLOTS), re.IGNORECASE)
+SURE = re.compile("|".join(_SURE), re.IGNORECASE)
 CASED_SLOT = re.compile("|".join(_CASED_SLOTS))
+DUMMY_SLOT = re.compile("|".join(_DUMMIES))
+SINGLE = re.compile(rf"(?<!\w)[{{\[]\s*({_NAME}?)\s*[}}\]]")
 #: An undefined value printed as a word; not the adjective of a thing that can be undefined.
 UNDEFINED = re.compile(r"(?<![\w-])undefined(?![\w-])(?! (?:border|boundar\w+|behaviou?r|limits?|terms?|role|status|period)\b)", re.IGNORECASE)
 #: A field in guillemets, which are quotation marks too: searched before quotations in them are removed.
-GUILLEMET_SLOT = re.compile(rf"«\s*(?:{FIELDS})\s*»", re.IGNORECASE)
+GUILLEMETS = re.compile(rf"«\s*({_NAME}?)\s*»")
 #: What a slot can't be without, besides what ``_WORD_HINT`` finds.
-_HINTS = ("{", "[", "<", "%", "$", "#", "@@", "*|", "!!", "??", "__", "XXX", "«", "NaN", "(null)")
+_HINTS = ("{", "[", "<", "%", "$", "#", "@@", "*|", "!!", "??", "_", "XXX", "«", "NaN", "(null)", "TB", "TODO", "FIXME")
 _WORD_HINT = re.compile(r"\(\s*(?:insert|enter|your|add)\s|&lt;|undefined", re.IGNORECASE)
-_QUOTES = r"\"[^\"\n]{0,200}\"|“[^”\n]{0,200}”|„[^“”\n]{0,200}[“”]|`[^`\n]{1,200}`"
+_QUOTES = r"\"[^\"\n]*\"|“[^”\n]*”|„[^“”\n]*[“”]|`[^`\n]+`"
 QUOTED_OTHERWISE = re.compile(_QUOTES)
-QUOTED = re.compile(_QUOTES + r"|«[^»\n]{0,200}»")
+QUOTED = re.compile(_QUOTES + r"|«[^»\n]*»")
+
+# Words of the web's own business, by language; no matter of an article is told mostly in them.
+WEB_WORDS = frozenset(
+    "page pages site website webpage url link server servers browser browsers javascript java script scripts cookies cookie error errors request requests response available unavailable maintenance offline timeout timed gateway "
+    "denied forbidden permission unauthorized login log logged sign signed session expired refresh reload reloading redirected redirecting loading captcha robot robots verify verification human content load loaded exist exists "
+    "removed retry again later support administrator webmaster account subscribe placeholder template default enable enabled disable disabled required supported unsupported update upgrade adblock blocker traffic unusual security check click view visit button confirm reset connection resource deleted moved blocked block restricted exceeded limit device network unexpected encountered invalid suspended "
+    "heading caption paragraph sample dummy text insert edit body "
+    "página páginas sítio enlace servidor navegador erro solicitud disponible disponível indisponível manutenção mantenimiento acesso acceso denegado negado permissão permiso sessão sesión expirou expirado carregar cargar carregando "
+    "cargando existe encontrada encontrado recarregue recargue atualize actualice ative active novamente nuevo conteúdo contenido verifique sou soy robô "
+    "sitio vuelva visita confirme pulse botón botão recurso bloqueado bloqueada conexión conexão texto ejemplo exemplo "
+    "seite seiten webseite fehler anfrage verfügbar erreichbar wartung wartungsarbeiten zugriff zugang verweigert berechtigung sitzung abgelaufen laden lädt geladen existiert gefunden aktualisieren inhalt platzhalter anmelden anmeldung gesperrt verbindung klicken schaltfläche bestätigen roboter beispieltext".split()
+)
 
 # What sites print in place of an article, by language.
 _EVIDENCE = [
@@ -115,19 +135,36 @@ PSEUDO_LATIN = frozenset(
 )
 DUMMY = frozenset("foo bar baz qux quux blah bla asdf qwerty xyz xxx test testing dummy".split())
 _BLANK = re.compile(r"\s+")
-_DIGITS = re.compile(r"\d+")
+_DIGITS = re.compile(r"\b[0-9a-f]*\d[0-9a-f]*\b|\d+")  # codes in hexadecimal too
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+")
 _TOKEN = re.compile(r"[^\W_]+(?:['’\-][^\W_]+)*")
 
 
-def has_slot(text: str) -> bool:
-    """A template slot, or the trace of an empty one, outside quotation marks."""
+def field_names(text: str) -> set[str]:
+    """Names of fields in slots that can be nothing else."""
+    if not any(c in text for c in _HINTS) and not _WORD_HINT.search(text):
+        return set()
+    found = {_BLANK.sub(" ", next(g for g in m.groups() if g is not None)).strip().lower() for m in SURE.finditer(QUOTED.sub(" ", text)) if any(g is not None for g in m.groups())}
+    return {x for x in found if x}
+
+
+def _is_field(name: str, fields: frozenset[int]) -> bool:
+    name = _BLANK.sub(" ", name).strip().lower()
+    return name in FORM_FIELDS or line_number("{" + name) in fields
+
+
+def has_slot(text: str, fields: frozenset[int] = frozenset()) -> bool:
+    """A template slot, or the trace of an empty one, outside quotation marks; ``fields``: numbers of learned field names."""
     if not any(c in text for c in _HINTS) and not _WORD_HINT.search(text):
         return False
-    if "«" in text and GUILLEMET_SLOT.search(QUOTED_OTHERWISE.sub(" ", text)):
+    if "«" in text and any(_is_field(m.group(1), fields) for m in GUILLEMETS.finditer(QUOTED_OTHERWISE.sub(" ", text))):
         return True
     bare = QUOTED.sub(" ", text) if any(c in text for c in "\"“„«`") else text
-    return bool(SLOT.search(bare) or CASED_SLOT.search(bare) or UNDEFINED.search(_BLANK.sub(" ", bare)))
+    if SLOT.search(bare) or DUMMY_SLOT.search(bare) or UNDEFINED.search(_BLANK.sub(" ", bare)):
+        return True
+    if any(_is_field(m.group(1), fields) for m in SINGLE.finditer(bare)):
+        return True
+    return text.upper() != text and bool(CASED_SLOT.search(bare))
 
 
 def normal_line(line: str) -> str:
@@ -136,7 +173,8 @@ def normal_line(line: str) -> str:
 
 def line_number(plain: str) -> int:
     """64-bit hash of a normalised line."""
-    return int.from_bytes(blake2b(plain.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+    n = xxhash.xxh64_intdigest(plain.encode("utf-8", "surrogatepass"))
+    return n - (1 << 64) if n >> 63 else n
 
 
 def is_evidence(sentence: str) -> bool:
@@ -160,69 +198,114 @@ def _bears_evidence(plain: str) -> bool:
     return any(is_evidence(x) for x in _SENTENCE.split(plain))
 
 
-def is_residue(text: str | None, frame: frozenset[int] | set[int] = frozenset(), *, article_words: int = 12, frame_words: int = 6) -> bool:
-    """Whether a text is template residue or stands in place of an article; ``frame``: numbers of the lines to
-    subtract unless they hold evidence.
+def is_residue(
+    text: str | None, frame: frozenset[int] | set[int] = frozenset(), stock: frozenset[int] | set[int] = frozenset(), fields: frozenset[int] = frozenset(), *, article_words: int = 12, frame_words: int = 6, web_share: float = 0.2
+) -> bool:
+    """Whether a text is template residue or stands in place of an article.
 
-    The whole text is searched for slots.  For the rest a text is read until ``article_words`` words of prose are found: no more is needed
-    to know that it holds an article.
+    ``frame``, ``stock``, ``fields``: numbers of the lines to subtract unless they hold evidence, of the sentences that recur over hosts, and of
+    learned field names.  A text with ``article_words`` words of its own, in sentences that are neither evidence nor stock nor a title or menu
+    (up to ``frame_words`` words without an end mark), is an article, whatever else it holds; the whole text is searched for slots.
     """
     if not text or not text.strip():
         return False
-    if has_slot(text):
+    if has_slot(text, fields):
         return True
-    evidence, prose = 0, 0
-    words_seen: list[str] = []
+    evidence, own, stocked = 0, 0, 0
+    seen: list[str] = []
     for line in text.split("\n"):
         plain = normal_line(line)
         if not plain or (frame and line_number(plain) in frame and not _bears_evidence(plain)):
             continue
         for sentence in _SENTENCE.split(plain):
             words = _TOKEN.findall(sentence)
-            words_seen += words
+            seen += words
             if has_evidence(sentence, words) or is_filler(words):
                 evidence += 1
+            elif stock and line_number(sentence) in stock:
+                stocked += len(words)
             elif not (len(words) <= frame_words and sentence[-1:] not in ".!?…"):  # a short line without an end is a title or a menu
-                prose += len(words)
-                if prose >= article_words:
+                own += len(words)
+                if own >= article_words:
                     return False
-    return bool(evidence) or is_filler(words_seen)
+    return bool(evidence) or is_filler(seen) or (not own and stocked >= 4) or sum(w in WEB_WORDS for w in seen) >= max(2, web_share * len(seen))
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The different lines of each text, by number: a line's length doesn't matter to what is shuffled."""
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different lines, sentences and field names of each text, by number: a line's length doesn't matter to what is shuffled."""
     for b in batches:
-        docs, hosts, hashes, lines = [], [], [], []
-        for doc, host, number, text in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-            for line in {normal_line(x) for x in text.split("\n")}:
-                if line:
-                    docs.append(doc)
-                    hosts.append(host)
-                    hashes.append(number)
-                    lines.append(line_number(line))
-        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(lines, pa.int64())], names=["doc_id", "host", "h", "line"])
-
-
-def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hosts, numbers, kinds = [], [], []
+        for host, text in zip(*(b.column(k).to_pylist() for k in range(2)), strict=True):
+            lines = {normal_line(x) for x in text.split("\n")} if "\n" in text else {normal_line(text)}
+            lines.discard("")
+            sentences = {x for line in lines for x in _SENTENCE.split(line)}
+            made = {line_number(x): 2 for x in sentences}
+            if "\n" in text:
+                for x in lines:
+                    k = line_number(x)
+                    made[k] = made.get(k, 0) | 1
+            for x in field_names(text):
+                made[line_number("{" + x)] = 4
+            hosts += [host] * len(made)
+            numbers += made
+            kinds += made.values()
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.int64()), pa.array(numbers, pa.int64()), pa.array(kinds, pa.int8())], names=["host", "line", "kind"])
+
+
+def _judge(known):
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frames, stock, fields = known.value
+        none: frozenset[int] = frozenset()
+        for b in batches:
+            docs, hosts, texts, own = (b.column(k).to_pylist() for k in range(4))
+            bad = [d for d, h, t, f in zip(docs, hosts, texts, own, strict=True) if is_residue(t, frames.get(h, none) if f is None else set(f), stock, fields)]
+            yield pa.RecordBatch.from_arrays([pa.array(bad, pa.int64())], names=["doc_id"])
+
+    return judge
+
+
+def _framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        bad = [doc for doc, text, frame in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True) if is_residue(text, set(frame or ()))]
-        yield pa.RecordBatch.from_arrays([pa.array(bad, pa.int64())], names=["doc_id"])
+        rows = [(d, h, line_number(x)) for d, h, t in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True) for x in {normal_line(y) for y in t.split("\n")} if x]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], names=["doc_id", "host", "line"])
 
 
-def template_residue(df: DataFrame, key: str, text: str, host: str, *, least_copies: int = 5, least_share: float = 0.001) -> DataFrame:
+def template_residue(
+    df: DataFrame, key: str, text: str, host: str, *, least_copies: int = 5, least_share: float = 0.001, stock_copies: int = 10, stock_share: float = 1e-4, field_copies: int = 3, field_share: float = 1e-5, most_frame: int = 200_000
+) -> DataFrame:
     """``(doc_id)``: the records that are residue instead of an article.
 
-    A line is page frame if it stands in ``least_copies`` or more different texts of its host and in ``least_share`` or more of them; NULL
-    is a host of its own; lines of any length count, by a 64-bit hash.  NULL, empty and blank texts are no case; rows with a
-    NULL key are left out; repeated rows of a key count once if their texts are equal, and else are judged one by one and named once.
+    A line is page frame if it stands in ``least_copies`` or more different texts of its host and in ``least_share`` or more of them; a sentence is
+    stock if it stands in ``stock_copies`` different texts and ``stock_share`` of all, over two hosts or more; a name is a field if it is one in
+    ``field_copies`` texts and ``field_share`` of all.  The shares bound how many stock sentences and fields there can be by the sentences of
+    an average text.  Frame lines are broadcast up to ``most_frame`` of them and beyond that joined to the texts that hold them.
+
+    NULL is a host of its own; lines of any length count, by a 64-bit hash.  NULL, empty and blank texts are no case; rows with a NULL key are
+    left out; repeated rows of a key count once if their texts are equal, and else are judged one by one and named once.
     """
-    rows = df.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.coalesce(F.col(f"`{host}`").cast("string"), F.lit("")).alias("host"), F.col(f"`{text}`").cast("string").alias("text"))
+    rows = df.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce(F.col(f"`{host}`").cast("string"), F.lit(""))).alias("host"), F.col(f"`{text}`").cast("string").alias("text"))
     rows = rows.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    number: Column = F.xxhash64("text")
-    lines = rows.where(F.col("text").contains("\n")).select("doc_id", "host", number.alias("h"), "text").mapInArrow(_lines, "doc_id bigint, host string, h bigint, line bigint")
-    size = rows.select("host", number.alias("h")).distinct().groupBy("host").agg(F.count("*").alias("n"))
-    copies = lines.select("host", "line", "h").distinct().groupBy("host", "line").agg(F.count("*").alias("copies")).where(F.col("copies") >= least_copies)
-    frame = copies.join(size, "host").where(F.col("copies") >= F.col("n") * least_share).select("host", "line")
-    framed = lines.select("doc_id", "host", "line").join(frame, ["host", "line"]).groupBy("doc_id").agg(F.collect_set("line").alias("frame"))
-    judged = rows.select("doc_id", "text").join(framed, "doc_id", "left").select("doc_id", "text", "frame")
-    return judged.mapInArrow(_judge, "doc_id bigint").distinct()
+    marked = rows.select("doc_id", "host", F.xxhash64("text").alias("h"))
+    copied = marked.groupBy("host", "h").agg(F.min("doc_id").alias("kept"), F.count("*").alias("n")).where("n > 1")
+    again = cut_lineage(marked.join(copied, ["host", "h"]).where("doc_id != kept").select("doc_id").distinct(), "again")
+    counted = rows.join(sized(again), "doc_id", "left_anti").select("host", "text").mapInArrow(_counted, "host bigint, line bigint, kind tinyint")
+    per_host = counted.groupBy("host", "line").agg(*[F.sum(F.col("kind").bitwiseAND(F.lit(bit)).cast("bigint") / bit).cast("bigint").alias(name) for bit, name in ((1, "lines"), (2, "sentences"), (4, "fields"))])
+    per_host = cut_lineage(per_host, "lines")
+    size = marked.join(sized(again), "doc_id", "left_anti").groupBy("host").agg(F.count("*").alias("n"))
+    frame = cut_lineage(per_host.where(F.col("lines") >= least_copies).join(size, "host").where(F.col("lines") >= F.col("n") * least_share).select("host", "line"), "frame")
+    texts = size.agg(F.coalesce(F.sum("n"), F.lit(0))).collect()[0][0]
+    over = per_host.groupBy("line").agg(F.sum("sentences").alias("s"), F.sum("fields").alias("f"), F.count("*").alias("hosts"))
+    is_stock = (F.col("s") >= max(stock_copies, stock_share * texts)) & (F.col("hosts") > 1)
+    found = over.where(is_stock | (F.col("f") >= max(field_copies, field_share * texts))).select("line", is_stock.alias("stock")).collect()
+    frames: dict[int, set[int]] = {}
+    small = frame.count() <= most_frame
+    for r in frame.collect() if small else ():
+        frames.setdefault(r["host"], set()).add(r["line"])
+    known = df.sparkSession.sparkContext.broadcast((frames, frozenset(r["line"] for r in found if r["stock"]), frozenset(r["line"] for r in found if not r["stock"])))
+    if small:
+        judged = rows.select("doc_id", "host", "text", F.lit(None).cast("array<bigint>").alias("frame"))
+    else:
+        held = rows.where(F.col("text").contains("\n")).select("doc_id", "host", "text").mapInArrow(_framed, "doc_id bigint, host bigint, line bigint")
+        framed = held.join(frame, ["host", "line"]).groupBy("doc_id").agg(F.collect_set("line").alias("frame"))
+        judged = rows.join(framed, "doc_id", "left").select("doc_id", "host", "text", "frame")
+    return judged.mapInArrow(_judge(known), "doc_id bigint").distinct()

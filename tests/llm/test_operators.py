@@ -456,7 +456,7 @@ def test_no_evidence_is_skipped(pattern, data):
 
 def test_residue_by_host(spark, nothing):
     frame_line = "The whole archive of all the letters and papers is open to members of the club on every market day of the year"[:78]
-    rows = [(k, f"{ARTICLE} {k}\n{frame_line}", "h") for k in range(8)] + [(20, f"{frame_line}\nPlease enable JavaScript to go on.", "h"), (21, f"{frame_line}\nPlease enable JavaScript to go on.", "other"), (22, None, "h"), (23, "", None), (None, "Lorem ipsum dolor sit", "h"), (24, "Lorem ipsum dolor sit", None), (24, "Lorem ipsum dolor sit", None)]
+    rows = [(k, f"{ARTICLE} {k}\n{frame_line}", "h") for k in range(6)] + [(20, f"{frame_line}\nPlease enable JavaScript to go on.", "h"), (21, f"{frame_line}\nPlease enable JavaScript to go on.", "other"), (22, None, "h"), (23, "", None), (None, "Lorem ipsum dolor sit", "h"), (24, "Lorem ipsum dolor sit", None), (24, "Lorem ipsum dolor sit", None)]
     df = spark.createDataFrame(rows, "id bigint, t string, h string").select("*", *[F.lit("clash").alias(c) for c in ("doc_id", "text", "host", "line", "frame", "n")])
     assert sorted(r["doc_id"] for r in residue.template_residue(df, "id", "t", "h").collect()) == [20, 24]
     copies = spark.createDataFrame([(k, f"{ARTICLE}\nPlease enable JavaScript to comment.", "h") for k in range(30)], "id bigint, t string, h string")
@@ -474,6 +474,28 @@ def test_quoted_slots_are_none(text):
     assert not residue.has_slot(text)
 
 
+@pytest.mark.parametrize("text", ["The sailors crossed TBD_TBD narrow reefs.", "The Dear [Recipient] of Zurgim.", "SOLD TO FIRST_NAME AT DAWN.", "The TODO of Zurgim.", "{{" + "long " * 20 + "name}}"])
+def test_more_slots(text):
+    assert residue.has_slot(text)
+
+
+@pytest.mark.parametrize("text", ["The treaty [1] and the answer [23] stand.", "Where a[name] is read.", "THE ANNOTATOR ADDED {GOOD TRY} AND [SIC] BESIDE THE MOVE.", "TODO O DIA NO PORTO.", "The {draw} came late.", "The harbour [captain] sold it."])
+def test_remarks_are_no_slots(text):
+    assert not residue.has_slot(text)
+
+
+def test_what_a_collection_teaches(spark):
+    """Fields from unmistakable slots, and messages of any wording that recur over hosts."""
+    own = [f"{ARTICLE} {a}{b} came {k}." for k, (a, b) in enumerate((a, b) for a in "abcdefgh" for b in "klmn")]
+    rows = [(k, t, f"h{k % 4}") for k, t in enumerate(own)]
+    rows += [(100 + k, f"The {{{{keel}}}} of ship {k} sank in the deep blue winter of the year.", "h0") for k in range(3)] + [(110, "The {keel} of the old ship sank in the deep blue winter of the year.", "h1"), (111, "The {mast} of the old ship sank in the deep blue winter of the year.", "h1")]
+    rows += [(200 + k, f"Whoops, the reef is gone from our shelves. Incident {k}a{k}.", f"h{k % 3}") for k in range(12)] + [(300, own[0] + " Whoops, the reef is gone from our shelves.", "h1"), (301, "Whoops, the reef is far off today.", "h1")]
+    df = spark.createDataFrame(rows, "id bigint, t string, h string")
+    for most in (0, 1000):
+        got = {r["doc_id"] for r in residue.template_residue(df, "id", "t", "h", most_frame=most).collect()}
+        assert got == {100, 101, 102, 110, *range(200, 212)}
+
+
 def test_long_lines_are_frame(spark):
     notice = "This site and its partners keep small files on your device to measure visits, to remember choices and to show offers that suit the reader, as the law of the land allows."
     broken = "Please enable JavaScript to go on, " + "as this archive of letters and papers opens its rooms in no other way to any reader, " * 2
