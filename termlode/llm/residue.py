@@ -32,17 +32,20 @@ FORM_FIELDS = frozenset(
     "password,message,recipient,sender,customer,description,keyword,tag,image,placeholder".split(",")
 )
 _NAME = r"[A-Za-z_][\w.\- ]*"
+_FIELD = r"[\w.\-]+(?:\s+[\w.\-]+){0,3}"  # in round brackets, where sentences stand too, up to four words
 _SURE = [
     rf"\{{\{{\{{?\s*({_NAME}?)\s*\}}?\}}\}}",  # {{name}}
     rf"[$#]\{{\s*({_NAME}?)\s*\}}",  # ${name} #{name}
     rf"<%[=\-]?\s*({_NAME}?)\s*%>", rf"\{{%\s*({_NAME}?)\s*%\}}", rf"%\(({_NAME})\)[sdif]", rf"%%({_NAME})%%", rf"@@({_NAME})@@", rf"\*\|({_NAME})\|\*", rf"<<\s*({_NAME}?)\s*>>", rf"&lt;\s*({_NAME}?)\s*&gt;",
-    rf"\[\[\s*({_NAME}?)\s*\]\]", rf"(?<![\w])__({_NAME}?)__(?!\w)", r"[\[<(]\s*insert\s+([^\]>)\n]+?)(?:\s+here)?\s*[\]>)]",
+    rf"\[\[\s*({_NAME}?)\s*\]\]", rf"(?<![\w])__({_NAME}?)__(?!\w)", r"[\[<]\s*insert\s+([^\]>)\n]+?)(?:\s+here)?\s*[\]>]",
+    rf"\(\s*insert\s+({_FIELD}?)(?:\s+here)?\s*\)",
 ]
 _SLOTS = [
-    *(x.replace("(_", "(?:_").replace(f"({_NAME}", f"(?:{_NAME}").replace(r"([^\]", r"(?:[^\]") for x in _SURE),
+    *(x.replace("(_", "(?:_").replace(f"({_NAME}", f"(?:{_NAME}").replace(f"({_FIELD}", f"(?:{_FIELD}").replace(r"([^\]", r"(?:[^\]") for x in _SURE),
     r"<%[^%<>\n]+%>", r"\{%[^%{}\n]+%\}",
     r"\$(?:[A-Za-z_][\w.]+|[A-Z][A-Z ]+)\$",
-    r"[\[<(]\s*(?:insert|enter|your|add)\s+[^\]>)\n]+[\]>)]",
+    r"[\[<]\s*(?:insert|enter|your|add)\s+[^\]>)\n]+[\]>]",
+    rf"\(\s*(?:insert|enter|your|add)\s+{_FIELD}\s*\)",
     r"[\[<][^\]>\n]+\s(?:goes here|to be confirmed[^\]>\n]*|to come|here)[\]>]",
     r"\[object object\]",
     r"#(?:ref|name|value|n/a|null|num|div/0)[!?]",

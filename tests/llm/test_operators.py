@@ -499,7 +499,7 @@ def test_what_a_collection_teaches(spark):
 def test_long_lines_are_frame(spark):
     notice = "This site and its partners keep small files on your device to measure visits, to remember choices and to show offers that suit the reader, as the law of the land allows."
     broken = "Please enable JavaScript to go on, " + "as this archive of letters and papers opens its rooms in no other way to any reader, " * 2
-    rows = [(k, f"{ARTICLE.replace('lantern', 'ship' + 'abcdefgh'[k])}\n{notice}\n{broken}", "h") for k in range(8)] + [(20, f"404 Not Found\n{notice}", "h"), (21, f"404 Not Found\n{notice}", "other"), (22, broken + "\n" + notice, "h")]
+    rows = [(k, f"{ARTICLE.replace('lantern', 'ship' + 'abcdefgh'[k])}\n{notice}\n{broken}", "h") for k in range(6)] + [(20, f"404 Not Found\n{notice}", "h"), (21, f"404 Not Found\n{notice}", "other"), (22, broken + "\n" + notice, "h")]
     df = spark.createDataFrame(rows, "id bigint, t string, h string")
     assert sorted(r["doc_id"] for r in residue.template_residue(df, "id", "t", "h").collect()) == [20, 22]
 
