@@ -1,9 +1,10 @@
 """One consistent form for text that looks the same (problem 1).
 
-``fold_lookalikes`` is the per-text rule, ``consistent_text`` its column form: text that already is in the form never leaves the JVM (the
-Arrow UDF receives NULL for it), so only the dirty share of a corpus pays for Python.  ``consistent_classes`` is the operator: look-alike-mapped
-values are grouped in SQL under the accent- and case-sensitive ICU collation ``UNICODE``, the least value of each class becomes its
-canonical member and is joined back.
+``map_lookalikes`` is the per-text mapping, ``fold_lookalikes`` the consistent form, which is the mapping composed; ``consistent_text`` is its
+column form: text that already is in the form never leaves the JVM (the Arrow UDF receives NULL for it), so only the dirty share of a corpus
+pays for Python.  ``Lookalikes`` is the operator: look-alike-mapped values are grouped in SQL under the accent- and case-sensitive ICU
+collation ``UNICODE``, the least form of each class becomes its canonical member and is joined back.  The mapping leaves accents as they are
+written, as one character or as two: which sequences of letters and accents are the same is decided by the collation alone.
 
 What the form is, in this order:
 
@@ -99,16 +100,18 @@ def _word(match: re.Match) -> str:
     return latin.translate(TO_SCRIPT[own.pop()]) if len(own) == 1 else word
 
 
-def fold_lookalikes(text: str | None) -> str | None:
-    """The consistent form of one text."""
-    if text is None:
-        return None
-    if not _DIRTY.search(text):
+def map_lookalikes(text: str | None) -> str | None:
+    """Look-alikes mapped; accents of a text that is changed are left as characters of their own."""
+    if text is None or not _DIRTY.search(text):
         return text
     plain = text.translate(_GLYPHS)
-    if not plain.isascii():
-        plain = unicodedata.normalize("NFC", _WORD.sub(_word, unicodedata.normalize("NFD", plain)))
-    return plain
+    return plain if plain.isascii() else _WORD.sub(_word, unicodedata.normalize("NFD", plain))
+
+
+def fold_lookalikes(text: str | None) -> str | None:
+    """The consistent form of one text."""
+    mapped = map_lookalikes(text)
+    return mapped if mapped is None or mapped.isascii() else unicodedata.normalize("NFC", mapped)
 
 
 @F.pandas_udf(StringType())
@@ -122,62 +125,85 @@ def consistent_text(text: Column) -> Column:
     return F.coalesce(_fold(dirty), text)
 
 
-def consistent_classes(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """Operator of problem 1: ``(rec_id, text, form, canonical, class_id)``, one row per key.
+@F.pandas_udf(StringType())
+def _map(texts: pd.Series) -> pd.Series:
+    return pd.Series([map_lookalikes(x) for x in texts], dtype=object)
 
-    ``form`` is the text in the consistent form.  Rows whose forms are equal under the collation ``UNICODE`` (tertiary strength: accents,
-    case and width-free letters count, canonically equivalent sequences do not differ) are one class; ``canonical`` is the class's least
-    form in code-point order and ``class_id`` its least key.  Texts without a letter or digit are in no class and give no row; NULL keys
-    and NULL texts give none either.  Repeated rows of a key count once.
 
-    Work: one shuffle to make keys unique, one grouping of the distinct forms under the collation, one join back by the form.  Copies of a
-    form, however many, are one row before they meet the collation.
-    """
-    from termlode.llm.words import HAS_WORD, records
+@lru_cache(maxsize=1)
+def _bases() -> tuple[str, str]:
+    """Composed characters of text that the mapping passes through, and what is left of them without accents."""
+    pairs = []
+    for code in [*range(0xA1, 0x250), *range(0x1E00, 0x1F00)]:
+        base = "".join(c for c in unicodedata.normalize("NFD", chr(code)) if unicodedata.category(c) != "Mn")
+        if base != chr(code) and len(base) == 1:
+            pairs.append((chr(code), base))
+    return "".join(x for x, _ in pairs), "".join(x for _, x in pairs)
+
+
+def _skeleton(mapped: Column) -> Column:
+    """The mapped text without accents: the same for all texts that the collation takes for equal, and for more."""
+    return F.when(mapped.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.translate(mapped, *_bases()), r"\p{Mn}+", "")).otherwise(mapped)
 
-    spark: SparkSession = texts.sparkSession
-    mapped = records(texts, key, text).withColumn("form", consistent_text(F.col("text")))
-    mapped = cut_lineage(mapped.where(F.col("form").rlike(HAS_WORD)), "mapped")  # read twice below
-    return spark.sql(
-        """
-        WITH forms AS (SELECT form, min(rec_id) AS least_id FROM {mapped} GROUP BY form),
-        classes AS (
-            SELECT form, min(form) OVER face AS canonical, min(least_id) OVER face AS class_id
-            FROM forms WINDOW face AS (PARTITION BY form COLLATE UNICODE)
-        )
-        SELECT m.rec_id, m.text, m.form, c.canonical, c.class_id FROM {mapped} m JOIN classes c ON m.form = c.form
-        """,
-        mapped=mapped,
-    )
 
+class Lookalikes:
+    """Operator of problem 1 over the texts of one table.
 
-def lookalike_pairs(classes: DataFrame) -> DataFrame:
-    """``(key_a, key_b)``: every two keys of a class whose forms are the same string while their texts are not.
+    Texts whose mapped forms are equal under the collation ``UNICODE`` (tertiary strength: letters, case, accents, punctuation, blanks and line
+    ends count; canonically equivalent sequences do not differ) are one class.  Texts without a letter or digit are in no class; NULL keys and
+    NULL texts give no row; repeated rows of a key count once; an empty table gives no rows.
 
-    Pairs are made between the different strings of a class first and only then between the keys that carry them, so that exact copies
-    of one string, however many, never meet each other; the work is that of the result.
+    Work: texts become two 64-bit hashes and one of their skeleton; only texts whose skeleton belongs to different strings meet the collation,
+    each string once, however many keys have it.  Texts themselves are not shuffled, but for those strings.
     """
-    spark = classes.sparkSession
-    # Most classes have one string only and end here.
-    variants = spark.sql(
-        """
-        WITH strings AS (SELECT class_id, form, text, min(rec_id) AS variant FROM {classes} GROUP BY class_id, form, text),
-        mixed AS (SELECT class_id FROM strings GROUP BY class_id HAVING count(*) > 1)
-        SELECT s.* FROM strings s JOIN mixed m ON s.class_id = m.class_id
-        """,
-        classes=classes,
-    )
-    variants = cut_lineage(variants, "variants")
-    members = classes.select("rec_id", "class_id", "text").join(variants.select("class_id", "text", "variant"), ["class_id", "text"]).select("rec_id", "variant")
-    return spark.sql(
+
+    def __init__(self, df: DataFrame, key: str, text: str) -> None:
+        from termlode.llm.words import HAS_WORD, records, sized
+
+        self.spark: SparkSession = df.sparkSession
+        self.texts = records(df, key, text).where("text IS NOT NULL")
+        mapped = self.texts.withColumn("mapped", F.coalesce(_map(F.when(F.col("text").rlike(DIRTY), F.col("text"))), F.col("text"))).where(F.col("mapped").rlike(HAS_WORD))
+        rows = mapped.select("rec_id", F.xxhash64(_skeleton(F.col("mapped"))).alias("face"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
+        self.rows = cut_lineage(rows, "faces")
+        several = self.rows.groupBy("face").agg(*[f(h).alias(f"{n}{h}") for h in ("h1", "h2") for n, f in (("least", F.min), ("most", F.max))])
+        self.several = sized(cut_lineage(several.where("leasth1 != mosth1 OR leasth2 != mosth2").select("face"), "several"))
+        self.open = self.rows.join(self.several, "face", "left_semi")
+        strings = cut_lineage(self.open.groupBy("face", "h1", "h2").agg(F.min("rec_id").alias("variant")), "strings")
+        held = self.texts.join(sized(strings).withColumnRenamed("variant", "rec_id"), "rec_id")
+        held = held.select("face", "h1", "h2", F.col("rec_id").alias("variant"), F.coalesce(_map(F.when(F.col("text").rlike(DIRTY), F.col("text"))), F.col("text")).alias("mapped"), consistent_text(F.col("text")).alias("form"))
+        looks = self.spark.sql(
+            """
+            SELECT face, h1, h2, variant, min(form) OVER look AS canonical, min(variant) OVER look AS class_id, count(*) OVER look - 1 AS links
+            FROM {held} WINDOW look AS (PARTITION BY face, mapped COLLATE UNICODE)
+            """,
+            held=held.repartition("face"),
+        )
+        self.looks = cut_lineage(looks, "looks")
+
+    def classes(self) -> DataFrame:
+        """``(rec_id, canonical, class_id, links)``: the class's least form in code-point order, its least key, and to how many other strings
+        the text's own looks the same."""
+        mixed = self.open.join(self.looks, ["face", "h1", "h2"]).select("rec_id", "canonical", "class_id", "links")
+        alone = self.rows.join(self.several, "face", "left_anti").select("rec_id", "face")
+        least = alone.groupBy("face").agg(F.min("rec_id").alias("class_id"))
+        alone = alone.join(least, "face").select("rec_id", F.lit(None).cast("string").alias("canonical"), "class_id", F.lit(0).cast("bigint").alias("links"))
+        found = self.texts.join(mixed.unionByName(alone), "rec_id")
+        return found.select("rec_id", F.coalesce("canonical", consistent_text(F.col("text"))).alias("canonical"), "class_id", "links")
+
+    def pairs(self) -> DataFrame:
+        """``(key_a, key_b)``: every two keys of a class whose texts are not the same string.
+
+        Pairs are made between the different strings of a class first and only then between the keys that carry them, so that exact copies
+        of one string, however many, never meet each other; the work is that of the result.
         """
-        WITH mixed AS (
-            SELECT a.variant AS a, b.variant AS b
-            FROM {variants} a JOIN {variants} b ON a.class_id = b.class_id AND a.form = b.form AND a.variant < b.variant
+        looks = self.looks.where("links > 0")
+        members = cut_lineage(self.open.join(looks, ["face", "h1", "h2"]).select("rec_id", "variant"), "members")
+        return self.spark.sql(
+            """
+            WITH mixed AS (SELECT a.variant AS a, b.variant AS b FROM {looks} a JOIN {looks} b ON a.class_id = b.class_id AND a.variant < b.variant)
+            SELECT least(x.rec_id, y.rec_id) AS key_a, greatest(x.rec_id, y.rec_id) AS key_b
+            FROM mixed p JOIN {members} x ON x.variant = p.a JOIN {members} y ON y.variant = p.b
+            """,
+            looks=looks,
+            members=members,
         )
-        SELECT least(x.rec_id, y.rec_id) AS key_a, greatest(x.rec_id, y.rec_id) AS key_b
-        FROM mixed p JOIN {members} x ON x.variant = p.a JOIN {members} y ON y.variant = p.b
-        """,
-        variants=variants,
-        members=cut_lineage(members, "members"),
-    )

@@ -11,7 +11,7 @@ from termlode.llm.distinctive import TermWeights, top_terms
 from termlode.llm.formatting import collapse_formatting, formatting_classes
 from termlode.llm.frequencies import term_frequencies
 from termlode.llm.leakage import LeakageIndex
-from termlode.llm.lookalikes import consistent_classes, lookalike_pairs
+from termlode.llm.lookalikes import Lookalikes
 from termlode.llm.neardup import NearDuplicates
 from termlode.llm.packing import pack_documents
 from termlode.llm.residue import template_residue
@@ -36,12 +36,12 @@ def _both(make: Callable[[DataFrame, str, str], DataFrame], spark: SparkSession,
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    out = _both(lambda df, key, text: lookalike_pairs(consistent_classes(df, key, text)), spark, d)
+    out = _both(lambda df, key, text: Lookalikes(df, key, text).pairs(), spark, d)
     return out.select("rel", F.col("key_a").cast("bigint").alias("key_a"), F.col("key_b").cast("bigint").alias("key_b"))
 
 
 def p1_canonical(spark: SparkSession, d: str) -> DataFrame:
-    return _both(lambda df, key, text: consistent_classes(df, key, text).select(F.col("rec_id").cast("bigint").alias("rec_id"), "canonical", F.col("class_id").cast("bigint").alias("class_id")), spark, d)
+    return _both(lambda df, key, text: Lookalikes(df, key, text).classes().select(F.col("rec_id").cast("bigint").alias("rec_id"), "canonical", F.col("class_id").cast("bigint").alias("class_id"), "links"), spark, d)
 
 
 def _neardup(spark: SparkSession, d: str) -> NearDuplicates:

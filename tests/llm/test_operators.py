@@ -74,19 +74,32 @@ def test_the_form_is_stable_and_ignores_composition(text):
     form = lookalikes.fold_lookalikes(text)
     assert lookalikes.fold_lookalikes(form) == form
     assert lookalikes.fold_lookalikes(brute.decomposed(text)) == form
+    assert brute.decomposed(lookalikes.map_lookalikes(text)) == brute.decomposed(form)
 
 
 def test_lookalikes(texts, nothing, articles):
     def pairs(df, k, t):
-        got = [tuple(r) for r in lookalikes.lookalike_pairs(lookalikes.consistent_classes(df, k, t)).collect()]
+        got = [tuple(r) for r in lookalikes.Lookalikes(df, k, t).pairs().collect()]
         assert len(got) == len(set(got))
         return set(got)
 
     assert pairs(texts, "id", "t") == brute.lookalike_pairs(TEXTS) > {(0, 1), (0, 2), (0, 3), (16, 17), (25, 26)}
     assert pairs(nothing, "id", "t") == set()
     assert pairs(articles[0], "article_id", "article_text") == brute.lookalike_pairs(articles[1]) != set()
-    classes = {r["rec_id"]: r["canonical"] for r in lookalikes.consistent_classes(texts, "id", "t").collect()}
-    assert classes[1] == classes[0] == "The old café of Zurich" and classes[4] != classes[0] and not {7, 8, 9, 10, 11} & classes.keys()
+    rows = lookalikes.Lookalikes(texts, "id", "t").classes().collect()
+    classes = {r["rec_id"]: (r["canonical"], r["class_id"], r["links"]) for r in rows}
+    assert len(classes) == len(rows) and not {7, 8, 9, 10, 11} & classes.keys()
+    assert classes[1] == ("The old café of Zurich", 0, 3) and classes[0] == classes[21] and classes[4] == ("The old cafe of Zurich", 4, 0) and classes[23][1:] == (23, 0)
+    assert lookalikes.Lookalikes(nothing, "id", "t").classes().count() == 0
+
+
+def test_the_collation_decides(spark):
+    e, n = "e\u0301", "n\u0303"
+    rows = [(0, "Caf\u00e9 ma\u00f1ana"), (1, f"Caf{e} ma{n}ana"), (2, f"Caf{e} ma\u00f1ana"), (3, "Cafe manana"), (4, "Cafe\u0300 ma\u00f1ana"), (5, "caf\u00e9 ma\u00f1ana"), (6, "Caf\u00e9  ma\u00f1ana"), (7, "Caf\u00e9\tma\u00f1ana"), (8, "Caf\u00e9\u00a0ma\u00f1ana"), (9, f"\u0421af{e} ma{n}ana")]
+    got = lookalikes.Lookalikes(frame(spark, rows), "id", "t")
+    assert {r["rec_id"]: r["class_id"] for r in got.classes().collect()} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 5, 6: 6, 7: 7, 8: 0, 9: 0}
+    assert len({lookalikes.map_lookalikes(t) for k, t in rows if k in (0, 1, 2, 8, 9)}) > 1  # the mapping alone doesn't make them equal
+    assert {tuple(r) for r in got.pairs().collect()} == brute.lookalike_pairs(rows)
 
 
 # 2
