@@ -7,13 +7,15 @@ items and not as the corpus.  Steps:
 2. A randomised SVD of the TF-IDF passage matrix of the whole corpus: two passes over the encoded passages, each of which adds up
    ``A'(A X)`` for a thin matrix X, within tasks first and then by shuffle; then a Rayleigh-Ritz step on the driver, on a matrix as small as
    the vocabulary times the rank.
-3. A passage's latent vector is the sum of its words' rows, so the vectors of all passages of a document are differences of prefix sums.
-   Candidates are passages whose cosine with an item's passage reaches a bound; projections on one direction are sorted, and as two unit
-   vectors of cosine c differ by ``sqrt(2 - 2c)`` on it at most, only a slice has to be looked at.
+3. A passage's latent vector is the sum of its words' rows, added up in the order of its words.  A last coordinate, small and different for
+   each word, keeps it from being zero.  Candidates are passages whose cosine with an item's passage reaches a bound.  For bounds near one,
+   projections on one direction are sorted, and as two unit vectors of cosine c differ by ``sqrt(2 - 2c)`` on it at most, only a slice has to be
+   looked at.  For lower bounds the items' passages lie in cells, and a cell is looked at only if its greatest possible cosine suffices.
 4. Candidates are proved on the words: the longest common run, or - for paraphrases - the longest common subsequence and the answer.
 
-Passages of the length asked for, taken at every word, lose nothing: equal passages have equal latent vectors, whatever the rank, and a run
-of ten words of an item lies wholly within a run of vocabulary words of the document.
+Passages of the length asked for, taken at every word, lose nothing: equal passages have latent vectors that are equal bit by bit, whatever the
+rank, as they come from the same additions in the same order, and a run of ten words of an item lies wholly within a run of vocabulary
+words of the document.
 """
 
 from __future__ import annotations
@@ -139,13 +141,18 @@ class LeakageIndex:
         self.encoded = cut_lineage(rows.mapInArrow(_encode(spark.sparkContext.broadcast(number)), "doc_id bigint, codes binary"), "encoded")
         self.table = self._fit(min(rank, self.size), oversample, seed)
 
-    def _sum(self, frame: DataFrame, names: list[str]) -> np.ndarray:
-        """Column sums by word: as many rows as the vocabulary has words come to the driver."""
+    def _summed(self, make, shape: str, names: list[str]) -> np.ndarray:
+        """Column sums by word of what the tasks make: as many rows as the vocabulary has words come to the driver.
+
+        Partial sums are as many as the cluster's cores demand, not as the corpus has splits.
+        """
+        few = self.encoded.coalesce(4 * self.spark.sparkContext.defaultParallelism)
+        frame = few.mapInArrow(make, shape)
         got = frame.groupBy("word").agg(*[F.sum(c).alias(c) for c in names]).orderBy("word").toPandas()
         return got[names].to_numpy()
 
     def _fit(self, rank: int, oversample: int, seed: int) -> np.ndarray:
-        held = self._sum(self.encoded.mapInArrow(_count(self.size), "word bigint, held bigint"), ["held"])
+        held = self._summed(_count(self.size), "word bigint, held bigint", ["held"])
         if not len(held):
             return np.ones((self.size, 1))
         held = held[:, 0]
@@ -156,25 +163,28 @@ class LeakageIndex:
         x = np.random.default_rng(seed).standard_normal((self.size, width))
         for _ in range(2):
             q, _ = np.linalg.qr(x)
-            x = self._sum(self.encoded.mapInArrow(_gram(self.spark.sparkContext.broadcast((self.idf, q))), shape), names)
+            x = self._summed(_gram(self.spark.sparkContext.broadcast((self.idf, q))), shape, names)
         values, inner = np.linalg.eigh((q.T @ x + x.T @ q) / 2)
         self.singular = np.sqrt(np.maximum(values[::-1][:rank], 0))
         basis = q @ inner[:, ::-1][:, :rank]
-        return self.idf[:, None] * basis
+        table = self.idf[:, None] * basis
+        own = np.random.default_rng(seed + 1).uniform(0.5, 1, self.size) * 1e-3 * max(1e-12, float(np.linalg.norm(table, axis=1).mean()))
+        return np.column_stack([table, own])
 
-    def _item_windows(self, width: int, step: int = 1):
-        """Starts, items and unit latent vectors of the items' passages, all items' codes behind each other."""
+    def _item_windows(self, width: int, step: int = 1, least: int = 0):
+        """Starts, items and unit latent vectors of the passages of ``width`` words of all items of ``least`` words or more, all items' codes
+        behind each other."""
         flat = np.concatenate([*self.item_codes, np.zeros(0, dtype=np.int32)])
         ends = np.r_[0, np.cumsum([len(c) for c in self.item_codes])]
-        starts, owner = [], []
+        starts, owner = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
         for k, c in enumerate(self.item_codes):
-            s = np.arange(0, max(len(c) - width, 0) + 1, step) if len(c) >= width else np.zeros(0, dtype=np.int64)
-            if step > 1 and len(c) > width and s[-1] != len(c) - width:
-                s = np.r_[s, len(c) - width]
+            if len(c) < max(width, least):
+                continue
+            s = np.unique(np.r_[np.arange(0, len(c) - width + 1, step), len(c) - width])
             starts.append(s + ends[k])
             owner.append(np.full(len(s), k))
-        starts, owner = np.concatenate(starts).astype(np.int64), np.concatenate(owner)
-        return flat, starts, owner, _latent(self.table, flat, starts, width)
+        starts, owner = np.concatenate(starts), np.concatenate(owner)
+        return flat, starts, owner, _latent(self.table, flat, starts, np.full(len(starts), width))
 
     def shared_runs(self, words: int = 10, cosine: float = 1 - 1e-8) -> DataFrame:
         """``(doc_id, item_id, run)``: documents and items that share ``words`` or more consecutive words, and the longest such run."""
@@ -193,29 +203,74 @@ class LeakageIndex:
         """``(doc_id, item_id, cosine, lcs_share, has_answer)``: documents with a passage near an item's passage in latent space that also
         has at least ``share`` of its words in the same order.  One row per pair, the one of greatest ``lcs_share``.
 
-        Passages have ``width`` words and begin at every ``width // 4``-th word of a document and every ``width // 2``-th of an item, and
-        at the last whole one of an item; those of documents need ``width // 2`` vocabulary words.  Texts below ``width`` words are never
-        searched.
+        Passages have ``width`` words; an item with fewer is one passage, and so is a document.  They begin at every ``width // 4``-th word of a
+        document and every ``width // 2``-th of an item, and at the last whole one of either.  A document's passage needs half of the words
+        that the share demands of the wider span it is proved on, as no other could reach it.
         """
         kind = "doc_id bigint, item_id bigint, cosine double, lcs_share double, has_answer boolean"
-        if not self.size or not any(len(c) >= width for c in self.item_codes):
+        # Short items are searched by passages of their own length; there are fewer lengths than ``width``.
+        widths = sorted({min(width, len(c)) for c in self.item_codes if len(c)}) if self.size else []
+        if not widths:
             return self.spark.createDataFrame([], kind)
-        flat, starts, owner, unit = self._item_windows(width, width // 2)
         ids = np.array([i for i, _, _ in self.items], dtype=np.int64)
-        model = self.spark.sparkContext.broadcast((self.table, flat, starts, owner, unit.astype(np.float32), ids, self.answers))
-        found = self.encoded.mapInArrow(_search_paraphrases(model, width, cosine, share), kind)
+        sets = []
+        for w in widths:
+            flat, starts, owner, unit = self._item_windows(w, max(1, w // 2))
+            if w < width:
+                own = np.array([len(self.item_codes[k]) == w for k in owner], dtype=bool)
+                starts, owner, unit = starts[own], owner[own], unit[own]
+            sets.append((w, flat, starts, owner, unit, _cells(unit)))
+        model = self.spark.sparkContext.broadcast((self.table, ids, self.answers, sets))
+        found = self.encoded.mapInArrow(_search_paraphrases(model, cosine, share), kind)
         best = F.max(F.struct("lcs_share", "cosine", "has_answer")).alias("b")
         return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.cosine", "b.lcs_share", "b.has_answer")
 
 
-def _latent(table: np.ndarray, codes: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+def _latent(table: np.ndarray, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Unit latent vectors of passages; words outside the vocabulary add nothing."""
-    rows = table[codes]
-    if (codes < 0).any():
-        rows[codes < 0] = 0
-    total = np.vstack([np.zeros((1, table.shape[1])), np.cumsum(rows, axis=0)])
-    v = total[starts + width] - total[starts]
-    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-30)
+    v = np.zeros((len(starts), table.shape[1]))
+    for j in range(int(lengths.max(initial=0))):
+        code = codes[np.minimum(starts + j, len(codes) - 1)]
+        v += np.where(((code >= 0) & (j < lengths))[:, None], table[code], 0)
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+
+
+def _cells(unit: np.ndarray, seed: int = 3) -> list[tuple[np.ndarray, float, np.ndarray]]:
+    """Unit vectors in about as many cells as each cell has members: centre, widest angle to it, members."""
+    n = len(unit)
+    if not n:
+        return []
+    centres = unit[np.random.default_rng(seed).choice(n, max(1, int(np.sqrt(n))), replace=False)]
+    for _ in range(3):
+        of = np.concatenate([np.argmax(unit[k : k + 4096] @ centres.T, axis=1) for k in range(0, n, 4096)])
+        total = np.zeros_like(centres)
+        np.add.at(total, of, unit)
+        length = np.linalg.norm(total, axis=1, keepdims=True)
+        centres = np.where(length > 1e-12, total / np.maximum(length, 1e-12), centres)
+    out = []
+    for k in range(len(centres)):
+        mine = np.flatnonzero(of == k)
+        if len(mine):
+            out.append((centres[k], float(np.arccos(np.clip(unit[mine] @ centres[k], -1, 1)).max()), mine))
+    return out
+
+
+def _near(mine: np.ndarray, unit: np.ndarray, cells, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows of both whose cosine reaches the bound, and their cosines: only cells within reach are looked at."""
+    angle = np.arccos(cosine)
+    reach = np.cos(np.minimum(np.array([r for _, r, _ in cells]) + angle + 1e-6, np.pi))
+    inside = mine @ np.stack([c for c, _, _ in cells]).T >= reach
+    a, b, c = [], [], []
+    for k, (_, _, members) in enumerate(cells):
+        rows = np.flatnonzero(inside[:, k])
+        for j in range(0, len(rows), 4096):
+            close = mine[rows[j : j + 4096]] @ unit[members].T
+            x, y = np.nonzero(close >= cosine)
+            a.append(rows[j + x])
+            b.append(members[y])
+            c.append(close[x, y])
+    whole = np.zeros(0, dtype=np.int64)
+    return np.concatenate([whole, *a]), np.concatenate([whole, *b]), np.concatenate([np.zeros(0), *c])
 
 
 def _search_runs(model, words: int, cosine: float):
@@ -236,7 +291,7 @@ def _search_runs(model, words: int, cosine: float):
             inner, place = codes[kept], np.cumsum(kept) - 1
             out: list[tuple[np.ndarray, ...]] = []
             if len(starts):
-                mine = _latent(table, inner, place[starts], words)
+                mine = _latent(table, inner, place[starts], np.full(len(starts), words))
                 p = mine @ direction
                 left, right = np.searchsorted(projected, p - radius, "left"), np.searchsorted(projected, p + radius, "right")
                 n = right - left
@@ -274,36 +329,38 @@ def longest_common_subsequences(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return last[:, -1]
 
 
-def _search_paraphrases(model, width: int, cosine: float, share: float):
+def _search_paraphrases(model, cosine: float, share: float):
+    def one(codes, ends, table, width, flat, item_start, owner, unit, cells):
+        """Documents, items, cosines and shares of the passages of one width."""
+        half, size = width // 2, np.diff(ends)
+        known = np.r_[0, np.cumsum(codes >= 0)]
+        at = np.arange(len(codes)) - np.repeat(ends[:-1], size)
+        regular = (at % max(1, width // 4) == 0) & (at + width <= np.repeat(size, size))
+        last = np.maximum(ends[1:] - width, ends[:-1])  # the last passage, or the whole of a shorter document
+        starts = np.unique(np.r_[np.flatnonzero(regular), last])
+        doc = np.searchsorted(ends, starts, "right") - 1
+        length = np.minimum(width, size[doc])
+        enough = known[starts + length] - known[starts] >= np.minimum(share * width / 2, np.maximum(1, length // 2))
+        starts, doc, length = starts[enough], doc[enough], length[enough]
+        for k in range(0, len(starts), 10_000):
+            s, d, n = starts[k : k + 10_000], doc[k : k + 10_000], length[k : k + 10_000]
+            ww, ii, near = _near(_latent(table, codes, s, n), unit, cells, cosine)
+            for j in range(0, len(ww), 100_000):
+                w, i = ww[j : j + 100_000], ii[j : j + 100_000]
+                place = s[w][:, None] + np.arange(-half, width + half)
+                inside = (place >= ends[d[w]][:, None]) & (place < ends[d[w] + 1][:, None])
+                span = np.where(inside, codes[np.clip(place, 0, len(codes) - 1)], -1)
+                common = longest_common_subsequences(span, flat[item_start[i][:, None] + np.arange(width)]) / width
+                good = common >= share
+                yield d[w[good]], owner[i[good]], near[j : j + 100_000][good], common[good]
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, flat, item_start, owner, unit, ids, answers = model.value
-        half = width // 2
+        table, ids, answers, sets = model.value
         for key, codes, ends in (part for b in batches for part in _slices(b)):
-            at = np.arange(len(codes)) - np.repeat(ends[:-1], np.diff(ends))
-            known = np.r_[0, np.cumsum(codes >= 0)]
-            starts = np.flatnonzero(at % (width // 4) == 0)
-            doc = np.searchsorted(ends, starts, "right") - 1
-            stop = np.minimum(starts + width, ends[doc + 1])
-            enough = (stop - starts == width) & (known[stop] - known[starts] >= half)
-            starts, doc = starts[enough], doc[enough]
-            out: list[tuple[np.ndarray, ...]] = []
-            for k in range(0, len(starts), 10_000):
-                s, d = starts[k : k + 10_000], doc[k : k + 10_000]
-                mine = _latent(table, codes[s[0] : s[-1] + width], s - s[0], width).astype(np.float32)
-                close = mine @ unit.T
-                w, i = np.nonzero(close >= cosine)
-                for j in range(0, len(w), 100_000):
-                    ww, ii = w[j : j + 100_000], i[j : j + 100_000]
-                    place = s[ww][:, None] + np.arange(-half, width + half)
-                    inside = (place >= ends[d[ww]][:, None]) & (place < ends[d[ww] + 1][:, None])
-                    span = np.where(inside, codes[np.clip(place, 0, len(codes) - 1)], -1)
-                    common = longest_common_subsequences(span, flat[item_start[ii][:, None] + np.arange(width)]) / width
-                    good = common >= share
-                    ww, ii = ww[good], ii[good]
-                    out.append((d[ww], owner[ii], common[good], close[ww, ii].astype(np.float64)))
+            out = [x for passages in sets for x in one(codes, ends, table, *passages)]
             if not out:
                 continue
-            d, o, common, near = (np.concatenate(x) for x in zip(*out, strict=True))
+            d, o, near, common = (np.concatenate(x) for x in zip(*out, strict=True))
             held = np.array([bool(len(answers[y])) and bool(np.isin(answers[y], codes[ends[x] : ends[x + 1]]).all()) for x, y in zip(d, o, strict=True)], dtype=bool)
             yield pa.RecordBatch.from_arrays([pa.array(key[d]), pa.array(ids[o]), pa.array(near), pa.array(common), pa.array(held)], names=["doc_id", "item_id", "cosine", "lcs_share", "has_answer"])
 

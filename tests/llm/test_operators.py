@@ -425,6 +425,33 @@ def test_leak_edges(spark):
         leakage.LeakageIndex(d, "id", "t", i, "k", "q", max_items=3)
 
 
+def test_short_texts_are_searched_for_paraphrases(spark):
+    items = [(1, "tall keel of dark oak", "oak"), (2, " ".join(f"k{j}" for j in range(40)), None)]
+    docs = [(10, "tall keel of dark oak"), (11, "they saw a tall keel of dark oak and left in haste for the far side of the wide bay"), (12, "oak dark of keel tall"), (13, " ".join(f"k{j}" for j in range(3, 17))), (14, "nothing of note")]
+    rng = random.Random(3)
+    docs += [(20 + k, " ".join(rng.choices([f"k{j}" for j in range(40)] + ["tall", "keel", "oak", "dark", "x"], k=30))) for k in range(40)]
+    index = leakage.LeakageIndex(frame(spark, docs), "id", "t", spark.createDataFrame(items, "k bigint, q string, a string"), "k", "q", "a")
+    got = {(r["doc_id"], r["item_id"]): r["has_answer"] for r in index.paraphrases(cosine=0.8).collect()}
+    assert {(10, 1), (11, 1), (13, 2)} <= got.keys() and (12, 1) not in got and (14, 1) not in got and got[(10, 1)]
+
+
+def test_cells_lose_nothing():
+    rng = np.random.default_rng(1)
+    unit, mine = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (rng.standard_normal((500, 6)), rng.standard_normal((300, 6))))
+    for cosine in (0.6, 0.9):
+        a, b, c = leakage._near(mine, unit, leakage._cells(unit), cosine)
+        assert set(zip(a.tolist(), b.tolist(), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(mine @ unit.T >= cosine)), strict=True)) and (c >= cosine).all()
+
+
+def test_equal_passages_have_equal_vectors():
+    rng = np.random.default_rng(2)
+    table = np.column_stack([rng.standard_normal((50, 4)) * np.r_[np.ones(25), np.full(25, 1e-11)][:, None], rng.uniform(0.5, 1, 50) * 1e-3])
+    run = rng.integers(25, 50, 10)
+    codes = np.r_[rng.integers(0, 50, 3000), run, rng.integers(0, 50, 20)].astype(np.int32)
+    alone = leakage._latent(table, run.astype(np.int32), np.array([0]), np.array([10]))
+    assert (leakage._latent(table, codes, np.array([3000]), np.array([10])) == alone).all()
+
+
 def test_longest_common_subsequences():
     a, b = np.array([[1, 2, 3, -1, 4], [5, 5, -1, -1, 5]]), np.array([[2, 9, 3, 4], [5, 6, 5, 7]])
     assert leakage.longest_common_subsequences(a, b).tolist() == [3, 2]
