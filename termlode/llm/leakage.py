@@ -199,7 +199,7 @@ class LeakageIndex:
         found = self.encoded.mapInArrow(_search_runs(model, words, cosine), "doc_id bigint, item_id bigint, run bigint")
         return found.groupBy("doc_id", "item_id").agg(F.max("run").alias("run"))
 
-    def paraphrases(self, cosine: float = 0.9, share: float = 0.75, width: int = 16) -> DataFrame:
+    def paraphrases(self, cosine: float = 0.8, share: float = 0.75, width: int = 16) -> DataFrame:
         """``(doc_id, item_id, cosine, lcs_share, has_answer)``: documents with a passage near an item's passage in latent space that also
         has at least ``share`` of its words in the same order.  One row per pair, the one of greatest ``lcs_share``.
 

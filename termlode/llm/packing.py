@@ -1,7 +1,10 @@
 """Filling fixed-capacity containers (problem 7): mixture-controlled packing by deficit round-robin.
 
-Documents are spread over shards of bounded size by the hash of their id, so that a source with a third of all rows is in every shard in
-its share.  A shard is packed by one task:
+The corpus need not have the mixture that is wanted.  It holds the target up to the point where the first source is used up; from there on
+the sources that are left keep their proportions, until the next one is used up, and so on: phases, worked out from the token totals of the
+sources alone.  A source's documents are spread over the phases by the hash of their id, each phase getting the tokens that it has room for,
+and within a phase over shards of bounded size.  So every shard holds the mixture of its phase, a source with a third of all rows is in every
+shard in its share, and only what comes after the end of a source is off target.  A shard is packed by one task:
 
 * each source is a queue; a window is ``window_containers`` capacities of tokens;
 * in each window a queue's deficit grows by its target share of the window, and the queue serves documents while its next one is covered;
@@ -9,7 +12,8 @@ its share.  A shard is packed by one task:
 * what the window drew is placed best-fit decreasing into the open containers and new ones; containers stay open across windows.
 
 Deficits are carried across shards too, without making shards wait for each other: every shard drains its queues, so what a queue is owed
-when a shard begins is its share of all tokens of earlier shards minus its own tokens there - prefix sums of a (shard, source) table.
+when a shard begins is its share of all tokens of earlier shards of its phase minus its own tokens there - prefix sums of a (shard, source)
+table.
 
 A document is split only if it exceeds the capacity: into full containers and one rest, which is packed as any other item.
 """
@@ -63,25 +67,21 @@ def pack_shard(ids, tokens, sources, shares: dict[str, float], owed: dict[str, f
     bins, out, window = _Bins(capacity), [], 0
     while queues:
         live = sum(shares.get(s, 0.0) for s in queues)
+        part = {s: shares.get(s, 0.0) / live if live > 0 else 1 / len(queues) for s in queues}
         drawn: list[int] = []
-        if len(queues) == 1 or live <= 0:  # nothing to balance any more: what is left goes in one window
-            for s, q in queues.items():
-                drawn += q[at[s] :]
-            queues = {}
-        else:
-            # A window in which every queue is in arrears would draw nothing; such windows are passed over at once.
-            wait = min((tokens[q[at[s]]] - deficit[s]) / (budget * shares.get(s, 0.0) / live) if shares.get(s, 0.0) > 0 else np.inf for s, q in queues.items())
-            skip = max(1.0, np.ceil(wait))
-            for s in sorted(queues):
-                q = queues[s]
-                deficit[s] += skip * budget * shares.get(s, 0.0) / live
-                k = at[s]
-                while k < len(q) and tokens[q[k]] <= deficit[s]:
-                    deficit[s] -= tokens[q[k]]
-                    drawn.append(q[k])
-                    k += 1
-                at[s] = k
-            queues = {s: q for s, q in queues.items() if at[s] < len(q)}
+        # A window in which every queue is in arrears would draw nothing; such windows are passed over at once.
+        wait = min((tokens[q[at[s]]] - deficit[s]) / (budget * part[s]) if part[s] > 0 else np.inf for s, q in queues.items())
+        skip = max(1.0, np.ceil(wait))
+        for s in sorted(queues):
+            q = queues[s]
+            deficit[s] += skip * budget * part[s]
+            k = at[s]
+            while k < len(q) and tokens[q[k]] <= deficit[s]:
+                deficit[s] -= tokens[q[k]]
+                drawn.append(q[k])
+                k += 1
+            at[s] = k
+        queues = {s: q for s, q in queues.items() if at[s] < len(q)}
         items = []
         for row in drawn:
             size = int(tokens[row])
@@ -99,6 +99,32 @@ def pack_shard(ids, tokens, sources, shares: dict[str, float], owed: dict[str, f
     return out
 
 
+def phases(totals: dict[str, int], targets: dict[str, float] | None) -> list[tuple[dict[str, float], dict[str, float]]]:
+    """``(shares, tokens)`` by source of each phase: the mixture that it holds, and how much of a source belongs to it.
+
+    Without targets there is one phase with the mixture of the totals.  Sources that targets don't name come last.
+    """
+    left = {s: float(t) for s, t in totals.items() if t > 0}
+    if targets is None:
+        targets = dict(left)
+    out = []
+    while left:
+        named = {s: targets.get(s, 0.0) for s in left if targets.get(s, 0.0) > 0} or dict(left)
+        weight = sum(named.values())
+        shares = {s: w / weight for s, w in named.items()}
+        room = min(left[s] / shares[s] for s in shares)
+        used = {s: left[s] if left[s] <= room * shares[s] * (1 + 1e-9) else room * shares[s] for s in shares}
+        out.append((shares, used))
+        left = {s: t - used.get(s, 0.0) for s, t in left.items() if t > used.get(s, 0.0)}
+    return out
+
+
+def window_mixture(placed: DataFrame) -> DataFrame:
+    """``(container_kind, shard, window, source, tokens, share)``: the mixture that each window has got."""
+    by = placed.groupBy("container_kind", "shard", "window", "source").agg(F.sum("tokens").alias("tokens"))
+    return by.withColumn("share", F.col("tokens") / F.sum("tokens").over(Window.partitionBy("container_kind", "shard", "window")))
+
+
 def _pack(window_containers: int):
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         capacity = int(pdf["capacity"].iloc[0])
@@ -119,13 +145,15 @@ def _pack(window_containers: int):
 
 def pack_documents(
     docs: DataFrame, containers: DataFrame, key: str, text: str, source: str, *, kind: str = "container_kind", capacity: str = "capacity", targets: dict[str, float] | None = None,
-    window_containers: int = 64, shard_tokens: int = 32_000_000, shard_rows: int = 250_000, max_kinds: int = 100,
+    window_containers: int = 64, shard_tokens: int = 32_000_000, shard_rows: int = 250_000, max_kinds: int = 100, max_sources: int = 1000,
 ) -> DataFrame:
     """Every piece of every document with the container that holds it, for each kind of container.
 
-    ``targets`` are the wanted token shares by source; without it those of the documents.  Sources it doesn't name are drawn last.  NULL
+    ``targets`` are the wanted token shares by source; without it those of the documents.  Sources it doesn't name are drawn last.  Shards are
+    numbered in order of phases, so that containers in order of shard and number hold the target as long as the corpus can.  NULL
     text is no item; an empty text is an item of one token; NULL source is a queue of its own.  Keys should be unique: rows with the same
-    key count once.  Kinds with a NULL name or a capacity below 1 are left out.  At most ``max_kinds`` kinds of container are read.
+    key count once.  Kinds with a NULL name or a capacity below 1 are left out.  At most ``max_kinds`` kinds of container
+    and ``max_sources`` sources are packed; more raise an error: sources are to be grouped before.
     """
     spark = docs.sparkSession
     kinds = containers.select(F.col(f"`{kind}`"), F.col(f"`{capacity}`").cast("bigint")).where(f"`{kind}` IS NOT NULL AND `{capacity}` >= 1").distinct().orderBy(kind).limit(max_kinds + 1).collect()
@@ -135,22 +163,30 @@ def pack_documents(
         return spark.createDataFrame([], PLACED)
     items = docs.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), byt5_tokens(F.col(f"`{text}`")).alias("size"), F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")).alias("source"))
     items = items.where("doc_id IS NOT NULL AND size IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("size", "source")).alias("x")).select("doc_id", "x.*")
-    total = items.agg(F.sum("size").alias("t"), F.count("*").alias("n")).collect()[0]
-    if not total["n"]:
+    totals = {r["source"]: (r["t"], r["n"]) for r in items.groupBy("source").agg(F.sum("size").alias("t"), F.count("*").alias("n")).orderBy("source").limit(max_sources + 1).collect()}
+    if len(totals) > max_sources:
+        raise ValueError(f"more than {max_sources} sources")
+    if not totals:
         return spark.createDataFrame([], PLACED)
-    shards = max(-(-total["t"] // shard_tokens), -(-total["n"] // shard_rows))
-    items = items.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
-    held = items.groupBy("shard", "source").agg(F.sum("size").alias("t"))
-    if targets:
-        weight = sum(targets.values())
-        named = F.create_map(*[x for s, w in targets.items() for x in (F.lit(s), F.lit(w / weight))])
-        share = F.coalesce(named[F.col("source")], F.lit(0.0))
-    else:
-        share = F.sum("t").over(Window.partitionBy("source")) / F.lit(float(total["t"]))
-    # Tokens of earlier shards; one row per shard, far fewer than documents.
-    before = held.groupBy("shard").agg(F.sum("t").alias("all")).withColumn("gone", F.coalesce(F.sum("all").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    own = F.coalesce(F.sum("t").over(Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    owed = held.withColumn("share", share).withColumn("own", own).join(before, "shard").select("shard", "source", "share", (F.col("share") * F.col("gone") - F.col("own")).alias("owed"))
+    # Where in a source's documents, in order of a hash between 0 and 1, each phase begins, and the numbers of its shards.
+    plan, begun, first = [], dict.fromkeys(totals, 0.0), 0
+    for number, (shares, used) in enumerate(phases({s: t for s, (t, _) in totals.items()}, targets)):
+        n_rows = sum(totals[s][1] * used[s] / totals[s][0] for s in used)
+        shards = max(1, -(-int(sum(used.values())) // shard_tokens), -(-int(n_rows) // shard_rows))
+        for s, tokens in used.items():
+            end = begun[s] + tokens / totals[s][0]
+            plan.append((s, number, begun[s], end if end < 1 - 1e-9 else 2.0, shares[s], first, shards))
+            begun[s] = end
+        first += shards
+    parts = spark.createDataFrame(plan, "source string, phase int, since double, until double, share double, first_shard bigint, shards bigint")
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    items = items.withColumn("place", place).join(F.broadcast(parts), "source").where("place >= since AND place < until")  # at most max_sources squared rows
+    items = items.withColumn("shard", F.col("first_shard") + F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.col("shards"))).select("doc_id", "size", "source", "phase", "shard", "share")
+    held = items.groupBy("phase", "shard", "source", "share").agg(F.sum("size").alias("t"))
+    # Tokens of earlier shards of the phase; one row per shard and source, far fewer than documents.
+    before = held.groupBy("phase", "shard").agg(F.sum("t").alias("all")).withColumn("gone", F.coalesce(F.sum("all").over(Window.partitionBy("phase").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    own = F.coalesce(F.sum("t").over(Window.partitionBy("phase", "source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    owed = held.withColumn("own", own).join(before.select("shard", "gone"), "shard").select("shard", "source", (F.col("share") * F.col("gone") - F.col("own")).alias("owed"))
     each = F.explode(F.array(*[F.struct(F.lit(k[0]).alias("container_kind"), F.lit(k[1]).alias("capacity")) for k in kinds]))
     tasks = items.join(owed, ["shard", "source"]).select("*", each.alias("k")).select("doc_id", "size", "source", "shard", "share", "owed", "k.*")
     return tasks.groupBy("container_kind", "shard").applyInPandas(_pack(window_containers), PLACED)

@@ -108,16 +108,16 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_packing(spark, d).where("pieces > 1 AND piece = 1").select("container_kind", "doc_id")
 
 
-def _leaks(spark: SparkSession, d: str) -> LeakageIndex:
-    return LeakageIndex(_table(spark, d, "documents"), "doc_id", "text", _table(spark, d, "eval_items"), "item_id", "item_text", "answer")
+def _leaks(spark: SparkSession, d: str, rank: int) -> LeakageIndex:
+    return LeakageIndex(_table(spark, d, "documents"), "doc_id", "text", _table(spark, d, "eval_items"), "item_id", "item_text", "answer", rank=rank)
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return _leaks(spark, d).shared_runs(10).select("doc_id", "item_id")
+    return _leaks(spark, d, 16).shared_runs(10).select("doc_id", "item_id")
 
 
 def p8_paraphrases(spark: SparkSession, d: str) -> DataFrame:
-    return _leaks(spark, d).paraphrases().select("doc_id", "item_id", F.round("lcs_share", 6).alias("lcs_share"), "has_answer")
+    return _leaks(spark, d, 32).paraphrases().select("doc_id", "item_id", F.round("lcs_share", 6).alias("lcs_share"), "has_answer")
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:

@@ -394,6 +394,28 @@ def test_windows_keep_the_mixture():
         assert 0.70 < by[w]["a"] / (by[w]["a"] + by[w]["b"]) < 0.80
 
 
+def test_phases():
+    assert packing.phases({"a": 300, "b": 100}, None) == [({"a": 0.75, "b": 0.25}, {"a": 300.0, "b": 100.0})]
+    got = packing.phases({"a": 300, "b": 100, "c": 50, "d": 0}, {"a": 1, "b": 1})
+    assert got == [({"a": 0.5, "b": 0.5}, {"a": 100.0, "b": 100.0}), ({"a": 1.0}, {"a": 200.0}), ({"c": 1.0}, {"c": 50.0})]
+
+
+@pytest.mark.parametrize("targets", [{"a": 1.0, "b": 1.0}, {"a": 1.0, "b": 3.0, "c": 0.5}, None])
+def test_windows_hold_targets_unlike_the_corpus(spark, targets):
+    rnd = random.Random(7)
+    docs = spark.createDataFrame([(k, "x" * rnd.randint(5, 60), "a" if k % 4 else "b") for k in range(12_000)], "doc_id bigint, text string, source string")
+    kinds = spark.createDataFrame([("k", 100)], "container_kind string, capacity bigint")
+    placed = packing.pack_documents(docs, kinds, "doc_id", "text", "source", targets=targets, window_containers=40, shard_tokens=120_000).cache()
+    sizes = {r["doc_id"]: len(r["text"]) + 1 for r in docs.collect()}
+    rows = placed.toPandas()
+    assert rows.groupby("doc_id").tokens.sum().to_dict() == sizes and (rows.groupby(["shard", "container"]).tokens.sum() <= 100).all()
+    totals = {s: int(sum(n for k, n in sizes.items() if (k % 4 > 0) == (s == "a"))) for s in "ab"}
+    first = packing.phases(totals, targets)[0]
+    mixture = packing.window_mixture(placed).toPandas()
+    on_target = mixture[(mixture.source == "b") & (abs(mixture.share - first[0]["b"]) < 0.12)].merge(mixture.groupby(["shard", "window"]).tokens.sum().rename("all"), on=["shard", "window"])["all"].sum()
+    assert on_target > 0.9 * sum(first[1].values())  # what the corpus can give on target
+
+
 # 8
 
 
