@@ -3,9 +3,12 @@
 1. Each task turns its rows into sorted runs, in order of group, score (highest first) and item.  A run keeps, of each group, only the
    first N different items: what a run drops can't be among the group's N best.  A group with a third of all rows thus sends at most N
    rows per run.
-2. Runs are stored by bucket of the group's hash: the exchange writes them, sorted by run and position, to the shuffle store.
+2. Runs are stored by bucket of the group's hash: the exchange writes them, by run and position, to the shuffle store.  There are as many
+   buckets as the rows demand, each of about ``bucket_rows``.
 3. One task for each bucket merges its runs with a loser tree.  The tree plays on (group, score, item); after N outputs of a group every
-   run seeks its own next group by binary search, without reading what lies between.
+   run jumps to the start of its own next group, which it has noted, without looking at what lies between.  Results leave in batches.
+4. A merge takes up to ``fan_in`` runs.  Where there are more, merges of ``fan_in`` make longer runs first, and so on, so that a group with rows in
+   every run never has more than N rows for each of ``fan_in`` runs in one task.
 
 Groups that only one run holds are copied as a slice, without a game.
 """
@@ -20,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RUN = "bucket int, run bigint, at bigint, g1 bigint, g2 bigint, score double, item bigint"
+_COLUMNS = [c.split()[0] for c in RUN.split(", ")]
 OUT = "g1 bigint, g2 bigint, score double, item bigint, rank int"
 
 
@@ -78,21 +82,21 @@ def _first_items(g1, g2, score, item, n: int) -> np.ndarray:
     return order[keep[rank < n]]
 
 
-def _runs(n: int, run_rows: int):
+def _runs(n: int, run_rows: int, per_task: int):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        run = (task.partitionId() if task else os.getpid()) << 24
+        run = (task.partitionId() if task else os.getpid()) * per_task
         held: list[pa.RecordBatch] = []
 
         def cut() -> pa.RecordBatch:
             t = pa.Table.from_batches(held)
             bucket, g1, g2, score, item = (t.column(k).to_numpy() for k in range(5))
             at = _first_items(g1, g2, score, item, n)
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (bucket[at], np.full(len(at), run), np.arange(len(at)), g1[at], g2[at], score[at], item[at])], names=[c.split()[0] for c in RUN.split(", ")])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (bucket[at], np.full(len(at), run), np.arange(len(at)), g1[at], g2[at], score[at], item[at])], names=_COLUMNS)
 
         rows = 0
         for b in batches:
@@ -135,7 +139,13 @@ class _Run:
             self.at = self.starts[self.group]
 
 
-def _merge(runs: list[_Run], n: int) -> pa.RecordBatch:
+def _ranked(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [()] * 5
+    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["g1", "g2", "score", "item", "rank"])
+
+
+def _merge(runs: list[_Run], n: int, batch_rows: int = 50_000) -> Iterator[pa.RecordBatch]:
     out: list[tuple] = []
     tree = LoserTree([r.head() for r in runs])
     while True:
@@ -163,44 +173,61 @@ def _merge(runs: list[_Run], n: int) -> pa.RecordBatch:
                     lead = runs[tree.winner]
             head = tree.heads[tree.winner]
         out += taken
-    cols = list(zip(*out, strict=True)) or [()] * 5
-    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int32())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["g1", "g2", "score", "item", "rank"])
+        if len(out) >= batch_rows:
+            yield _ranked(out)
+            out = []
+    if out:
+        yield _ranked(out)
+
+
+def _merge_buckets(n: int, fan_in: int | None = None):
+    """Merges the runs of each bucket; with ``fan_in`` into longer runs, else into the result."""
+
+    def merged(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        _, run, _, g1, g2, score, item = (t.column(k).to_numpy() for k in range(7))
+        cuts = np.r_[0, np.flatnonzero(np.diff(run)) + 1, len(run)]
+        if len(cuts) == 2:  # one run: it is the result
+            starts = np.flatnonzero(np.r_[True, (g1[1:] != g1[:-1]) | (g2[1:] != g2[:-1])])
+            rank = np.arange(len(run)) - np.repeat(starts, np.diff(np.r_[starts, len(run)])) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (g1, g2, score, item, rank.astype(np.int32))], names=["g1", "g2", "score", "item", "rank"])
+        else:
+            yield from _merge([_Run(g1[x:y], g2[x:y], score[x:y], item[x:y]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)], n)
 
-
-def _merge_buckets(n: int):
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-
-        def buckets():
-            nonlocal rest
-            for b in batches:
-                t = pa.Table.from_batches([b]) if rest is None or not rest.num_rows else pa.concat_tables([rest, pa.Table.from_batches([b])])
-                bucket = t.column(0).to_numpy()
-                last = int(np.searchsorted(bucket, bucket[-1])) if len(bucket) else 0  # the last bucket may go on
-                if last:
-                    yield t.slice(0, last)
-                rest = t.slice(last)
-            if rest is not None and rest.num_rows:
-                yield rest
-
-        for t in buckets():
-            bucket, run, _, g1, g2, score, item = (t.column(k).to_numpy() for k in range(7))
-            edges = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(bucket)]
-            for a, z in zip(edges[:-1], edges[1:], strict=True):
-                cuts = np.r_[a, a + np.flatnonzero(np.diff(run[a:z])) + 1, z]
-                if len(cuts) == 2:  # one run: it is the result
-                    new = np.r_[True, (g1[a + 1 : z] != g1[a : z - 1]) | (g2[a + 1 : z] != g2[a : z - 1])]
-                    starts = np.flatnonzero(new)
-                    rank = np.arange(z - a) - np.repeat(starts, np.diff(np.r_[starts, z - a])) + 1
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (g1[a:z], g2[a:z], score[a:z], item[a:z], rank.astype(np.int32))], names=["g1", "g2", "score", "item", "rank"])
-                else:
-                    yield _merge([_Run(g1[x:y], g2[x:y], score[x:y], item[x:y]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)], n)
+        held: list[pa.RecordBatch] = []
+        now = None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held)
+            held.clear()
+            if fan_in is None:
+                yield from merged(t)
+                return
+            at = 0
+            for b in merged(t):
+                rows = b.num_rows
+                own = [pa.array(np.full(rows, x)) for x in (np.int32(now[0]), np.int64(now[1]))]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.arange(at, at + rows)), *b.columns[:4]], names=_COLUMNS)
+                at += rows
+
+        for b in batches:
+            bucket, run = b.column(0).to_numpy(), b.column(1).to_numpy()
+            of = run // fan_in if fan_in else np.zeros(len(run), dtype=np.int64)
+            edges = np.r_[0, np.flatnonzero((np.diff(bucket) != 0) | (np.diff(of) != 0)) + 1, len(bucket)]
+            for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if x == y:
+                    continue
+                if held and now != (int(bucket[x]), int(of[x])):
+                    yield from done()
+                now = (int(bucket[x]), int(of[x]))
+                held.append(b.slice(x, y - x))
+        if held:
+            yield from done()
 
     return merge
 
 
-def top_n(df: DataFrame, group: tuple[str, str], item: str, score: str, n: int = 10, *, run_rows: int = 1_000_000, buckets: int = 4096) -> DataFrame:
+def top_n(df: DataFrame, group: tuple[str, str], item: str, score: str, n: int = 10, *, run_rows: int = 1_000_000, bucket_rows: int = 500_000, fan_in: int = 512) -> DataFrame:
     """``(g1, g2, item, score, rank)``: the up to n different items of each group with the highest score, ties by the smaller item.
 
     NULL and NaN are no scores and fall away, as do rows with a NULL in group or item; zero (also -0.0) is a score.  An item counts once
@@ -209,7 +236,15 @@ def top_n(df: DataFrame, group: tuple[str, str], item: str, score: str, n: int =
     """
     g1, g2, it, sc = (F.col(f"`{c}`") for c in (*group, item, score))
     rows = df.select(g1.cast("bigint").alias("g1"), g2.cast("bigint").alias("g2"), (sc.cast("double") + F.lit(0.0)).alias("score"), it.cast("bigint").alias("item"))
+    held = df.count()  # of a table of files this reads their footers only
+    buckets = max(1, -(-held // bucket_rows), min(df.sparkSession.sparkContext.defaultParallelism, -(-held // 20_000)))
     rows = rows.where("g1 IS NOT NULL AND g2 IS NOT NULL AND item IS NOT NULL AND score IS NOT NULL AND NOT isnan(score)")
     rows = rows.select(F.pmod(F.xxhash64("g1", "g2"), F.lit(buckets)).cast("int").alias("bucket"), "g1", "g2", "score", "item")
-    runs = rows.mapInArrow(_runs(n, run_rows), RUN)
-    return runs.repartition("bucket").sortWithinPartitions("bucket", "run", "at").mapInArrow(_merge_buckets(n), OUT)
+    # Runs are numbered by task and place in the task; a task has as many as its rows demand.
+    per_task = 1 << 20
+    most = max(1, rows.rdd.getNumPartitions()) * per_task
+    runs = rows.mapInArrow(_runs(n, run_rows, per_task), RUN)
+    while most > fan_in * per_task:
+        runs = runs.repartition(buckets, "bucket", F.floor(F.col("run") / fan_in)).sortWithinPartitions("bucket", "run", "at").mapInArrow(_merge_buckets(n, fan_in), RUN)
+        most = -(-most // fan_in)
+    return runs.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "run", "at").mapInArrow(_merge_buckets(n), OUT)

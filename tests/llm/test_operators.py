@@ -316,7 +316,7 @@ SCORES = [(1, k % 7, k % 11, float(k % 5)) for k in range(300)] + [
 ]
 
 
-@pytest.mark.parametrize("options", [{}, {"run_rows": 7, "buckets": 2}, {"run_rows": 1, "buckets": 1}])
+@pytest.mark.parametrize("options", [{}, {"run_rows": 7, "bucket_rows": 150}, {"run_rows": 1, "bucket_rows": 1000}, {"run_rows": 5, "fan_in": 3, "bucket_rows": 80}])
 @pytest.mark.parametrize("n", [1, 3, 10])
 def test_top_n(spark, n, options):
     kinds = "a int, b int, i bigint, s double, score string, item string, g1 int, bucket int"
