@@ -1,19 +1,19 @@
 """Duplicates hidden by formatting (problem 3): skip-and-fold rolling hashes with a two-pointer proof.
 
-The code units of the consistent form run through a lookup table that folds letters and digits to lower case and skips everything else,
-straight into polynomial hashes modulo two primes; the start of a word is part of its first symbol.  No canonical string is made.  A text
-has a hash of all its words in order; a field record (it holds one of ``; | : =``) also has one of its set of fields, where the rank within
+Texts run through a lookup table that folds letters and digits to lower case and skips everything else, straight into polynomial hashes modulo
+two primes; the start of a word is part of its first symbol.  Look-alike characters of a dirty text are mapped while it passes; neither that
+form nor any canonical string is kept.  A text has a hash of all its words in order; a field record (it holds one of ``; | : =``) also has one of its set of fields, where the rank within
 the field, not the field's place, is the power, and fields are added up.
 
-Rows whose hashes collide are compared with their group's first row by two pointers that skip what the table skips.  Rows that fail form a
-group of their own and are compared again, until none fails.  Texts that share words-in-order or fields belong together, and so do texts
+Equal strings, told by 128 bits, are one from the start, however many rows hold them.  Strings whose hashes collide are compared with their
+group's first one by two pointers that skip what the table skips.  Those that fail form a group of their own and are compared again, until none
+fails.  Texts that share words-in-order or fields belong together, and so do texts
 that a third one links.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -22,26 +22,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from termlode.llm.lookalikes import consistent_text
-from termlode.llm.words import records
+from termlode.llm.lookalikes import fold_lookalikes
+from termlode.llm.words import records, sized
 from termlode.plans.scratch import cut_lineage
 
 P1, P2 = np.uint64(2147483647), np.uint64(2147483629)
 BASE1, BASE2 = np.uint64(1_000_003), np.uint64(7_368_787)
 START, VALUE = np.uint64(1 << 21), np.uint64(1 << 22)
 SEPARATORS, JOINERS = ";|\r\n", ":="
-HASHED = "rec_id bigint, words bigint, size bigint, fields bigint"
+HASHED = "rec_id bigint, h1 bigint, h2 bigint, words bigint, size bigint, fields bigint"
 
 
-@lru_cache(maxsize=1)
-def fold_table() -> np.ndarray:
-    """For each code point its lower-case letter or digit, or 0 to skip it."""
-    table = np.zeros(0x110000, dtype=np.uint32)
-    for code in range(0x110000):
-        ch = chr(code)
-        if ch.isalnum():
-            table[code] = ord(ch.lower()[0])
-    return table
+_TABLE = np.zeros(0x110000, dtype=np.uint32)
+_FILLED = np.zeros(0x1100, dtype=bool)
+
+
+def fold_units(units: np.ndarray) -> np.ndarray:
+    """For each code point its lower-case letter or digit, or 0 to skip it.  The table is filled by the blocks that texts use."""
+    for block in np.flatnonzero(np.bincount(units >> 8, minlength=1)).tolist():
+        if not _FILLED[block]:
+            for code in range(block << 8, (block + 1) << 8):
+                ch = chr(code)
+                if ch.isalnum():
+                    _TABLE[code] = ord(ch.lower()[0])
+            _FILLED[block] = True
+    return _TABLE[units]
+
+
+def folded_text(text: str) -> list[int]:
+    return fold_units(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)).tolist()
 
 
 def _powers(n: int, base: np.uint64, prime: np.uint64) -> np.ndarray:
@@ -82,7 +91,7 @@ def hash_texts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(texts)
     units = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     text = np.repeat(np.arange(n), np.fromiter(map(len, texts), dtype=np.int64, count=n))
-    folded = fold_table()[units]
+    folded = fold_units(units)
     keep = folded > 0
     begins = np.ones(len(units), dtype=bool)
     begins[1:] = ~keep[:-1] | (text[1:] != text[:-1])
@@ -121,44 +130,46 @@ def hash_texts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _hash_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        words, size, fields = hash_texts(b.column(1).to_pylist())
+        words, size, fields = hash_texts([fold_lookalikes(x) for x in b.column(3).to_pylist()])
         some = size > 0
-        keys = b.column(0).to_numpy(zero_copy_only=False)[some]
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(words[some].view(np.int64)), pa.array(size[some]), pa.array(fields[some].view(np.int64))], names=["rec_id", "words", "size", "fields"])
+        keys = [pa.array(b.column(k).to_numpy(zero_copy_only=False)[some], pa.int64()) for k in range(3)]
+        yield pa.RecordBatch.from_arrays([*keys, pa.array(words[some].view(np.int64)), pa.array(size[some]), pa.array(fields[some].view(np.int64))], names=[c.split()[0] for c in HASHED.split(", ")])
 
 
 def same_words(a: str, b: str) -> bool:
     """Two-pointer comparison: whether both hold the same words in the same order, skipping all else."""
     if a == b:
         return True
-    table = fold_table()
+    x, y = folded_text(a), folded_text(b)
     i = j = 0
-    n, m = len(a), len(b)
-    inside_a = inside_b = False
+    n, m = len(x), len(y)
+    inside = False
     while True:
         gap_a = gap_b = False
-        while i < n and not table[ord(a[i])]:
+        while i < n and not x[i]:
             gap_a, i = True, i + 1
-        while j < m and not table[ord(b[j])]:
+        while j < m and not y[j]:
             gap_b, j = True, j + 1
         if i == n or j == m:
             return i == n and j == m
-        if (gap_a or not inside_a) != (gap_b or not inside_b) or table[ord(a[i])] != table[ord(b[j])]:
+        if (inside and gap_a != gap_b) or x[i] != y[j]:
             return False
-        inside_a = inside_b = True
+        inside = True
         i, j = i + 1, j + 1
 
 
-def _spans(text: str) -> list[tuple[str, str]]:
-    """Label and value of each field that has a word, as slices of the text."""
-    table = fold_table()
-    out, start = [], 0
+def _spans(text: str) -> dict[tuple[int, int], list[tuple[str, str]]]:
+    """Label and value of each field that has a word, as slices of the text, by the sums of their folded letters."""
+    out: dict[tuple[int, int], list[tuple[str, str]]] = {}
+    start = 0
     for k in range(len(text) + 1):
         if k == len(text) or text[k] in SEPARATORS:
             part = text[start:k]
             at = min((p for p in map(part.find, JOINERS) if p >= 0), default=len(part))
-            if any(table[ord(c)] for c in part):
-                out.append((part[:at], part[at + 1 :]))
+            label, value = part[:at], part[at + 1 :]
+            key = sum(folded_text(label)), sum(folded_text(value))
+            if any(key):
+                out.setdefault(key, []).append((label, value))
             start = k + 1
     return out
 
@@ -173,33 +184,33 @@ def same_fields(a: str, b: str) -> bool:
         return True
     x, y = _spans(a), _spans(b)
 
-    def held(field, others) -> bool:
-        return any(same_words(field[0], o[0]) and same_words(field[1], o[1]) for o in others)
+    def held(own: list, others: list) -> bool:
+        return all(any(same_words(f[0], o[0]) and same_words(f[1], o[1]) for o in others) for f in own)
 
-    return all(held(f, y) for f in x) and all(held(f, x) for f in y)
+    return x.keys() == y.keys() and all(held(x[k], y[k]) and held(y[k], x[k]) for k in x)
 
 
 @F.pandas_udf(BooleanType())
 def _prove_words(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([same_words(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
+    return pd.Series([same_words(fold_lookalikes(x), fold_lookalikes(y)) for x, y in zip(a, b, strict=True)], dtype=bool)
 
 
 @F.pandas_udf(BooleanType())
 def _prove_fields(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([same_fields(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
+    return pd.Series([same_fields(fold_lookalikes(x), fold_lookalikes(y)) for x, y in zip(a, b, strict=True)], dtype=bool)
 
 
-def _proved(hashed: DataFrame, forms: DataFrame, keys: list[str], prove, name: str) -> DataFrame:
-    """``(rec_id, node)``: rows of hash groups of two or more, with the least key of the proved group; rows alone give none."""
-    spark = hashed.sparkSession
-    open_rows = hashed.select("rec_id", *keys, F.lit(0).alias("round"))
+def _proved(strings: DataFrame, texts: DataFrame, keys: list[str], prove, name: str) -> DataFrame:
+    """``(rec_id, node)``: strings of hash groups of two or more, with the least key of the proved group; strings alone give none."""
+    open_rows = strings.select("rec_id", *keys, F.lit(0).alias("round"))
     done: list[DataFrame] = []
     while True:
         leads = open_rows.groupBy(*keys, "round").agg(F.min("rec_id").alias("node"), F.count("*").alias("n")).where("n > 1").drop("n")
-        members = open_rows.join(leads, [*keys, "round"]).join(forms, "rec_id")
-        lead_forms = leads.select(F.col("node").alias("rec_id")).join(forms, "rec_id").select(F.col("rec_id").alias("node"), F.col("form").alias("lead_form"))
-        # Only texts written differently need the proof; the lead's form meets each of its members, never members each other.
-        shown = members.join(lead_forms, "node").select("rec_id", *keys, "round", "node", (F.coalesce(prove("form", "lead_form"), F.lit(False))).alias("same"))
+        members = cut_lineage(open_rows.join(leads, [*keys, "round"]).select("rec_id", *keys, "round", "node"), f"{name}_open")
+        shown_texts = texts.join(sized(members.select("rec_id")), "rec_id", "left_semi")
+        lead_texts = shown_texts.select(F.col("rec_id").alias("node"), F.col("text").alias("lead_text"))
+        # The lead's text meets each of its members, never members each other.
+        shown = members.join(shown_texts, "rec_id").join(lead_texts, "node").select("rec_id", *keys, "round", "node", (F.coalesce(prove("text", "lead_text"), F.lit(False))).alias("same"))
         shown = cut_lineage(shown, name)
         done.append(shown.where("same").select("rec_id", "node"))
         open_rows = shown.where("NOT same").select("rec_id", *keys, (F.col("round") + 1).alias("round"))
@@ -208,20 +219,23 @@ def _proved(hashed: DataFrame, forms: DataFrame, keys: list[str], prove, name: s
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out if done else spark.createDataFrame([], "rec_id bigint, node bigint")
+    return out
 
 
 def formatting_classes(df: DataFrame, key: str, text: str) -> DataFrame:
     """``(rec_id, keep_id)`` for every record that has a duplicate: ``keep_id`` is the least key of its class.
 
     Repeated rows of a key count once; NULL, empty and wordless texts are never duplicates; NULL keys give no row.  A class may be as
-    large as it likes: members meet only the class's first row.
+    large as it likes: its strings meet only the class's first one, and copies of a string meet nothing.
     """
-    forms = cut_lineage(records(df, key, text).where("text IS NOT NULL").select("rec_id", consistent_text(F.col("text")).alias("form")), "forms")
-    hashed = cut_lineage(forms.select("rec_id", "form").mapInArrow(_hash_batches, HASHED), "hashes")
-    by_words = _proved(hashed, forms, ["words", "size"], _prove_words, "words")
-    by_fields = _proved(hashed.where("fields != 0"), forms, ["fields"], _prove_fields, "fields")
-    # Two kinds of links: a record's words node and its fields node.  Least labels run back and forth until nothing changes.
+    texts = records(df, key, text).where("text IS NOT NULL")
+    hashed = texts.select("rec_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), "text").mapInArrow(_hash_batches, HASHED)
+    hashed = cut_lineage(hashed, "hashes")
+    strings = hashed.groupBy("h1", "h2").agg(F.min("rec_id").alias("rec_id"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("words", "size", "fields")])
+    strings = cut_lineage(strings, "strings")
+    by_words = _proved(strings, texts, ["words", "size"], _prove_words, "words")
+    by_fields = _proved(strings.where("fields != 0"), texts, ["fields"], _prove_fields, "fields")
+    # Two kinds of links: a string's words node and its fields node.  Least labels run back and forth until nothing changes.
     links = cut_lineage(by_words.select("rec_id", F.col("node").alias("w")).join(by_fields.select("rec_id", F.col("node").alias("f")), "rec_id", "full"), "links")
     labels = links.select("rec_id", "w", "f", F.least("w", "f").alias("label"))
     both = links.where("w IS NOT NULL AND f IS NOT NULL AND w != f").limit(1).count()
@@ -232,7 +246,9 @@ def formatting_classes(df: DataFrame, key: str, text: str) -> DataFrame:
         moved = cut_lineage(moved, "labels")
         labels = moved.drop("moved")
         both = moved.where("moved").limit(1).count()
-    return labels.select("rec_id", F.col("label").alias("keep_id"))
+    kept = strings.select("rec_id", "h1", "h2", "copies").join(labels.select("rec_id", "label"), "rec_id", "left").where("copies > 1 OR label IS NOT NULL")
+    kept = cut_lineage(kept.select("h1", "h2", F.coalesce("label", "rec_id").alias("keep_id")), "kept")
+    return hashed.select("rec_id", "h1", "h2").join(sized(kept), ["h1", "h2"]).select("rec_id", "keep_id")
 
 
 def collapse_formatting(df: DataFrame, key: str, text: str) -> DataFrame:

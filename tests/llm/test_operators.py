@@ -186,8 +186,8 @@ def test_colliding_hashes_are_told_apart(spark, monkeypatch):
         import pyarrow as pa
 
         for b in batches:
-            words, size, fields = plain(b.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words.astype(np.int64) * 0), pa.array(size * 0), pa.array((fields != 0).astype(np.int64))], names=["rec_id", "words", "size", "fields"])
+            words, size, fields = plain(b.column(3).to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(words.astype(np.int64) * 0), pa.array(size * 0), pa.array((fields != 0).astype(np.int64))], names=["rec_id", "h1", "h2", "words", "size", "fields"])
 
     monkeypatch.setattr(formatting, "_hash_batches", clumsy)
     got = {r["rec_id"]: r["keep_id"] for r in formatting.formatting_classes(frame(spark, rows), "id", "t").collect()}
