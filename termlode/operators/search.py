@@ -114,19 +114,21 @@ def _best_of_block(terms, starts, weights, doc, code, u, k: int):
             continue
         mine, v, size = mine[order], weights[starts[q] : starts[q + 1]][order], size[order]
         left = np.cumsum((v * peak[mine])[::-1])[::-1]
-        seen = np.zeros(0, dtype=np.int64)
-        closed = False
+        seen = None  # the documents that can still be among the best, once no other can
         for j, t in enumerate(mine):
             x, y = edge[t], edge[t + 1]
-            if not closed and len(seen) >= k and size[j] > 4 * len(seen):
-                closed = left[j] + 2e-6 < np.partition(total[seen], len(seen) - k)[len(seen) - k]
-            if closed:
+            if seen is None and j and size[j] > max(k, 500):
+                held = np.flatnonzero(total)
+                if len(held) >= k and left[j] + 2e-6 < np.partition(total[held], len(held) - k)[len(held) - k]:
+                    seen = held
+            if seen is None:
+                total[at[x:y]] += v[j] * u[x:y]
+            else:
                 place = np.minimum(np.searchsorted(at[x:y], seen), y - x - 1) + x
                 hit = at[place] == seen
                 total[seen[hit]] += v[j] * u[place[hit]]
-            else:
-                total[at[x:y]] += v[j] * u[x:y]
-                seen = at[x:y] if not len(seen) else np.union1d(seen, at[x:y])
+        if seen is None:
+            seen = np.flatnonzero(total)
         score = total[seen]
         total[seen] = 0
         near = np.round(score, 6)
