@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from termlode.llm import sql
 from termlode.llm.distinctive import TermWeights, top_terms
 from termlode.llm.formatting import collapse_formatting, formatting_classes
 from termlode.llm.frequencies import term_frequencies
@@ -139,7 +140,7 @@ _BEST = """
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    return sql.oracle_sql() | {
         "p6_found": f"SELECT tbl, query_id, doc_id FROM ({_BEST})",
         "p6_ranked": f"SELECT tbl, query_id, CAST(rank AS INTEGER) AS rank, doc_id, round(similarity, 6) AS similarity FROM ({_BEST})",
         "p7_found": "SELECT container_kind, doc_id FROM documents CROSS JOIN containers WHERE octet_length(encode(text)) + 1 > capacity",

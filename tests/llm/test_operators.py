@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from termlode.llm import formatting, frequencies, leakage, lookalikes, neardup, packing, queries, residue, topn, words
+from termlode.llm import formatting, frequencies, leakage, lookalikes, neardup, packing, queries, residue, sql, topn, words
 from termlode.llm.distinctive import TermWeights, enrichment, log_factorial, top_terms
 from tests.llm import brute
 
@@ -69,6 +69,13 @@ def test_the_form():
         assert fold(fold(text)) == form
 
 
+def test_the_form_in_sql():
+    texts = [t for _, t in TEXTS if t] + ["Тһе сӏосk ѐё", "ΓεoδΌ x", "a‐b －c", "cafе́ naïve", "ﬂow ﬁn", "１２ａｂ", "Տուն ձ", "Ａｂ：　x"]
+    with duckdb.connect() as db:
+        for text in texts:
+            assert db.execute(f"SELECT {sql.form('x')}, {sql.words(sql.form('x'))} FROM (SELECT ? AS x)", [text]).fetchone() == (lookalikes.fold_lookalikes(text), brute.words(text))
+
+
 @given(st.text(max_size=40))
 def test_the_form_is_stable_and_ignores_composition(text):
     form = lookalikes.fold_lookalikes(text)
@@ -577,9 +584,9 @@ def test_query_runs(spark, small, name):
 @pytest.mark.parametrize("name", queries.oracle_sql())
 def test_query_sql(spark, small, name):
     with duckdb.connect() as db:
-        for t in ("docsim", "documents", "containers"):
+        for t in ("docsim", "documents", "containers", "eval_items", "test_tbl_3", "queries"):
             db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
         got = db.execute(queries.oracle_sql()[name])
         names, rows = [c[0] for c in got.description], got.fetchall()
     df = queries.queries()[name](spark, small).select(*names)
-    assert sorted(tuple(r) for r in df.collect()) == sorted(rows)
+    assert sorted((tuple(r) for r in df.collect()), key=repr) == sorted(rows, key=repr)
