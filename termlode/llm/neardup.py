@@ -178,7 +178,7 @@ def shared_bits(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     count = np.bitwise_count(x & y)
     while count.shape[1] > 1:  # a power of two
         count = count[:, ::2].astype(np.uint16) + count[:, 1::2]
-    return count[:, 0].astype(np.int64)
+    return count[:, 0].astype(np.int32)
 
 
 def needed(n_a, n_b, threshold: float):
@@ -202,10 +202,16 @@ class _Level:
         most = lambda x: np.maximum.reduceat(x, first)
         return _Level(self.tree[first], np.bitwise_or.reduceat(self.bits, first, axis=0), np.minimum.reduceat(self.least, first), most(self.most), most(self.left), most(self.extra), first, np.r_[first[1:], n])
 
-    def possible(self, a, b, threshold: float):
-        """Positions of the pairs whose greatest possible overlap reaches what their least sizes demand."""
-        need = needed(self.least[a], self.least[b], threshold)
-        fits = np.flatnonzero((self.most[a] >= threshold * self.least[b] - 1e-9) & (self.most[b] >= threshold * self.least[a] - 1e-9) & (np.minimum(self.left[a], self.left[b]) >= need))
+    def possible(self, a, b, threshold: float, need_of: np.ndarray):
+        """Positions of the pairs whose greatest possible overlap reaches what their least sizes demand; ``need_of``: by sum of sizes.
+
+        For two sets the words left say all that their sizes say, as a set too small for another can't have enough left.
+        """
+        need = need_of[self.least[a] + self.least[b]]
+        fits = np.minimum(self.left[a], self.left[b]) >= need
+        if self.first is not None:
+            fits &= (self.most[a] >= threshold * self.least[b] - 1e-9) & (self.most[b] >= threshold * self.least[a] - 1e-9)
+        fits = np.flatnonzero(fits)
         a, b = a[fits], b[fits]
         return fits[shared_bits(self.bits[a], self.bits[b]) + np.minimum(self.extra[a], self.extra[b]) >= need[fits]]
 
@@ -216,8 +222,9 @@ def dual_traversal(bucket, side, n, left, bits, threshold: float, *, frontier: i
     At most about ``frontier`` node pairs are held at a time, whatever the trees' sizes.  ``tested`` gets (height, tested, kept) of each step.
     """
     tree = np.cumsum(np.r_[True, (bucket[1:] != bucket[:-1]) | (side[1:] != side[:-1])]) - 1
-    n, left = n.astype(np.int64), left.astype(np.int64)
-    levels = [_Level(tree, bits, n, n, left, left - np.bitwise_count(bits).sum(axis=1, dtype=np.int64), None, None)]
+    n, left = n.astype(np.int32), left.astype(np.int32)
+    need_of = needed(np.arange(2 * int(n.max(initial=0)) + 1), 0, threshold).astype(np.int32)
+    levels = [_Level(tree, bits, n, n, left, left - np.bitwise_count(bits).sum(axis=1, dtype=np.int32), None, None)]
     while len(levels[-1].tree) > tree[-1] + 1 or len(levels) == 1:
         levels.append(levels[-1].above())
     top = levels[-1]
@@ -243,7 +250,7 @@ def dual_traversal(bucket, side, n, left, bits, threshold: float, *, frontier: i
         same = np.repeat(a == b, each)
         ok = ~same | (ca <= cb if height > 1 else ca < cb)
         ca, cb = ca[ok], cb[ok]
-        keep = below.possible(ca, cb, threshold)
+        keep = below.possible(ca, cb, threshold, need_of)
         if tested is not None:
             tested.append((height - 1, len(ca), len(keep)))
         if height == 1:
