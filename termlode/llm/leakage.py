@@ -329,7 +329,14 @@ def longest_common_subsequences(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return last[:, -1]
 
 
+def _bit(codes: np.ndarray) -> np.ndarray:
+    """One of 64 bits for each word."""
+    return (codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(58)
+
+
 def _search_paraphrases(model, cosine: float, share: float):
+    one_bit = np.uint64(1)
+
     def one(codes, ends, table, width, flat, item_start, owner, unit, cells):
         """Documents, items, cosines and shares of the passages of one width."""
         half, size = width // 2, np.diff(ends)
@@ -345,14 +352,19 @@ def _search_paraphrases(model, cosine: float, share: float):
         for k in range(0, len(starts), 10_000):
             s, d, n = starts[k : k + 10_000], doc[k : k + 10_000], length[k : k + 10_000]
             ww, ii, near = _near(_latent(table, codes, s, n), unit, cells, cosine)
+            place = s[:, None] + np.arange(-half, width + half)
+            inside = (place >= ends[d][:, None]) & (place < ends[d + 1][:, None])
+            span = np.where(inside, codes[np.clip(place, 0, len(codes) - 1)], -1)
+            # A common subsequence has no more words than the item's passage has in the span; their bits bound that from above.
+            held = np.bitwise_or.reduce(np.where(span >= 0, one_bit << _bit(span), 0).astype(np.uint64), axis=1)
             for j in range(0, len(ww), 100_000):
-                w, i = ww[j : j + 100_000], ii[j : j + 100_000]
-                place = s[w][:, None] + np.arange(-half, width + half)
-                inside = (place >= ends[d[w]][:, None]) & (place < ends[d[w] + 1][:, None])
-                span = np.where(inside, codes[np.clip(place, 0, len(codes) - 1)], -1)
-                common = longest_common_subsequences(span, flat[item_start[i][:, None] + np.arange(width)]) / width
+                w, i, c = ww[j : j + 100_000], ii[j : j + 100_000], near[j : j + 100_000]
+                wanted = flat[item_start[i][:, None] + np.arange(width)]
+                able = ((held[w][:, None] >> _bit(wanted)) & one_bit).sum(axis=1) >= share * width
+                w, i, c = w[able], i[able], c[able]
+                common = longest_common_subsequences(span[w], wanted[able]) / width
                 good = common >= share
-                yield d[w[good]], owner[i[good]], near[j : j + 100_000][good], common[good]
+                yield d[w[good]], owner[i[good]], c[good], common[good]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, ids, answers, sets = model.value
