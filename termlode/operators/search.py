@@ -94,51 +94,116 @@ def _zeros(model: Model, queries: DataFrame, k: int) -> DataFrame:
     return queries.select("query_id").distinct().join(F.broadcast(least)).select("query_id", "doc_id")
 
 
-def _best_of_block(terms, starts, weights, doc, code, u, k: int):
-    """Yields (query, documents, scores): the up to k best documents of a block for each query, by score rounded to 6 places, then by id.
-
-    ``doc``, ``code``, ``u``: the block's postings in order of code and document number.  The rarest term comes first.  As soon as the terms
-    that are left can't lift a document past the k-th best, they are looked up for documents seen already and read no further.
-    """
-    ids, at = doc
-    edge = np.searchsorted(code, np.arange(int(terms.max()) + 2)) if len(terms) else np.zeros(1, dtype=np.int64)
-    peak = np.zeros(len(edge))
-    held = np.flatnonzero(np.diff(edge))
-    peak[held] = np.maximum.reduceat(u, edge[held]) if len(held) else 0
-    total = np.zeros(len(ids))
-    for q in range(len(starts) - 1):
-        mine = terms[starts[q] : starts[q + 1]]
-        size = edge[mine + 1] - edge[mine]
-        order = np.argsort(size, kind="stable")[np.count_nonzero(size == 0) :]
-        if not len(order):
-            continue
-        mine, v, size = mine[order], weights[starts[q] : starts[q + 1]][order], size[order]
-        left = np.cumsum((v * peak[mine])[::-1])[::-1]
-        seen = None  # the documents that can still be among the best, once no other can
-        for j, t in enumerate(mine):
-            x, y = edge[t], edge[t + 1]
-            if seen is None and j and size[j] > max(k, 500):
-                held = np.flatnonzero(total)
-                if len(held) >= k and left[j] + 2e-6 < np.partition(total[held], len(held) - k)[len(held) - k]:
-                    seen = held
-            if seen is None:
-                total[at[x:y]] += v[j] * u[x:y]
+#: A block's table of weights by term and document has at most so many cells; terms that don't fit are added up from their lists.
+_CELLS = 16_000_000
+#: More than rounding to 6 places and the order of additions can move a score.
+_SLACK = 2e-6
+
+
+class _Block:
+    """Postings of a block of documents: by term, by term with the greatest weight first, and a table for the costliest terms."""
+
+    def __init__(self, ids, at, code, u, uses) -> None:
+        """``ids``: documents in order; ``at``, ``code``, ``u``: postings in order of code and place of the document; ``uses``: queries by code."""
+        self.ids, self.at, self.u = ids, at, u
+        self.edge = np.searchsorted(code, np.arange(len(uses) + 1))
+        size = np.diff(self.edge)
+        held = np.flatnonzero(size)
+        self.peak = np.zeros(len(uses))
+        self.peak[held] = np.maximum.reduceat(u, self.edge[held]) if len(held) else 0
+        cost = size * uses
+        rows = np.argsort(-cost, kind="stable")[: _CELLS // max(1, len(ids))]
+        rows = rows[(size[rows] > 256) & (cost[rows] > 0)]
+        self.row = np.full(len(uses), -1)
+        self.row[rows] = np.arange(len(rows))
+        self.table = np.zeros((len(rows), len(ids)))
+        self.lists = []  # by row: documents and negative weights, greatest weight first
+        for row, t in enumerate(rows):
+            at, u = self.at[self.edge[t] : self.edge[t + 1]], self.u[self.edge[t] : self.edge[t + 1]]
+            self.table[row, at] = u
+            order = np.argsort(-u, kind="stable")
+            self.lists.append((at[order], -u[order]))
+        self.total = np.zeros(len(ids))
+
+    def _candidates(self, mine, v, k: int, least: float):
+        """Documents and their scores: all that the ``k`` best by rounded score and id can be, as far as they reach ``least``.
+
+        Terms outside the table are added up.  A document with none of them that is among the best must exceed, in one term of the table at
+        least, that term's share of the k-th best score so far; so only the heads of the lists down to those shares are looked at.
+        """
+        listed, tabled, total, parts = [], [], self.total, []
+        for t, x, r in zip(mine.tolist(), v.tolist(), self.row[mine].tolist(), strict=True):
+            if r < 0:
+                listed.append((t, x))
             else:
-                place = np.minimum(np.searchsorted(at[x:y], seen), y - x - 1) + x
-                hit = at[place] == seen
-                total[seen[hit]] += v[j] * u[place[hit]]
-        if seen is None:
-            seen = np.flatnonzero(total)
-        score = total[seen]
-        total[seen] = 0
-        near = np.round(score, 6)
-        if len(seen) > k:
-            keep = near >= np.partition(near, len(near) - k)[len(near) - k]
-            seen, score, near = seen[keep], score[keep], near[keep]
-        first = np.lexsort((ids[seen], -near))[:k]
-        first = first[near[first] > 0]
-        if len(first):
-            yield q, ids[seen[first]], score[first]
+                tabled.append((x, self.table[r], *self.lists[r]))
+        for t, x in listed:
+            i, j = self.edge[t], self.edge[t + 1]
+            at = self.at[i:j]
+            total[at] += x * self.u[i:j]
+            parts.append(at)
+        touched = parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts)) if parts else self.at[:0]
+
+        def scores(docs):
+            s = total.take(docs) if listed else np.zeros(len(docs))
+            for x, row, _, _ in tabled:
+                s += x * row.take(docs)
+            return s
+
+        seen, score = touched, scores(touched)
+        read, step = [0] * len(tabled), 512 if least > 0 else max(2 * k, 48)
+        whole = sum(x * x for x, _, _, _ in tabled)
+        while True:
+            if len(score) >= k:
+                least = max(least, np.partition(score, len(score) - k)[len(score) - k] - _SLACK)
+            if least > 0:
+                fits = score >= least
+                seen, score = seen[fits], score[fits]
+            need = [int(u.searchsorted(-(least * x / whole), "right")) if least > 0 else len(u) for x, _, _, u in tabled]
+            want = [min(n, step) for n in need]
+            more = [at[a:b] for (_, _, at, _), a, b in zip(tabled, read, want, strict=True) if b > a]
+            if not more:
+                break
+            docs = more[0] if len(more) == 1 else np.concatenate(more)
+            s = scores(docs)
+            if least > 0:
+                fits = s >= least
+                docs, s = docs[fits], s[fits]
+            if len(docs):
+                seen, score = np.concatenate([seen, docs]), np.concatenate([score, s])
+                order = np.argsort(seen)
+                seen, score = seen[order], score[order]
+                first = np.r_[True, seen[1:] != seen[:-1]]
+                seen, score = seen[first], score[first]
+            read, step = [max(a, b) for a, b in zip(read, want, strict=True)], 8 * step
+        total[touched] = 0
+        return seen, score
+
+    def best(self, terms, starts, weights, k: int, floor=None):
+        """Yields (query, documents, scores): the up to k best documents for each query, by score rounded to 6 places, then by id.
+
+        ``floor``: by query, the score that k documents elsewhere reach; documents below it are left out.
+        """
+        floor = np.zeros(len(starts) - 1) if floor is None else floor
+        bound = np.add.reduceat(weights * self.peak[terms], starts[:-1]) if len(terms) else floor
+        for q in np.flatnonzero((bound > 0) & (bound >= floor - _SLACK)).tolist():
+            mine, v = terms[starts[q] : starts[q + 1]], weights[starts[q] : starts[q + 1]]
+            held = self.peak[mine] > 0
+            if not held.all():
+                mine, v = mine[held], v[held]
+            seen, score = self._candidates(mine, v, k, floor[q] - _SLACK)
+            near = np.round(score, 6)
+            first = np.lexsort((seen, -near))[:k]
+            first = first[near[first] > 0]
+            if len(first):
+                yield q, self.ids[seen[first]], score[first]
+
+
+def _best_of_block(terms, starts, weights, doc, code, u, k: int, floor=None):
+    """:meth:`_Block.best`; ``doc``, ``code``, ``u``: the block's postings in order of code and document number."""
+    ids, at = doc
+    uses = np.bincount(terms, minlength=int(code[-1]) + 1 if len(code) else 0)
+    yield from _Block(ids, at, code, u, uses).best(terms, starts, weights, k, floor)
 
 
 def _score_blocks(asked, k: int):
@@ -153,9 +218,10 @@ def _score_blocks(asked, k: int):
             order = np.argsort(doc[is_norm])
             ids, norm = doc[is_norm][order], w[is_norm][order]
             doc, code, w = doc[~is_norm], code[~is_norm], w[~is_norm]
-            at = np.searchsorted(ids, doc)
+            at = np.searchsorted(ids, doc).astype(np.int32)
             order = np.lexsort((at, code))
             at, code, w = at[order], code[order], w[order]
+            del t, is_norm, doc, order
             got = list(_best_of_block(terms, starts, weights, (ids, at), code, w / norm[at], k))
             if got:
                 n = [len(d) for _, d, _ in got]
@@ -181,23 +247,27 @@ def _score_blocks(asked, k: int):
     return run
 
 
-def search_batch(model: Model, queries: DataFrame, k: int = 10, *, block_docs: int = 25_000, chunk_terms: int = 500_000) -> DataFrame:
+def search_batch(model: Model, queries: DataFrame, k: int = 10, *, block_docs: int = 200_000, chunk_terms: int = 500_000) -> DataFrame:
     """The rows of :func:`search_many` for a query set of any size.
 
-    What is shuffled are the postings of asked terms, once for every ``chunk_terms`` terms of queries, and at most ``k`` rows for each query
-    and block of about ``block_docs`` documents.  A chunk of the query set is broadcast; its size is bounded by ``chunk_terms``.
+    Queries of equal vectors are ranked once.  What is shuffled are the postings of asked terms, once for every ``chunk_terms`` terms of such
+    classes of queries, and at most ``k`` rows for each class and block of about ``block_docs`` documents; a block is a task.  A chunk of the
+    query set is broadcast; its size is bounded by ``chunk_terms``.
     """
     spark = model.docs.sparkSession
     if k <= 0:
         return spark.createDataFrame([], "query_id long, rank int, doc_id long, similarity double")
-    vectors = cut_lineage(query_vectors(model, queries).where("w > 0"), "vectors")
-    n_docs, n_terms = model.docs.count(), vectors.count()
+    vectors = query_vectors(model, queries).where("w > 0").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term", "w"))).alias("v"))
+    classes = queries.select("query_id").distinct().join(vectors, "query_id", "left").withColumn("first", F.min("query_id").over(Window.partitionBy("v")))
+    classes = cut_lineage(classes, "classes")
+    firsts = classes.where("query_id <=> first")
+    n_docs, n_terms = model.docs.count(), firsts.agg(F.sum(F.array_size("v"))).first()[0] or 0
     blocks = max(-(-n_docs // block_docs), min(spark.sparkContext.defaultParallelism, -(-n_docs // 2_000)), 1)
     chunks = max(1, -(-n_terms // chunk_terms))
     norms = model.doc_norms.where("norm > 0").select("doc_id", F.lit(-1).cast("bigint").alias("code"), F.col("norm").alias("w"))
-    found = _zeros(model, queries, k).select("query_id", "doc_id", F.lit(0.0).alias("similarity"))
+    found = _zeros(model, firsts, k).select("query_id", "doc_id", F.lit(0.0).alias("similarity"))
     for chunk in range(chunks):
-        part = vectors.where(F.pmod(F.xxhash64("query_id"), F.lit(chunks)) == chunk).select("query_id", "term", "w").toPandas()
+        part = firsts.where(F.pmod(F.xxhash64("query_id"), F.lit(chunks)) == chunk).select("query_id", F.inline("v")).toPandas()
         if not len(part):
             continue
         names, code = np.unique(part["term"].to_numpy(dtype=object), return_inverse=True)
@@ -208,11 +278,12 @@ def search_batch(model: Model, queries: DataFrame, k: int = 10, *, block_docs: i
         asked = spark.sparkContext.broadcast((query[start], np.r_[start, len(query)], code, w / np.repeat(norm, np.diff(np.r_[start, len(query)]))))
         coded = spark.createDataFrame(list(zip(names.tolist(), range(len(names)), strict=True)), "term string, code bigint")
         rows = model.postings.where("w > 0").join(F.broadcast(coded), "term").select("doc_id", "code", "w").unionByName(norms)  # at most chunk_terms terms
-        rows = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"), "*").repartition("block").sortWithinPartitions("block")
+        rows = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"), "*").repartitionById(blocks, "block").sortWithinPartitions("block")
         found = found.unionByName(rows.mapInArrow(_score_blocks(asked, k), "query_id bigint, doc_id bigint, similarity double").withColumn("similarity", F.round("similarity", 6)))
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "doc_id")
     best = found.repartition("query_id").groupBy("query_id", "doc_id").agg(F.max("similarity").alias("similarity"))
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "similarity")
+    best = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumnRenamed("query_id", "first")
+    return classes.select("query_id", F.col("first").alias("of")).join(best, F.col("of").eqNullSafe(F.col("first"))).select("query_id", "rank", "doc_id", "similarity")
 
 
 def with_text(model: Model, ranked: DataFrame, length: int = 100) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -165,6 +166,51 @@ def test_the_end_of_a_common_term_is_not_read():
         assert (q, docs.tolist()) == (0, [50, 60]) and scores.tolist() == pytest.approx([0.455, 0.405])
 
 
+def test_a_block_gives_the_best_of_all_scores():
+    rnd = np.random.default_rng(3)
+    for n_docs, n_terms, n_post in ((3000, 12, 20_000), (3000, 400, 9_000), (40, 9, 200), (2000, 3, 5_000)):
+        key = np.unique(rnd.integers(0, n_terms * n_docs, n_post))
+        code, at = key // n_docs, key % n_docs
+        u = rnd.choice([0.05, 0.1, 0.1000001, 0.25, 0.6], len(key))
+        dense = np.zeros((n_terms + 2, n_docs))
+        dense[code, at] = u
+        mine = [rnd.choice(n_terms + 2, rnd.integers(1, 6), replace=False) for _ in range(60)]
+        starts, terms = np.r_[0, np.cumsum([len(m) for m in mine])], np.concatenate(mine)
+        weights = rnd.uniform(0.1, 0.6, len(terms))
+        for k in (1, 10, 5000):
+            got = {q: (d.tolist(), np.round(s, 6).tolist()) for q, d, s in search._best_of_block(terms, starts, weights, (np.arange(n_docs) * 3, at), code, u, k)}
+            for q, m in enumerate(mine):
+                score = np.round(weights[starts[q] : starts[q + 1]] @ dense[m], 6)
+                best = np.lexsort((np.arange(n_docs), -score))[:k]
+                best = best[score[best] > 0]
+                assert got.get(q, ([], [])) == ((best * 3).tolist(), score[best].tolist())
+
+
+def test_common_terms_cost_less_than_their_postings():
+    # Three terms, each in half of the documents: adding up their postings is what a query must not cost.
+    rnd = np.random.default_rng(5)
+    n = 300_000
+    lists = [np.flatnonzero(rnd.random(n) < 0.5) for _ in range(3)]
+    at, code = np.concatenate(lists), np.repeat(np.arange(3), [len(x) for x in lists])
+    u = 1 / rnd.uniform(8, 40, n)[at]
+    terms, starts, weights = np.tile(np.arange(3), 100), np.arange(101) * 3, np.full(300, 3**-0.5)
+    total, began = np.zeros(n), time.process_time()
+    for _ in range(100):
+        total[at] += weights[0] * u
+    added, began = time.process_time() - began, time.process_time()
+    assert len(list(search._best_of_block(terms, starts, weights, (np.arange(n), at), code, u, 10))) == 100
+    assert time.process_time() - began < added / 2
+
+
+def test_equal_queries_are_ranked_once(chess, monkeypatch):
+    asked, ranked = [], search._score_blocks
+    monkeypatch.setattr(search, "_score_blocks", lambda held, k: asked.append(held.value) or ranked(held, k))
+    rows = search.search_batch(chess, search.query_frame(chess, {1: "pawn king", 2: "king, pawn!", 3: "unheard", 4: "", 5: "king", 6: "King pawn"}), 3).collect()
+    assert [len(query) for query, *_ in asked] == [2]
+    by = {q: sorted((r["rank"], r["doc_id"], r["similarity"]) for r in rows if r["query_id"] == q) for q in range(1, 7)}
+    assert by[1] == by[2] == by[6] != by[5] and by[3] == by[4] == [(1, 0, 0.0), (2, 1, 0.0), (3, 2, 0.0)]
+
+
 def test_store_tells_selections_apart(spark, tmp_path):
     source = f"file://{tmp_path}/docs"
     corpus(spark, CHESS).write.parquet(source)
