@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termlode.functions import text as T
-from termlode.functions.stem import stem_column
+from termlode.functions.stem import stem_tokens
 from termlode.functions.stopwords import SEPARATORS, as_set
 from termlode.plans.scratch import cut_lineage
 
@@ -57,13 +57,10 @@ def picked(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def count_terms(rows: DataFrame, key: str, options: TextOptions, is_query: bool = False) -> DataFrame:
-    """``(key, term, tf)`` of ``rows(key, text)``; filters run before stemming, and only distinct terms are stemmed."""
-    tokens = rows.select(key, F.explode(options.tokens(F.col("text"), is_query)).alias("term"))
-    counts = tokens.groupBy(key, "term").agg(F.count("*").alias("tf"))
-    if not options.stem:
-        return counts
-    stems = counts.select("term").distinct().withColumn("stem", stem_column(F.col("term"), options.language))
-    return counts.join(stems, "term").groupBy(key, F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))
+    """``(key, term, tf)`` of ``rows(key, text)``; filters run before stemming, and texts are stemmed as they pass, without a join."""
+    tokens = options.tokens(F.col("text"), is_query)
+    terms = rows.select(key, F.explode(stem_tokens(tokens, options.language) if options.stem else tokens).alias("term"))
+    return terms.groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def tf_weight(tf: Column) -> Column:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from termlode.operators import reports, search
-from termlode.operators.model import TextOptions, build_model, with_stopwords
+from termlode.operators.model import TextOptions, build_model, count_terms, with_stopwords
 from termlode.sources.store import ModelStore
 
 CHESS = ["pawn knight chess pieces knight best game", "move involves rook pawn king", "pawn lassoed ox", "rodeo horse", "police officers threw jail"]
@@ -211,6 +211,15 @@ def test_equal_queries_are_ranked_once(chess, monkeypatch):
     assert by[1] == by[2] == by[6] != by[5] and by[3] == by[4] == [(1, 0, 0.0), (2, 1, 0.0), (3, 2, 0.0)]
 
 
+def test_texts_are_taken_apart_once_to_be_stemmed(spark):
+    texts = spark.createDataFrame([(1, "Hoping, hopped hoping dying"), (2, None), (3, ""), (4, "the of"), (5, "skies 12,500 hopping hopes"), (1, "hopes")], "doc_id bigint, text string")
+    counts = count_terms(texts, "doc_id", TextOptions())
+    assert {tuple(r) for r in counts.collect()} == {(1, "hope", 3), (1, "hop", 1), (1, "die", 1), (5, "sky", 1), (5, "12,500", 1), (5, "hop", 1), (5, "hope", 1)}
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 1 and "Join" not in plan
+    assert count_terms(texts.limit(0), "doc_id", TextOptions()).count() == 0
+
+
 def test_store_tells_selections_apart(spark, tmp_path):
     source = f"file://{tmp_path}/docs"
     corpus(spark, CHESS).write.parquet(source)
